@@ -7,6 +7,13 @@ readers and sinks, ``plans`` the multi-step jobs (solver, adaptive loop),
 these and is imported by none of them.
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 from pairloom.session import build_session, scratch_dir
 
+# The executors' Python workers need no copy of the package: its functions travel with the tasks.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = ["build_session", "scratch_dir"]
