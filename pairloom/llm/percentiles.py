@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.llm.ordered import BROADCAST_ROWS, _on_groups, sorted_counts
+from pairloom.session import materialise
 
 PERCENTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
@@ -63,25 +64,22 @@ def percentiles(state: DataFrame, groups: list[str], points: tuple[float, ...] =
 
 
 def p5_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    """Of cost and output tokens by model, from the states of the single days."""
-    rows = spark.read.parquet(f"{sf}/comparisons.parquet").withColumn("day", F.to_date("landed_at"))
-    days = summarise(rows, ["model", "day"], ["cost_nanodollars", "output_tokens"])
-    out = percentiles(merge([days], ["model"]), ["model"])
-    return out.withColumn("value", F.round("value", 6))
+    """Of cost and output tokens by model: for each day, and (day null) for the whole from the days' states."""
+    rows = spark.read.parquet(f"{sf}/comparisons.parquet").withColumn("day", F.date_format("landed_at", "yyyy-MM-dd"))
+    days = materialise(summarise(rows, ["model", "day"], ["cost_nanodollars", "output_tokens"]), "percentile-states")
+    whole = percentiles(merge([days], ["model"]), ["model"]).withColumn("day", F.lit(None).cast("string"))
+    out = percentiles(days, ["model", "day"]).unionByName(whole)
+    return out.select("model", "day", "metric", "n", "p", F.round("value", 6).alias("value"))
 
 
 QUERIES = {"p5_percentiles": p5_percentiles}
+_VALUES = """(select model, strftime(landed_at, '%Y-%m-%d') as day, 'cost_nanodollars' as metric, cost_nanodollars::double as x from comparisons
+              union all select model, strftime(landed_at, '%Y-%m-%d'), 'output_tokens', output_tokens::double from comparisons)"""
+# DuckDB wants a constant percentile
 SQL = {
-    "p5_percentiles": f"""
-        with v as (select model, 'cost_nanodollars' as metric, cost_nanodollars::double as x from comparisons where cost_nanodollars is not null
-                   union all select model, 'output_tokens', output_tokens::double from comparisons where output_tokens is not null)
-        select model, metric, count(*) as n, p::double as p, round(quantile_cont(x, p::double), 6) as value
-        from v, (values {', '.join(f'({p})' for p in PERCENTILES)}) as t(p) group by model, metric, p"""
+    "p5_percentiles": " union all ".join(
+        f"select model, {day} as day, metric, count(*) as n, {p}::double as p, round(quantile_cont(x, {p}), 6) as value from {_VALUES} where x is not null group by model, {by}metric"
+        for p in PERCENTILES
+        for day, by in (("day", "day, "), ("null::varchar", ""))
+    )
 }
-# DuckDB wants a constant percentile
-SQL["p5_percentiles"] = " union all ".join(
-    f"select model, metric, count(*) as n, {p}::double as p, round(quantile_cont(x, {p}), 6) as value from "
-    "(select model, 'cost_nanodollars' as metric, cost_nanodollars::double as x from comparisons union all select model, 'output_tokens', output_tokens::double from comparisons) "
-    "where x is not null group by model, metric"
-    for p in PERCENTILES
-)
