@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pairloom.operators import training_queries
+from pairloom.plans import evidence_queries, registry  # noqa: F401  (registers its queries)
 
-QUERIES = {**training_queries.QUERIES}
-SQL = {**training_queries.SQL}
+QUERIES = {**registry.QUERIES, **training_queries.QUERIES}
+SQL = {**registry.SQL, **training_queries.SQL}
