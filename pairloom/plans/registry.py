@@ -38,7 +38,7 @@ OBS = (
     select run, lens, axis_key, model, entity_a_id as a, entity_b_id as b, least(entity_a_id, entity_b_id) as i, greatest(entity_a_id, entity_b_id) as j,
            greatest(least((case when (higher_ranked = 'A') = (entity_a_id < entity_b_id) then 1 else -1 end) * ln(ratio), 10.0::double), -10.0::double) as m,
            case when higher_ranked = 'A' then 1 else -1 end * ln(greatest(ratio, 1)) as m_first,
-           ratio, confidence, swapped, cached, comparison_index, delivery_id, observed_at, higher_ranked
+           ratio, confidence, swapped, cached, comparison_index, delivery_id, observed_at, template_slug, higher_ranked
     from cur where refused = 0 and error = '' and higher_ranked in ('A', 'B') and entity_a_id <> entity_b_id
       and ratio is not null and not isnan(ratio) and not isinf(ratio) and ratio > 0)"""
 )
