@@ -4,24 +4,24 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Terms of the Maclaurin-type series; enough for |x| < 6 in double precision.
-ERF_TERMS = 120
+#: Points of the quadrature; the error of erf is below 1e-12 everywhere.
+POINTS = 20
 
 
 def erf_expr(x: Column) -> Column:
-    """erf(x) by 2/sqrt(pi) * exp(-x^2) * sum 2^n x^(2n+1) / (2n+1)!!; +-1 beyond 6."""
-    start = F.struct(x.alias("term"), x.alias("total"))
-
-    def step(acc: Column, n: Column) -> Column:
-        term = acc["term"] * x * x * F.lit(2.0) / (F.lit(2.0) * n + F.lit(1.0))
-        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
-
-    series = F.aggregate(F.sequence(F.lit(1), F.lit(ERF_TERMS)), start, step, lambda acc: acc["total"])
-    value = F.lit(2.0 / math.sqrt(math.pi)) * F.exp(-x * x) * series
-    return F.when(F.abs(x) >= 6, F.signum(x)).otherwise(value)
+    """erf(x) = 2 x / sqrt(pi) * integral over u of exp(-(x u)^2), by Gauss-Legendre; +-1 beyond 6.
+
+    Only arithmetic and exp, so that it stays in generated code.
+    """
+    nodes, weights = np.polynomial.legendre.leggauss(POINTS)
+    total = F.lit(0.0)
+    for u, w in zip((nodes + 1) / 2, weights / 2):
+        total = total + F.lit(float(w)) * F.exp(F.lit(float(-u * u)) * x * x)
+    return F.when(F.abs(x) >= 6, F.signum(x)).otherwise(F.lit(2.0 / math.sqrt(math.pi)) * x * total)
 
 
 def normal_cdf(x: Column) -> Column:

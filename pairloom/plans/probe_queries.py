@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pairloom.operators import evidence as E
 from pairloom.operators import pmf as P
 from pairloom.operators import probes as B
 from pairloom.plans.evidence_queries import obs, r6
-from pairloom.plans.registry import EDGES, OBS, query
+from pairloom.plans.registry import OBS, query
 
 _LOGS = "[" + ", ".join(f"{x!r}::double" for x in P.LOGS) + "]"
 _LADDER = f"""{OBS}, l as (select *, {_LOGS} as logs, case when m < 0 then -1 else 1 end as side, abs(m) as size from obs),
@@ -217,9 +216,3 @@ def twin_agreement(spark, sf):
     t = obs(spark, sf).groupBy("model", "axis_key", "i", "j").agg(F.avg(F.when(order, F.col("m"))).alias("f"), F.avg(F.when(~order, F.col("m"))).alias("r"))
     t = t.filter(F.col("f").isNotNull() & F.col("r").isNotNull())
     return t.groupBy("model").agg(F.count(F.lit(1)).alias("twins"), F.round(F.avg((F.signum("f") == F.signum("r")).cast("double")), 6).alias("agreement"), F.round(F.avg(F.abs(F.col("f") - F.col("r"))), 6).alias("mean_gap"))
-
-
-@query("setwise_lowering", f"with {EDGES} select axis_key, i, j from edges where mu > 1 and lam >= 2")
-def setwise_lowering(spark, sf):
-    e = E.fuse(obs(spark, sf), "axis_key")
-    return e.filter("mu > 1 and lam >= 2").select("axis_key", "i", "j")
