@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm.ordered import BROADCAST_ROWS, _on_groups, sorted_counts
+from pairloom.operators.ordered import BROADCAST_ROWS, _on_groups, sorted_counts
 from pairloom.session import materialise
 
 PERCENTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
