@@ -76,7 +76,7 @@ def _factor(matrix: np.ndarray, ridge: float) -> tuple[np.ndarray | None, bool]:
             low = np.linalg.cholesky(matrix + ridge * 10**attempt * eye)
         except np.linalg.LinAlgError:
             continue
-        half = np.linalg.solve(low, eye)
+        half = np.linalg.inv(low)
         return half.T @ half, attempt > 0
     if len(matrix) <= EXACT:
         value, vector = np.linalg.eigh(matrix)
@@ -92,7 +92,8 @@ def solve_graph(n: int, i: np.ndarray, j: np.ndarray, mu: np.ndarray, lam: np.nd
     at = np.full(n, -1)
     at[free] = np.arange(len(free))
 
-    def solve(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    def solve(w: np.ndarray, whole: bool = False) -> tuple[np.ndarray, np.ndarray | None, bool]:
+        """Scores; the inverse too if ``whole``."""
         lap = np.zeros((len(free), len(free)))
         a, b = at[i], at[j]
         for x in (a, b):
@@ -103,8 +104,16 @@ def solve_graph(n: int, i: np.ndarray, j: np.ndarray, mu: np.ndarray, lam: np.nd
         rhs = np.zeros(len(free))
         np.add.at(rhs, a[a >= 0], (w * mu)[a >= 0])
         np.add.at(rhs, b[b >= 0], -(w * mu)[b >= 0])
-        inverse, bad = _factor(lap, config.ridge)
         s = np.zeros(n)
+        if not whole:
+            try:
+                got = np.linalg.solve(lap + config.ridge * np.eye(len(free)), rhs)
+                if np.isfinite(got).all():
+                    s[free] = got
+                    return s, None, False
+            except np.linalg.LinAlgError:
+                pass
+        inverse, bad = _factor(lap, config.ridge)
         if inverse is not None and len(free):
             s[free] = inverse @ rhs
         return s, inverse if inverse is not None else np.diag(1 / np.maximum(np.diag(lap), config.tiny)), bad
@@ -126,7 +135,7 @@ def solve_graph(n: int, i: np.ndarray, j: np.ndarray, mu: np.ndarray, lam: np.nd
         if abs(previous - objective) <= config.irls_tol * max(previous if math.isfinite(previous) else 0, 1.0):
             break
         previous = objective
-    s, inverse, bad = solve(w)
+    s, inverse, bad = solve(w, whole=True)
     degraded |= bad
     residual = mu - (s[i] - s[j])
     variances = np.full(n, np.nan)
@@ -183,8 +192,12 @@ def hodge(n: int, i: np.ndarray, j: np.ndarray, mu: np.ndarray, residual: np.nda
     root = np.sqrt(np.maximum(lam, tiny))
     basis = curls / root[:, None]
     target = residual * root
-    fit, _, rank, _ = np.linalg.lstsq(basis, target, rcond=1e-10)
-    local = float(((basis @ fit) ** 2).sum())
+    # projection by the triangles' Gram matrix, which is singular where triangles share a cycle
+    value, vector = np.linalg.eigh(basis.T @ basis)
+    good = value > 1e-10 * value[-1]
+    rank = int(good.sum())
+    along = (vector[:, good].T @ (basis.T @ target)) / np.sqrt(value[good])
+    local = float((along**2).sum())
     return {"curl": local / energy, "harmonic": max(total - local, 0.0) / energy, "triangles": len(found), "cycle_dim": cycle_dim, "harmonic_dim": cycle_dim - int(rank)}
 
 

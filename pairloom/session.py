@@ -15,6 +15,8 @@ _LOCAL_BASE: list[str] = []
 
 def build_session(cpus: int = 8, app: str = "pairloom", **conf: str) -> SparkSession:
     """A local session with the settings that the tests and the bench use."""
+    # one thread of linear algebra for each task: the tasks fill the cores already
+    os.environ.setdefault("OMP_NUM_THREADS", "1")
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
