@@ -40,6 +40,7 @@ OTHER_TOPICS, ROUNDS, PASSES = 10, 14, 8
 #: How much more often the examples of a subject must use a word than the corpus does, for it to be taken as the subject's.
 LIFT = 3.0
 ALPHA, ETA = 0.1, 0.01
+BAGS_AT_ONCE = 300
 #: Part of a document's sentences that makes a subject.
 SHARE = 0.2
 #: Rounds after which words are taken out of subjects' topics, and the part of their uses that must lie in documents which the subject leads.
@@ -90,18 +91,28 @@ def fold_in(doc: np.ndarray, word: np.ndarray, count: np.ndarray, size: int, top
     ``doc``, ``word``, ``count`` are the entries of ``size`` bags, ordered by
     document; ``topics`` is exp(E log phi), words x topics; ``prior`` is one row for all or one for each.
     """
-    given = topics[word]
-    gamma = np.broadcast_to(prior, (size, topics.shape[1])) + np.bincount(doc, count, size)[:, None] / topics.shape[1]
-    edges = np.searchsorted(doc, np.arange(size))
-    empty = edges == np.append(edges[1:], len(doc))
-    part = given
-    for _ in range(passes):
-        weight = np.exp(_digamma(gamma) - _digamma(gamma.sum(1, keepdims=True)))
-        part = given * weight[doc]
-        part /= part.sum(1, keepdims=True) + 1e-300
-        sums = np.add.reduceat(part * count[:, None], np.minimum(edges, max(len(doc) - 1, 0)), axis=0) if len(doc) else np.zeros_like(gamma)
-        sums[empty] = 0
-        gamma = prior + sums
+    k = topics.shape[1]
+    gamma = np.empty((size, k))
+    part = np.empty((len(word), k), topics.dtype)
+    starts = np.searchsorted(doc, np.arange(size + 1))
+    # a few hundred bags at a time, so that the entries stay in the processor's cache
+    for low in range(0, size, BAGS_AT_ONCE):
+        high = min(low + BAGS_AT_ONCE, size)
+        at = slice(starts[low], starts[high])
+        own, given, n = doc[at] - low, topics[word[at]], count[at].astype(topics.dtype)
+        base = np.broadcast_to(prior[low:high] if np.ndim(prior) == 2 else prior, (high - low, k))
+        filled = np.flatnonzero(starts[low + 1 : high + 1] > starts[low:high])
+        g = base + np.bincount(own, n, high - low)[:, None] / k
+        weight = np.zeros((high - low, k), topics.dtype)
+        norm = np.ones(len(own), topics.dtype)
+        for _ in range(passes):
+            weight = np.exp(_digamma(g) - _digamma(g.sum(1, keepdims=True))).astype(topics.dtype)
+            norm = np.einsum("nk,nk->n", given, weight[own]) + topics.dtype.type(1e-30)
+            g = base.copy()
+            if len(own):
+                g[filled] += weight[filled] * np.add.reduceat(given * (n / norm)[:, None], starts[low:high][filled] - starts[low], axis=0)
+        gamma[low:high] = g
+        part[at] = given * weight[own] / norm[:, None]
     return gamma, part
 
 
@@ -254,8 +265,10 @@ def fit(documents: DataFrame, examples: list[tuple[str, str]], rounds: int = ROU
                     own = gamma[:, : held.shape[1] - size]
                     leads = (own == own.max(1, keepdims=True)).astype(float)[doc[at] - low]
                     both = np.hstack([part, leads]) * count[at][:, None]
-                    for k in range(both.shape[1]):
-                        held[:, k] += np.bincount(word[at], both[:, k], len(held))
+                    order = np.argsort(word[at], kind="stable")
+                    seen, first = np.unique(word[at][order], return_index=True)
+                    if len(seen):
+                        held[seen] += np.add.reduceat(both[order], first, axis=0)
             used = np.flatnonzero(held.any(1))
             yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *[pa.array(held[used, k]) for k in range(held.shape[1])]], ["word", *columns])
 
@@ -268,7 +281,7 @@ def fit(documents: DataFrame, examples: list[tuple[str, str]], rounds: int = ROU
         if turn in PRUNE_AFTER:
             counts = pruned(counts, at, got[columns[size:]].to_numpy() / got[names].to_numpy().sum(1, keepdims=True))
     subject_of, terms = inspect(counts, vocabulary, weights, subjects)
-    return TopicModel(vocabulary, expected(counts), subject_of, terms)
+    return TopicModel(vocabulary, expected(counts).astype(np.float32), subject_of, terms)
 
 
 def sentence_subjects(texts: list[str | None], model: TopicModel, subjects: list[str]) -> tuple[np.ndarray, np.ndarray]:
