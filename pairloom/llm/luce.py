@@ -39,7 +39,7 @@ def stationary(src: np.ndarray, dst: np.ndarray, step: np.ndarray, start: np.nda
                 h[: k + 1, k] += dots
             h[k + 1, k] = np.linalg.norm(v)
             used = k + 1
-            if h[k + 1, k] < 1e-14:
+            if h[k + 1, k] <= 1e-10 * np.abs(h[: k + 1, k]).max():
                 break
             basis[k + 1] = v / h[k + 1, k]
         rhs = np.zeros(used + 1)
