@@ -247,7 +247,9 @@ def solve_edges(edges: DataFrame, keys: list[str], config: SolverConfig = Solver
         key = {k: pdf[k].iloc[0] for k in keys}
         names = np.unique(pdf[["i", "j"]].to_numpy(dtype=object).astype(str))
         if len(names) > MAX_ENTITIES:
-            return pd.DataFrame([key | {"kind": "run", "entities": len(names), "edges": len(pdf), "status": "too large"}]).reindex(columns=columns)
+            said = pd.DataFrame([key | {"kind": "run", "entities": len(names), "edges": len(pdf), "status": "too large"}], dtype=object)
+            said = said.reindex(columns=columns).astype(object)
+            return said.where(said.notna(), None)
         i, j = np.searchsorted(names, pdf["i"].to_numpy(str)), np.searchsorted(names, pdf["j"].to_numpy(str))
         mu, lam = pdf["mu"].to_numpy(float), pdf["lam"].to_numpy(float)
         s = solve_graph(len(names), i, j, mu, lam, config)

@@ -63,7 +63,7 @@ def test_payload_and_clashing_names_survive(spark, landed):
 
 def test_rows_equal_in_everything_leave_one(spark, tmp_path):
     path = str(tmp_path / "same.parquet")
-    spark.createDataFrame([rows_of(2, 3)[0]] * 9, SCHEMA).repartition(3).write.parquet(path)
+    spark.createDataFrame([rows_of(10, 3)[0]] * 9, SCHEMA).repartition(3).write.parquet(path)
     assert deduplicate_files(spark, path).count() == 1
 
 
