@@ -12,7 +12,7 @@ def edge_gains(nodes: DataFrame, keys: list[str], k: int, lam: float = 1.0, lamb
     """Gain of comparing each pair of a group, from the marginal variances.
 
     Information 1/2 ln(1 + lam R); risk, the fall of the weighed flip probability when
-    R becomes R / (1 + lam R); ``mode`` cardinal, ordinal or hybrid.
+    R becomes R / (1 + lam R); ``mode`` information, order or hybrid.
     """
     r = ranked(nodes, keys)
     side = lambda x: r.select(*keys, F.col("entity_id").alias(x), F.col("s").alias(f"s_{x}"), F.col("v").alias(f"v_{x}"), F.col("rank").alias(f"r_{x}"))
@@ -21,7 +21,7 @@ def edge_gains(nodes: DataFrame, keys: list[str], k: int, lam: float = 1.0, lamb
     d = F.col("s_hi") - F.col("s_lo")
     info = F.log(1 + lam * big_r) / 2
     risk = pair_rank_weight(k) * (flip_probability(d, big_r) - flip_probability(d, big_r / (1 + lam * big_r)))
-    score = {"cardinal": info, "ordinal": risk, "hybrid": info + lambda_risk * risk}[mode] / cost
+    score = {"information": info, "order": risk, "hybrid": info + lambda_risk * risk}[mode] / cost
     return p.select(*keys, F.least("hi", "lo").alias("i"), F.greatest("hi", "lo").alias("j"), info.alias("d_info"), risk.alias("d_risk"), score.alias("gain"))
 
 
