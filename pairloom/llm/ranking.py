@@ -27,11 +27,9 @@ null axis is dropped; with whole wins a pair that only ever one side won gets
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.llm.luce import strengths
@@ -39,7 +37,7 @@ from pairloom.operators.ordered import positions
 from pairloom.operators.dedup import comparison_identifier, current_rows, delivery_order
 from pairloom.session import drop_path, materialise, scratch_dir
 
-#: Pair-ends in one block (about 100 bytes each while it's solved), and change of log-strength at which the blocks are done.
+#: Pair-ends in one block (about 150 bytes each while it's solved, all numbers), and change of log-strength at which the blocks are done.
 BLOCK_ENDS, TOLERANCE, ROUNDS = 3_000_000, 1e-7, 200
 #: Largest usable ratio: beyond it a share is 1 in all but name.
 MOST_RATIO = 1e6
@@ -78,70 +76,66 @@ def pair_weights(rows: DataFrame, use_ratio: bool = True, tie: float = 0.0) -> D
 
 
 def _blocks(pairs: DataFrame, block_ends: int) -> tuple[DataFrame, DataFrame]:
-    """Entities (axis_key, node, block, met, met_others), where a hub's block is null; and pair-ends
-    (axis_key, block, node, other, won, lost, other_block), each in the block of its node; a hub's ends are only at the others."""
-    side = lambda a, b: pairs.select("axis_key", F.col(a).alias("node"), F.col(b).alias("other"), F.col(f"{a}_won").alias("won"), F.col(f"{b}_won").alias("lost"), "met")
+    """Entities (axis, axis_key, node, no, block, met, met_others), where a hub's block is null; and pair-ends
+    (axis, block, no, other, won, lost, other_block), each in the block of its node; a hub's ends are only at the others.
+
+    Entities are numbered along their axis, so that numbers alone go to the solver.
+    """
+    side = lambda a, b: pairs.select("axis_key", F.col(a).alias("node"), F.col(b).alias("other_node"), F.col(f"{a}_won").alias("won"), F.col(f"{b}_won").alias("lost"), "met")
     ends = side("lo", "hi").unionByName(side("hi", "lo"))
-    nodes = ends.groupBy("axis_key", "node").agg(F.count(F.lit(1)).alias("n"), F.sum("met").alias("met"))
-    hub = F.col("n") > block_ends // 2
-    placed = positions(nodes.filter(~hub), ["axis_key"], ["node"])
-    spread = placed.select("axis_key", "node", F.floor(F.col("before") / block_ends).cast("int").alias("block"), "met", F.col("n").alias("met_others"))
-    hubs = nodes.filter(hub).select("axis_key", "node", F.lit(None).cast("int").alias("block"), "met", F.col("n").alias("met_others"))
-    entities = materialise(spread.unionByName(hubs), "ranking-entities")
-    own = entities.select("axis_key", "node", "block")
-    far = entities.select("axis_key", F.col("node").alias("other"), F.col("block").alias("other_block"))
-    placed_ends = ends.drop("met").join(own, ["axis_key", "node"]).join(far, ["axis_key", "other"])
+    nodes = ends.groupBy("axis_key", "node").agg(F.count(F.lit(1)).alias("met_others"), F.sum("met").alias("met"))
+    hub = F.col("met_others") > block_ends // 2
+    nodes = nodes.withColumns({"hub": hub, "n": F.when(hub, F.lit(1)).otherwise(F.col("met_others"))})
+    placed = positions(nodes, ["axis_key"], ["node"])
+    block = F.when(~F.col("hub"), F.floor(F.col("before") / block_ends).cast("int"))
+    entities = materialise(placed.select(F.xxhash64("axis_key").alias("axis"), "axis_key", "node", F.col("before").alias("no"), block.alias("block"), "met", "met_others"), "ranking-entities")
+    own = entities.select("axis_key", "node", "axis", "no", "block")
+    far = entities.select("axis_key", F.col("node").alias("other_node"), F.col("no").alias("other"), F.col("block").alias("other_block"))
+    numbered = ends.drop("met").join(own, ["axis_key", "node"]).join(far, ["axis_key", "other_node"])
     # two hubs' own pairs are kept in a block of their own
-    kept = placed_ends.filter(F.col("block").isNotNull() | F.col("other_block").isNull()).withColumn("block", F.coalesce("block", F.lit(-1)))
-    return entities, kept
+    kept = numbered.filter(F.col("block").isNotNull() | F.col("other_block").isNull())
+    return entities, kept.select("axis", F.coalesce("block", F.lit(-1)).alias("block"), "no", "other", "won", "lost", "other_block")
+
+
+_SOLVED = ["axis", "no", "block", "log_strength", "component", "up", "down"]
 
 
 def _solve_block(ends: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-    """Strengths, components and (for hubs) sums of one block; ``held``: current (node, log_strength, component, block)."""
-    axis, block = ends["axis_key"].iloc[0], int(ends["block"].iloc[0])
-    now = dict(zip(held["node"], held["log_strength"])) if len(held) else {}
-    label = dict(zip(held["node"], held["component"])) if len(held) else {}
-    hub_block = block == -1
-    names = np.unique(ends["node"].to_numpy(dtype=object).astype(str))
-    inside = ~ends["other_block"].isna().to_numpy() & (ends["other_block"].fillna(-2).to_numpy() == block)
-    place = {x: k for k, x in enumerate(names)}
-    node = ends["node"].map(place).to_numpy(np.int64)
+    """Strengths, components and (for hubs) sums of one block; ``held``: current (no, log_strength, component) of its nodes and neighbours."""
+    axis, block = ends["axis"].iloc[0], int(ends["block"].iloc[0])
+    held = held.drop_duplicates("no").sort_values("no")
+    known, now, label = held["no"].to_numpy(), held["log_strength"].to_numpy(float), held["component"].to_numpy()
+    at = lambda numbers: np.searchsorted(known, numbers)
+    names, node = np.unique(ends["no"].to_numpy(), return_inverse=True)
+    others, to = ends["other"].to_numpy(), ends["other_block"].to_numpy(float)
+    inside = to == block
     won, lost = ends["won"].to_numpy(float), ends["lost"].to_numpy(float)
-    other = np.array([place[x] for x in ends["other"][inside]], np.int64)
-    out_names = ends["other"][~inside].to_numpy(dtype=object)
-    start = np.exp([now.get(x, 0.0) for x in names])
-    ext = np.exp(np.array([now.get(x, 0.0) for x in out_names], float))
-    if hub_block:
-        pi = start
-    else:
+    other = np.searchsorted(names, others[inside])
+    out = at(others[~inside])
+    pi = np.exp(now[at(names)])
+    if block != -1:
         # weight of src -> dst is what dst won over src
-        pi, _ = strengths(node[inside], other, lost[inside], start, node[~inside], ext, lost[~inside], won[~inside], TOLERANCE * 0.1)
-    # least label of a component: by name, spread over inside edges until it rests
-    rank = {x: k for k, x in enumerate(sorted({*label.values(), *names, *(label.get(x, x) for x in out_names)}))}
-    back = sorted(rank, key=rank.get)
-    least = np.array([rank[min(label.get(x, x), x)] for x in names])
-    np.minimum.at(least, node[~inside], np.array([rank[label.get(x, x)] for x in out_names], np.int64))
+        pi, _ = strengths(node[inside], other, lost[inside], pi, node[~inside], np.exp(now[out]), lost[~inside], won[~inside], TOLERANCE * 0.1)
+    # a component's label is its least number, spread over the pairs until it rests
+    least = np.minimum(label[at(names)], names)
+    np.minimum.at(least, node[~inside], label[out])
     while True:
         new = least.copy()
         np.minimum.at(new, node[inside], least[other])
-        np.minimum.at(new, other, new[node[inside]])
         if (new == least).all():
             break
         least = new
-    rows = [] if hub_block else [(axis, x, block, float(np.log(p)), back[k], None, None) for x, p, k in zip(names, pi, least)]
-    # sums for hubs: what the hub won here, weighed as its strength's numerator, and its denominator
-    to_hub = ends["other_block"].isna().to_numpy()
-    if to_hub.any():
-        sums: dict[str, list] = {}
-        for n, x, w, l in zip(node[to_hub], ends["other"][to_hub], won[to_hub], lost[to_hub]):
-            p = pi[n]
-            total = p + np.exp(now.get(x, 0.0))
-            s = sums.setdefault(x, [0.0, 0.0, back[least[n]]])
-            s[0] += l * p / total
-            s[1] += w / total
-            s[2] = min(s[2], back[least[n]])
-        rows += [(axis, x, None, None, s[2], s[0], s[1]) for x, s in sums.items()]
-    return pd.DataFrame(rows, columns=["axis_key", "node", "block", "log_strength", "component", "up", "down"])
+    parts = []
+    if block != -1:
+        parts.append(pd.DataFrame({"axis": axis, "no": names, "block": block, "log_strength": np.log(pi), "component": least, "up": np.nan, "down": np.nan}))
+    # for a hub: what it won here, weighed as its strength's numerator, and its denominator
+    hubs = np.isnan(to)
+    if hubs.any():
+        p, total = pi[node[hubs]], pi[node[hubs]] + np.exp(now[at(others[hubs])])
+        sums = pd.DataFrame({"no": others[hubs], "component": least[node[hubs]], "up": lost[hubs] * p / total, "down": won[hubs] / total})
+        sums = sums.groupby("no", as_index=False).agg({"component": "min", "up": "sum", "down": "sum"})
+        parts.append(sums.assign(axis=axis, block=-1, log_strength=np.nan))
+    return pd.concat([x[_SOLVED] for x in parts], ignore_index=True)
 
 
 def luce_strengths(pairs: DataFrame, block_ends: int = BLOCK_ENDS, rounds: int = ROUNDS) -> DataFrame:
@@ -149,42 +143,47 @@ def luce_strengths(pairs: DataFrame, block_ends: int = BLOCK_ENDS, rounds: int =
     spark = pairs.sparkSession
     entities, ends = _blocks(pairs, block_ends)
     ends = materialise(ends, "ranking-ends")
-    boundary = ends.filter(~F.col("other_block").eqNullSafe(F.col("block"))).select("axis_key", "block", F.col("other").alias("node")).distinct()
+    boundary = ends.filter(~F.col("other_block").eqNullSafe(F.col("block"))).select("axis", "block", F.col("other").alias("no")).distinct()
     boundary = materialise(boundary, "ranking-boundary")
     single = boundary.limit(1).count() == 0
-    own = entities.select("axis_key", "node", "block")
-    state = own.select("*", F.lit(0.0).alias("log_strength"), F.col("node").alias("component"))
-    schema = "axis_key string, node string, block int, log_strength double, component string, up double, down double"
-    last = None
+    state = entities.select("axis", "no", F.coalesce("block", F.lit(-1)).alias("block"), F.lit(0.0).alias("log_strength"), F.col("no").alias("component"))
+    schema = "axis long, no long, block int, log_strength double, component long, up double, down double"
+
+    def solve(e: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
+        return _solve_block(e, h) if len(e) else pd.DataFrame(columns=_SOLVED)
+
     for turn in range(rounds):
-        needed = state.select("axis_key", "node", "log_strength", "component")
-        mine = state.select("axis_key", F.coalesce("block", F.lit(-1)).alias("block"), "node", "log_strength", "component")
-        far = boundary.join(needed, ["axis_key", "node"]).select("axis_key", "block", "node", "log_strength", "component")
+        mine = state.select("axis", "block", "no", "log_strength", "component")
+        far = boundary.join(state.drop("block"), ["axis", "no"]).select("axis", "block", "no", "log_strength", "component")
         held = mine if single else mine.unionByName(far)
-        solved = ends.groupBy("axis_key", "block").cogroup(held.groupBy("axis_key", "block")).applyInPandas(lambda e, h: _solve_block(e, h) if len(e) else pd.DataFrame(columns=["axis_key", "node", "block", "log_strength", "component", "up", "down"]), schema)
         path = scratch_dir(spark, "ranking-round")
-        solved.write.parquet(path)
+        ends.groupBy("axis", "block").cogroup(held.groupBy("axis", "block")).applyInPandas(solve, schema).write.parquet(path)
         new = spark.read.schema(schema).parquet(path)
         # a hub's strength is what it won, weighed by the others' strengths, over what it lost
-        merged = new.groupBy("axis_key", "node").agg(
+        sure = lambda c: F.when(~F.isnan(c), F.col(c))
+        merged = new.groupBy("axis", "no").agg(
             F.max("block").alias("block"),
-            F.coalesce(F.max("log_strength"), F.log(F.sum("up") / F.sum("down"))).alias("log_strength"),
+            F.coalesce(F.max(sure("log_strength")), F.log(F.sum(sure("up")) / F.sum(sure("down")))).alias("log_strength"),
             F.min("component").alias("component"),
         )
         if single:
-            return merged.join(entities.drop("block"), ["axis_key", "node"])
-        old = state.select("axis_key", "node", F.col("log_strength").alias("was"), F.col("component").alias("was_in"))
+            state = merged
+            break
+        old = state.select("axis", "no", F.col("log_strength").alias("was"), F.col("component").alias("was_in"))
         # a full step of neighbouring blocks at once may swing: halfway doesn't
-        both = merged.join(old, ["axis_key", "node"])
-        step = F.when(F.lit(turn == 0), F.col("log_strength")).otherwise((F.col("log_strength") + F.col("was")) / 2)
-        moved = materialise(both.select("axis_key", "node", "block", step.alias("log_strength"), "component", F.abs(F.col("log_strength") - F.col("was")).alias("change"), (F.col("component") != F.col("was_in")).alias("relabelled")), "ranking-state")
+        both = merged.join(old, ["axis", "no"])
+        step = F.col("log_strength") if turn == 0 else (F.col("log_strength") + F.col("was")) / 2
+        moved = both.select("axis", "no", "block", step.alias("log_strength"), "component", F.abs(F.col("log_strength") - F.col("was")).alias("change"), (F.col("component") != F.col("was_in")).alias("relabelled"))
+        moved = materialise(moved, "ranking-state")
         drop_path(spark, path)
         change = moved.agg(F.max("change").alias("c"), F.max("relabelled").alias("r")).first()
-        state = moved.select("axis_key", "node", "block", "log_strength", "component")
-        last = state
+        state = moved.select("axis", "no", "block", "log_strength", "component")
         if change["c"] is None or (change["c"] < TOLERANCE and not change["r"]):
             break
-    return last.join(entities.drop("block"), ["axis_key", "node"])
+    named = state.select("axis", "no", "log_strength", "component").join(entities.drop("block"), ["axis", "no"])
+    label = entities.select("axis", F.col("no").alias("component"), F.col("node").alias("component_name"))
+    named = named.join(label, ["axis", "component"])
+    return named.select("axis_key", "node", "log_strength", F.col("component_name").alias("component"), "met", "met_others")
 
 
 def rank_entities(found: DataFrame) -> DataFrame:
