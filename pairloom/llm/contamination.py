@@ -145,34 +145,47 @@ def build_index(segments: list[tuple[int, str, list[str]]], min_words: int = MIN
     return ItemIndex(coded, vocabulary, automaton, run, hits, min_words, edit_every)
 
 
-def passage(item: list[int], doc: np.ndarray, min_words: int, edit_every: int) -> tuple[int, int, int] | None:
-    """(words, edits, end in doc) of the longest passage of ``item`` in ``doc`` within the limits, if any.
-
-    It begins and ends with a word of the item; ``best[e]`` holds, for each word
-    of ``doc``, the longest passage that ends there with ``e`` words altered.
+def passages(item: list[int], doc: np.ndarray, min_words: int, edit_every: int) -> list[tuple[int, int, int]]:
+    """(first, last, edits) of passages of ``item`` in ``doc`` within the limits, apart from each other, the longest first.
+
+    A passage begins and ends with a word of the item; ``best[e]`` holds, for each
+    word of ``doc``, the longest passage that ends there with ``e`` words altered,
+    as words * unit + first: of equally long ones the one that begins last.  Of
+    the passages with the same end only the longest is looked at, so the places
+    between the passages may hold more.
     """
-    most, size, low = len(item) // edit_every if edit_every else 0, len(doc), -(10**6)
+    most, size, low = len(item) // edit_every if edit_every else 0, len(doc), -(10**12)
+    unit = size + 1
     best = np.full((most + 1, size + 1), low)
-    found = None
+    fresh = np.arange(size)
+    length, first, edits = np.zeros(size, dtype=int), np.zeros(size, dtype=int), np.zeros(size, dtype=int)
     for word in item:
         new = np.full_like(best, low)
         same = np.zeros(size + 1, dtype=bool)
         same[1:] = doc == word
         for e in range(most + 1):
             step = np.full(size + 1, low)
-            step[1:] = np.where(same[1:], np.maximum(best[e, :-1], 0 if e == 0 else low) + 1, low)
+            step[1:] = np.where(same[1:], np.maximum(best[e, :-1], fresh if e == 0 else low) + unit, low)
             if e:
-                other = np.maximum(best[e - 1] + 1, low)
-                other[1:] = np.maximum(other[1:], np.maximum(best[e - 1, :-1] + 1, new[e - 1, :-1]))
+                other = np.maximum(best[e - 1] + unit, low)
+                other[1:] = np.maximum(other[1:], np.maximum(best[e - 1, :-1] + unit, new[e - 1, :-1]))
             else:
                 other = np.full(size + 1, low)
-            ok = same & (step >= max(min_words, e * edit_every))
-            if ok.any():
-                at = int(np.argmax(np.where(ok, step, low)))
-                if found is None or step[at] > found[0]:
-                    found = (int(step[at]), e, at)
+            ok = np.flatnonzero(same & (step >= max(min_words, e * edit_every) * unit))
+            if len(ok):
+                n, at = np.divmod(step[ok], unit)
+                better = n > length[ok - 1]
+                end = ok[better] - 1
+                length[end], first[end], edits[end] = n[better], at[better], e
             new[e] = np.maximum(step, other)
         best = new
+    found: list[tuple[int, int, int]] = []
+    taken = np.zeros(size, dtype=bool)
+    ends = np.flatnonzero(length)
+    for last in ends[np.lexsort((ends, edits[ends], -length[ends]))].tolist():
+        if not taken[last] and not taken[first[last] : last].any():
+            taken[first[last] : last + 1] = True
+            found.append((int(first[last]), last, int(edits[last])))
     return found
 
 
@@ -209,18 +222,23 @@ def scan(codes: list[int], index: ItemIndex) -> list[tuple[int, int, int, int]]:
         reach = len(item) + len(item) // max(index.edit_every, 1) + 1
         groups, group = [], [places[0][0]]
         for at, _ in places[1:]:
-            if at - group[-1] > reach:
+            if at - group[-1] > 2 * reach:
                 groups.append(group)
                 group = []
             group.append(at)
-        for g in [*groups, group]:
-            low, high = max(0, g[0] - reach), g[-1] + reach + 1
-            if np.isin(whole[low:high], item).sum() < unaltered:
+        # the rest of a window is searched again until no passage is left in it
+        rest = [(max(0, g[0] - reach), min(len(whole), g[-1] + reach + 1), g) for g in [*groups, group]]
+        while rest:
+            low, high, ats = rest.pop()
+            ats = [at for at in ats if low + index.run - 1 <= at < high]
+            if not ats or np.isin(whole[low:high], item).sum() < unaltered:
                 continue
-            got = passage(item, whole[low:high], index.min_words, index.edit_every)
+            got = sorted(passages(item, whole[low:high], index.min_words, index.edit_every))
+            for first, last, edits in got:
+                out.append((segment, low + first, low + last, edits))
             if got:
-                end = low + got[2] - 1
-                out.append((segment, max(low, end - got[0] - got[1] + 1), end, got[1]))
+                bounds = [low, *(low + x for first, last, _ in got for x in (first, last + 1)), high]
+                rest += [(a, b, [at for at in ats if a <= at < b]) for a, b in zip(bounds[::2], bounds[1::2])]
     return out
 
 
@@ -238,7 +256,7 @@ def _blocks(items: DataFrame, min_words: int, block_words: int) -> Iterator[list
 
 
 def find_passages(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, edit_every: int = EDIT_EVERY, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, item_id, field, first_word, last_word, edits): every passage found; words count from 0 as ``words`` splits them."""
+    """(doc_id, item_id, field, first_word, last_word, edits): the passages, those of one part of an item apart from each other; words count from 0 as ``words`` splits them."""
     spark = documents.sparkSession
     kind = documents.schema[doc_id].dataType.simpleString()
     item_kind = items.schema["item_id"].dataType.simpleString()
@@ -271,9 +289,26 @@ def leaked(documents: DataFrame, items: DataFrame, **options) -> DataFrame:
     return find_passages(documents, items, **options).select("doc_id", "item_id").distinct()
 
 
+def _spans(value: str, indexes: list[tuple[ItemIndex, frozenset[str]]]) -> list[tuple[int, int]]:
+    """Places of ``value`` that passages take up, in order and apart from each other."""
+    spans: list[tuple[int, int]] = []
+    for index, known in indexes:
+        if scan([index.vocabulary.get(w, -1) for w in words(value, known)], index):
+            tokens, places = words_with_spans(value, known)
+            spans += [(places[a][0], places[b][1]) for _, a, b, _ in scan([index.vocabulary.get(w, -1) for w in tokens], index)]
+    merged: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if merged and a <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+        else:
+            merged.append((a, b))
+    return merged
+
+
 def remove_leaks(documents: DataFrame, items: DataFrame, coverage: float = 0.5, min_words: int = MIN_WORDS, edit_every: int = EDIT_EVERY, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, text, removed_words, dropped) of all documents with the leaked passages cut out.
 
+    Passages that overlap are cut as one; ``removed_words`` counts each word once.
     A document of which passages cover more than ``coverage`` of the words is
     dropped whole: its text becomes null and ``dropped`` true.
     """
@@ -284,25 +319,20 @@ def remove_leaks(documents: DataFrame, items: DataFrame, coverage: float = 0.5,
 
     def clean(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got, *limits = shared.value
-        indexes = [build_index(b, *limits) for b in got]
+        indexes = [(x, frozenset(x.vocabulary)) for x in (build_index(b, *limits) for b in got)]
         for part in parts:
             texts, removed, dropped = [], [], []
             for value in part["text"]:
-                spans: list[tuple[int, int]] = []
                 total = gone = 0
-                for index in indexes if value else ():
-                    known = frozenset(index.vocabulary)
-                    codes = [index.vocabulary.get(w, -1) for w in words(value, known)]
-                    if scan(codes, index):
-                        tokens, places = words_with_spans(value, known)
-                        total = len(tokens)
-                        hits = scan([index.vocabulary.get(w, -1) for w in tokens], index)
-                        spans += [(places[a][0], places[min(b, total - 1)][1]) for _, a, b, _ in hits]
-                        gone += len({k for _, a, b, _ in hits for k in range(a, b + 1)})
+                # where a cut joins two pieces to a passage, that is cut too
+                while value and (spans := _spans(value, indexes)):
+                    places = words_with_spans(value)[1]
+                    total = total or len(places)
+                    gone += sum(any(a <= x and y <= b for a, b in spans) for x, y in places)
+                    for a, b in reversed(spans):
+                        value = value[:a] + value[b:]
                 if total and gone > coverage * total:
                     value = None
-                for a, b in sorted(spans, reverse=True) if value else ():
-                    value = value[:a] + value[b:]
                 texts.append(value)
                 removed.append(gone)
                 dropped.append(bool(total and gone > coverage * total))

@@ -271,6 +271,34 @@ def test_standing_instructions_are_no_passages(spark):
     assert [(r["doc_id"], r["item_id"]) for r in got] == [(2, 2)]
 
 
+def test_all_passages_are_cut_and_nothing_else(spark):
+    item = [f"q{k}" for k in range(40)]
+    both = [f"s{k}" for k in range(14)]
+    other = [f"r{k}" for k in range(14)]
+    clean = [[f"c{d}x{k}" for k in range(60)] for d in range(3)]
+    changed = [*item[:20], "x", *item[20:]]
+    docs = {
+        1: [*clean[0], *item, *item, *clean[1]],
+        2: [*clean[0], *item[:12], *clean[2][:9], *item[28:], *clean[1]],
+        3: [*clean[0], *both, *clean[1]],
+        4: [*clean[0][:30], *item, *item],
+        5: [*clean[0], *item, *changed, *clean[1]],
+        6: [*clean[0], *other[:7], *item, *other[7:], *clean[1]],
+        7: [*clean[0], *both, *both[-4:], *both[:10], *clean[1]],
+    }
+    kept = {1: clean[0] + clean[1], 2: clean[0] + clean[2][:9] + clean[1], 3: clean[0] + clean[1], 5: clean[0] + clean[1], 6: clean[0] + clean[1], 7: clean[0] + both[-4:] + both[:10] + clean[1]}
+    items = [(1, " ".join(item), None), (2, " ".join(["a1", "a2", *both]), None), (3, " ".join([*both, "b1", "b2"]), None), (4, None, " ".join(other))]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], "doc_id long, text string")
+    items = spark.createDataFrame(items, "item_id long, question string, answer string")
+    for words in (10**6, 20):
+        got = {r["doc_id"]: r for r in contamination.remove_leaks(docs, items, block_words=words).collect()}
+        assert {k: got[k]["text"].split() for k in kept} == kept
+        assert {k: r["removed_words"] for k, r in got.items()} == {1: 80, 2: 24, 3: 14, 4: 80, 5: 81, 6: 54, 7: 14}
+        assert [k for k, r in got.items() if r["dropped"]] == [4]
+    spans = contamination.find_passages(docs, items).filter("doc_id = 1").orderBy("first_word").collect()
+    assert [(r["first_word"], r["last_word"], r["edits"]) for r in spans] == [(60, 99, 0), (100, 139, 0)]
+
+
 def test_words():
     assert textnorm.words("It’s naïve &amp; Ｗｉｄｅ, so-called") == ["its", "naive", "wide", "so", "called"]
     text = "Intro <b>one</b> two\nthree  four"
