@@ -165,40 +165,169 @@ def solve_graph(n: int, i: np.ndarray, j: np.ndarray, mu: np.ndarray, lam: np.nd
     return out
 
 
-def triangles(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int, int]]:
-    """(edge ij, edge jk, edge ik) of every triangle i < j < k."""
-    edge = {(a, b): e for e, (a, b) in enumerate(zip(i.tolist(), j.tolist()))}
-    after: dict[int, list[int]] = {}
-    for a, b in edge:
-        after.setdefault(a, []).append(b)
-    return [(edge[a, b], edge[b, c], edge[a, c]) for a, b in edge for c in after.get(b, ()) if (a, c) in edge]
-
-
-def hodge(n: int, i: np.ndarray, j: np.ndarray, mu: np.ndarray, residual: np.ndarray, lam: np.ndarray, tiny: float = 1e-18) -> dict:
-    """The residual's energy as local (triangle) and harmonic cycles, over that of the measurements."""
+def triangles(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """(edge ij, edge jk, edge ik) of every triangle i < j < k, one in each row."""
+    near = np.zeros((n, n), dtype=bool)
+    near[i, j] = True
+    order = np.argsort(i.astype(np.int64) * n + j)
+    code = (i.astype(np.int64) * n + j)[order]
+    edge = lambda a, b: order[np.searchsorted(code, a * n + b)]
+    found = [np.zeros((0, 3), dtype=np.int64)]
+    for a in range(n):
+        after = np.flatnonzero(near[a])
+        b, c = (after[x] for x in np.nonzero(near[np.ix_(after, after)]))
+        if len(b):
+            found.append(np.stack([edge(a, b), edge(b, c), edge(a, c)], axis=1))
+    return np.concatenate(found)
+
+
+def _common_before(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each edge i < j the nodes k < i that meet both; their sum is the number of triangles."""
+    up = np.zeros((n, n), dtype=np.float32)
+    up[i, j] = 1
+    return (up.T @ up)[i, j].astype(np.int64)
+
+
+def curl_rank(n: int, i: np.ndarray, j: np.ndarray, most: int) -> int:
+    """Rank of the triangles in the cycle space, whose dimension is ``most``, exactly (modulo a large prime).
+
+    Edges come in the order of (later node, earlier node), nodes of many edges first.
+    The first triangle that an edge closes is a pivot of its own; of its others one
+    for each connected part of the edge's common neighbours is enough, since between
+    neighbours a tetrahedron gives the rest by triangles of earlier edges.
+    """
+    prime = 2**31 - 1
+    place = np.empty(n, dtype=np.int64)
+    place[np.argsort(-np.bincount(np.concatenate([i, j]), minlength=n), kind="stable")] = np.arange(n)
+    a, b = np.minimum(place[i], place[j]), np.maximum(place[i], place[j])
+    common = _common_before(n, a, b)
+    rank = int((common > 0).sum())
+    if rank == most:
+        return rank
+    near = np.zeros((n, n), dtype=bool)
+    near[a, b] = near[b, a] = True
+    pivots: dict[int, dict[int, int]] = {}
+
+    def triangle(k: int, a: int, b: int) -> dict[int, int]:
+        # an edge's number, later node first, is its place in the order
+        return {b * n + a: 1, b * n + k: prime - 1, a * n + k: 1}
+
+    def pivot(edge: int) -> dict[int, int] | None:
+        if edge not in pivots:
+            b, a = divmod(edge, n)
+            both = near[a, :a] & near[b, :a]
+            if not both.any():
+                return None
+            pivots[edge] = triangle(int(both.argmax()), a, b)
+        return pivots[edge]
+
+    several = np.flatnonzero(common > 1)
+    for e in several[np.argsort(common[several], kind="stable")]:
+        x, y = int(a[e]), int(b[e])
+        left = np.flatnonzero(near[x, :x] & near[y, :x])
+        first = True
+        while len(left):
+            part, front = np.zeros(n, dtype=bool), left[:1]
+            inside = np.zeros(n, dtype=bool)
+            inside[left] = True
+            while len(front):
+                part[front] = True
+                front = np.flatnonzero(near[front].any(axis=0) & inside & ~part)
+            if not first:
+                column = triangle(int(left[0]), x, y)
+                while column:
+                    top = max(column)
+                    by = pivot(top)
+                    if by is None:
+                        unit = pow(column[top], -1, prime)
+                        pivots[top] = {k: v * unit % prime for k, v in column.items()}
+                        rank += 1
+                        break
+                    factor = column[top]
+                    for k, v in by.items():
+                        new = (column.get(k, 0) - factor * v) % prime
+                        if new:
+                            column[k] = new
+                        else:
+                            column.pop(k, None)
+                if rank == most:
+                    return rank
+            first = False
+            left = left[~part[left]]
+    return rank
+
+
+def _project(forward, adjoint, target: np.ndarray, tolerance: float = 1e-22, noise: float = 1e-28) -> np.ndarray:
+    """Projection of ``target`` onto the range of ``forward``: conjugate gradients on the least squares.
+
+    It ends where the gradient's square is ``tolerance`` of the first one's, or within rounding of nought.
+    """
+    r = target.copy()
+    s = d = adjoint(r)
+    gamma = start = float(s @ s)
+    largest = 0.0
+    for _ in range(20 * len(target) + 100):
+        if gamma <= max(tolerance * start, noise * largest * float(target @ target)):
+            return target - r
+        q = forward(d)
+        size = float(q @ q)
+        largest = max(largest, size / float(d @ d))
+        r -= gamma / size * q
+        s = adjoint(r)
+        before, gamma = gamma, float(s @ s)
+        d = s + gamma / before * d
+    raise ArithmeticError("the split into curl and harmonic part doesn't converge")
+
+
+def hodge(n: int, i: np.ndarray, j: np.ndarray, mu: np.ndarray, residual: np.ndarray, lam: np.ndarray, tiny: float = 1e-18, listed: int = 2_000_000) -> dict:
+    """The residual's energy as local (triangle) and harmonic cycles, over that of the measurements.
+
+    More than ``listed`` triangles aren't written out: their sums over an edge's
+    common neighbours come from a product with the adjacency matrix.
+    """
     energy = float((lam * mu * mu).sum()) + tiny
     parts = len(np.unique(components(n, i, j)))
     cycle_dim = len(i) - n + parts
-    found = triangles(n, i, j) if cycle_dim else []
     total = float((lam * residual * residual).sum())
     if not cycle_dim:
         return {"curl": 0.0, "harmonic": 0.0, "triangles": 0, "cycle_dim": 0, "harmonic_dim": 0}
-    if not found:
+    count = int(_common_before(n, i, j).sum())
+    if not count:
         return {"curl": 0.0, "harmonic": total / energy, "triangles": 0, "cycle_dim": cycle_dim, "harmonic_dim": cycle_dim}
-    curls = np.zeros((len(i), len(found)))
-    for k, (ab, bc, ac) in enumerate(found):
-        curls[[ab, bc, ac], k] = [1.0, 1.0, -1.0]
     # in the inner product weighted by lam: residual flows lam * r lie in the cycle space
     root = np.sqrt(np.maximum(lam, tiny))
-    basis = curls / root[:, None]
     target = residual * root
-    # projection by the triangles' Gram matrix, which is singular where triangles share a cycle
-    value, vector = np.linalg.eigh(basis.T @ basis)
-    good = value > 1e-10 * value[-1]
-    rank = int(good.sum())
-    along = (vector[:, good].T @ (basis.T @ target)) / np.sqrt(value[good])
+    rank = curl_rank(n, i, j, cycle_dim)
+    if count <= listed:
+        ab, bc, ac = triangles(n, i, j).T
+        # triangles of equal length: the range stays, the conditioning gets better
+        size = 1 / np.sqrt(1 / root[ab] ** 2 + 1 / root[bc] ** 2 + 1 / root[ac] ** 2)
+
+        def forward(turn: np.ndarray) -> np.ndarray:
+            t = turn * size
+            return (np.bincount(ab, t, len(root)) + np.bincount(bc, t, len(root)) - np.bincount(ac, t, len(root))) / root
+
+        def adjoint(x: np.ndarray) -> np.ndarray:
+            y = x / root
+            return (y[ab] + y[bc] - y[ac]) * size
+
+    else:
+        near = np.zeros((n, n))
+        near[i, j] = near[j, i] = 1.0
+        common = (near @ near)[i, j]
+        flow = np.zeros((n, n))
+
+        def forward(x: np.ndarray) -> np.ndarray:
+            """The curls' Gram matrix over the edges, which has the same range."""
+            y = x / root
+            flow[i, j], flow[j, i] = y, -y
+            got = near @ flow
+            return (common * y - got[i, j] + got[j, i]) / root
+
+        adjoint = forward
+    along = _project(forward, adjoint, target)
     local = float((along**2).sum())
-    return {"curl": local / energy, "harmonic": max(total - local, 0.0) / energy, "triangles": len(found), "cycle_dim": cycle_dim, "harmonic_dim": cycle_dim - int(rank)}
+    return {"curl": local / energy, "harmonic": max(total - local, 0.0) / energy, "triangles": count, "cycle_dim": cycle_dim, "harmonic_dim": cycle_dim - rank}
 
 
 def _diagnostics(n, i, j, mu, s: Solution, bridge, config: SolverConfig) -> dict:
@@ -217,7 +346,7 @@ def _diagnostics(n, i, j, mu, s: Solution, bridge, config: SolverConfig) -> dict
         "flagged": int((np.abs(np.nan_to_num(s.loo_z)) > 3).sum()),
         "degraded": bool(s.degraded),
     }
-    out |= hodge(n, i, j, mu, r, w, config.tiny) if len(i) <= 4000 else {"curl": None, "harmonic": None, "triangles": None, "cycle_dim": len(i) - n + out["components"], "harmonic_dim": None}
+    out |= hodge(n, i, j, mu, r, w, config.tiny)
     if 1 < n <= EXACT:
         lap = np.zeros((n, n))
         np.add.at(lap, (i, i), w)

@@ -44,6 +44,42 @@ def test_chordless_cycle_is_harmonic_and_triangle_is_curl():
     assert tri["harmonic"] == pytest.approx(0, abs=1e-9) and tri["curl"] == pytest.approx(tri["hcr"]) and tri["harmonic_dim"] == 0
 
 
+def test_hodge_split_against_dense_projection():
+    holes = 0
+    for seed in range(12):
+        _, n, i, j, mu, lam = graph(seed, n=16, extra=8 * seed + 4)
+        lam[::3] *= 1e-3
+        r = np.random.default_rng(seed).normal(size=len(i))
+        found = S.triangles(n, i, j)
+        assert len(found) == sum({(x, y), (y, z), (x, z)} <= set(zip(i, j)) for x, y, z in itertools.combinations(range(n), 3))
+        curls = np.zeros((len(i), len(found)))
+        for k, (ab, bc, ac) in enumerate(found):
+            curls[[ab, bc, ac], k] = [1.0, 1.0, -1.0]
+        root = np.sqrt(lam)
+        basis = curls / root[:, None]
+        local = float(((basis @ np.linalg.lstsq(basis, r * root, rcond=None)[0]) ** 2).sum()) if len(found) else 0.0
+        for listed in (10**6, 0):
+            got = S.hodge(n, i, j, mu, r, lam, listed=listed)
+            assert got["curl"] * (lam * mu * mu).sum() == pytest.approx(local, rel=1e-7, abs=1e-9)
+            assert got["triangles"] == len(found) and got["harmonic_dim"] == got["cycle_dim"] - (np.linalg.matrix_rank(curls) if len(found) else 0)
+        holes += got["harmonic_dim"] > 0
+    assert 0 < holes < 12
+
+
+def test_hodge_split_of_a_large_group():
+    i, j = np.array(list(itertools.combinations(range(95), 2))).T
+    whole = S.solve_graph(95, i, j, np.random.default_rng(0).normal(size=len(i)), np.ones(len(i))).summary
+    assert len(i) > 4000 and whole["triangles"] == math.comb(95, 3) and whole["harmonic_dim"] == 0
+    assert whole["harmonic"] == pytest.approx(0, abs=1e-9) and whole["curl"] == pytest.approx(whole["hcr"])
+    # on a torus of 30 x 30 with one diagonal each two cycles aren't made of triangles
+    at = lambda x, y: x % 30 * 30 + y % 30
+    pairs = {tuple(sorted((at(x, y), at(x + p, y + q)))) for x in range(30) for y in range(30) for p, q in ((1, 0), (0, 1), (1, 1))}
+    pairs |= {(900 + a, 900 + b) for a, b in zip(i, j)}
+    i, j = np.array(sorted(pairs)).T
+    torus = S.hodge(995, i, j, np.ones(len(i)), np.random.default_rng(1).normal(size=len(i)), np.ones(len(i)))
+    assert torus["harmonic_dim"] == 2 and torus["triangles"] == 1800 + math.comb(95, 3)
+
+
 def test_huber_shrugs_off_an_outlier():
     truth, n, i, j, mu, lam = graph(7, n=15, extra=60, noise=0.05)
     mu[3] += 8
