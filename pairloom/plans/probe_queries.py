@@ -82,6 +82,24 @@ def pmf_reflect_compress(spark, sf):
     return P.compressed(d, ["model"], 16).select("model", r6("value").alias("value"), F.round("p", 6).alias("p"))
 
 
+@query("pmf_convolve_axes")
+def pmf_convolve_axes(spark, sf):
+    """Sum of the log-ratios of every two axes for each model."""
+    p = P.from_readings(obs(spark, sf), AM)
+    axes = p.select(*AM).distinct()
+    pairs = axes.withColumnRenamed("axis_key", "axis_a").join(axes.withColumnRenamed("axis_key", "axis_b"), "model").filter("axis_a < axis_b")
+    on = lambda x: pairs.join(p.withColumnRenamed("axis_key", x), [x, "model"])
+    return P.convolved(on("axis_a"), on("axis_b"), ["axis_a", "axis_b", "model"]).withColumn("p", F.round("p", 9))
+
+
+@query("pmf_reflect_compress_axes")
+def pmf_reflect_compress_axes(spark, sf):
+    """Every axis and model, to at most 128 points."""
+    p = P.reflected(P.from_readings(obs(spark, sf), AM))
+    d = p.select(*AM, P.atom_value(F.col("atom")).alias("value"), "p")
+    return P.compressed(d, AM, 128).select(*AM, r6("value").alias("value"), F.round("p", 6).alias("p"))
+
+
 _DRAWS = f"{OBS}, draws as (select axis_key, model, case when m >= 0 then 'A' else 'B' end as direction, floor(ratio)::bigint as whole, (floor(ratio * 10) - floor(ratio) * 10)::bigint as part from obs where ratio <= 999)"
 _LEAVES = _DRAWS + ", n as (select axis_key, model, count(*) as n from draws group by 1, 2), leaves as (select axis_key, model, direction, whole, part, count(*) / any_value(n)::double as p, any_value(n) as n from draws join n using (axis_key, model) group by 1, 2, 3, 4, 5)"
 

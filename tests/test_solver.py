@@ -164,6 +164,18 @@ def test_reflection_and_ladder_keep_the_mean(spark):
     assert all(both[k] == pytest.approx(-mean[k], abs=1e-12) for k in mean)
 
 
+def test_axes_are_all_reflected_and_convolved(spark, monkeypatch):
+    from pairloom.plans import probe_queries as Q
+
+    rows = [(a, m, x) for a, x in (("clarity", 0.3), ("trust", 1.2), ("zest", -0.4)) for m in ("m1", "m2")]
+    monkeypatch.setattr(Q, "obs", lambda *_: spark.createDataFrame(rows, "axis_key string, model string, m double"))
+    mean = {(r["axis_key"], r["model"]): r["mean"] for r in Q.pmf_reflect_compress_axes(spark, "").groupBy("axis_key", "model").agg(F.sum(F.col("value") * F.col("p")).alias("mean")).collect()}
+    assert mean == pytest.approx({(a, m): -x for a, m, x in rows}, abs=1e-5)
+    both = Q.pmf_convolve_axes(spark, "").groupBy("axis_a", "axis_b", "model").agg(F.sum(F.col("value") * F.col("p")).alias("mean")).collect()
+    one = {a: x for a, _, x in rows}
+    assert {(r["axis_a"], r["axis_b"], r["model"]): r["mean"] for r in both} == pytest.approx({(a, b, m): one[a] + one[b] for a, b in itertools.combinations(one, 2) for m in ("m1", "m2")}, abs=1e-5)
+
+
 def test_round_robin_meets_everyone_once(spark):
     for n in (2, 5, 8):
         got = [(r["a"], r["b"]) for r in planner.round_robin(spark, n).collect()]
