@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairloom.operators.ranking import spearman
+
 
 def judge_correlation(latents: DataFrame, keys: list[str], judge: str = "model", value: str = "s", least: int = 3) -> DataFrame:
     """(keys, judge_a, judge_b, n, r) over the entities that both judged."""
@@ -60,6 +62,33 @@ def canonize(pair_rho: DataFrame, keys: list[str]) -> DataFrame:
     return pair_rho.groupBy(*keys).agg(F.count("r").alias("judge_pairs"), F.avg("r").alias("transmissibility"), F.max(F.abs("r")).alias("redundancy"))
 
 
+def canonicality(latents: DataFrame, axis: str = "axis_key", judge: str = "model", value: str = "s") -> DataFrame:
+    """(axis, judge_pairs, transmissibility, signal, redundancy) of each axis.
+
+    Transmissibility is the mean Spearman of the judge pairs, signal the mean of the
+    judges' population standard deviations, and redundancy the largest |rho| with an
+    axis accepted before, as the first judge by name sees both.  Axes are accepted in
+    the order of transmissibility, the best first; it has no redundancy.
+    """
+    x = latents.select(F.col(axis).alias("axis"), F.col(judge).alias("judge"), "entity_id", F.col(value).alias("s"))
+    side = lambda s, k, v: x.select(*[F.col(c).alias(k if c == v else c) for c in ("axis", "judge", "entity_id")], F.col("s").alias(s))
+    pairs = side("x", "judge_a", "judge").join(side("y", "judge_b", "judge"), ["axis", "entity_id"]).filter("judge_a < judge_b")
+    rho = spearman(pairs, ["axis", "judge_a", "judge_b"], "x", "y")
+    agreed = rho.groupBy("axis").agg(F.count("rho").alias("judge_pairs"), F.avg("rho").alias("transmissibility"))
+    signal = x.groupBy("axis", "judge").agg(F.stddev_pop("s").alias("sd")).groupBy("axis").agg(F.avg("sd").alias("signal"))
+    first = x.agg(F.min("judge").alias("judge"))
+    a, b = (side(s, k, "axis").join(F.broadcast(first), "judge") for s, k in (("x", "axis_a"), ("y", "axis_b")))
+    between = spearman(a.join(b, ["judge", "entity_id"]).filter("axis_a <> axis_b"), ["axis_a", "axis_b"], "x", "y")
+    out = signal.join(agreed, "axis", "left").fillna(0, ["judge_pairs"])
+    # as many rows as there are axes
+    order = Window.orderBy(F.desc_nulls_last("transmissibility"), "axis")
+    placed = out.withColumn("_n", F.row_number().over(order))
+    at = lambda k: placed.select(F.col("axis").alias(k), F.col("_n").alias(f"_{k}"))
+    closest = between.join(at("axis_a"), "axis_a").join(at("axis_b"), "axis_b").filter("_axis_b < _axis_a")
+    closest = closest.groupBy(F.col("axis_a").alias("axis")).agg(F.max(F.abs("rho")).alias("redundancy"))
+    return out.join(closest, "axis", "left").select(F.col("axis").alias(axis), "judge_pairs", "transmissibility", "signal", "redundancy")
+
+
 def softmax2(rows: DataFrame, keys: list[str], score: str) -> DataFrame:
     """``weight``: 2^score over the group's sum."""
     return rows.withColumn("weight", F.pow(F.lit(2.0), score) / F.sum(F.pow(F.lit(2.0), score)).over(Window.partitionBy(*keys)))

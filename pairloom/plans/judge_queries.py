@@ -50,6 +50,13 @@ def canonize(spark, sf):
     return x.select("axis_key", "judge_pairs", r6("transmissibility").alias("transmissibility"), r6("redundancy").alias("redundancy"))
 
 
+@query("canonize_axes")
+def canonize_axes(spark, sf):
+    """Transmissibility by Spearman, signal, and redundancy against the axes accepted before."""
+    x = J.canonicality(latents(spark, sf))
+    return x.select("axis_key", "judge_pairs", *[r6(c).alias(c) for c in ("transmissibility", "signal", "redundancy")])
+
+
 @query("explain_ranking")
 def explain_ranking(spark, sf):
     """Non-negative weights of the axes that best give the runs' best scores back, by lens."""

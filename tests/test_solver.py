@@ -176,6 +176,20 @@ def test_axes_are_all_reflected_and_convolved(spark, monkeypatch):
     assert {(r["axis_a"], r["axis_b"], r["model"]): r["mean"] for r in both} == pytest.approx({(a, b, m): one[a] + one[b] for a, b in itertools.combinations(one, 2) for m in ("m1", "m2")}, abs=1e-5)
 
 
+def test_canonicality_is_by_ranks_and_between_axes(spark):
+    # judges that agree in order, not in size; axis q is p turned round with one swap, axis z has a judge who disagrees
+    scores = {("p", "j1"): [0, 1, 2, 3, 90], ("p", "j2"): [0, 50, 60, 61, 62], ("q", "j1"): [9, 3, 2, 0, 1], ("q", "j2"): [8, 3, 2, 0, 1], ("z", "j1"): [2, 0, 1, 4, 3], ("z", "j2"): [3, 4, 1, 0, 2]}
+    rows = [(a, m, f"e{k}", float(s)) for (a, m), x in scores.items() for k, s in enumerate(x)]
+    got = {r["axis_key"]: r for r in judges.canonicality(spark.createDataFrame(rows, "axis_key string, model string, entity_id string, s double")).collect()}
+    rank = lambda x: np.argsort(np.argsort(x))
+    rho = lambda a, b: float(np.corrcoef(rank(scores[a]), rank(scores[b]))[0, 1])
+    for axis, before in (("p", ""), ("q", "p"), ("z", "pq")):
+        r = got[axis]
+        assert r["judge_pairs"] == 1 and r["transmissibility"] == pytest.approx(rho((axis, "j1"), (axis, "j2")))
+        assert r["signal"] == pytest.approx(np.mean([np.std(scores[axis, j]) for j in ("j1", "j2")]))
+        assert r["redundancy"] == (pytest.approx(max(abs(rho((axis, "j1"), (b, "j1"))) for b in before)) if before else None)
+
+
 def test_round_robin_meets_everyone_once(spark):
     for n in (2, 5, 8):
         got = [(r["a"], r["b"]) for r in planner.round_robin(spark, n).collect()]
