@@ -15,9 +15,10 @@ of all votes is as small as the number of its annotators, and every round sends
 back a row for each annotator, never for each item.
 
 Defined cases: votes of null items, sides other than A and B, refusals and
-errors don't count; a model that votes twice on a pair counts twice; null,
-impossible and percent confidences are handled by ``vote_weight``; an item on
-which the evidence is even goes to the smaller hash; no vote gives no row.
+errors don't count; a model that votes twice on a pair counts twice;
+every vote counts whole, the confidence isn't used (``vote_weight``, which reads
+null, impossible and percent confidences, is for callers); an item on which the
+evidence is even goes to the smaller hash; no vote gives no row.
 """
 
 from __future__ import annotations
