@@ -10,6 +10,8 @@ the running count within the task.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,26 @@ from pairloom.session import default_parallelism, materialise
 
 #: Rows of the table of offsets (tasks + groups) up to which it is broadcast; about 100 bytes each.
 BROADCAST_ROWS = 100_000
+#: Copies of the smaller side of a join where a key may be hot.
+SALTS = 16
+
+
+def hot_join(rows: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join on keys (nulls equal) of which one may hold a third of ``rows``; ``small`` has a row for each key.
+
+    Up to ``BROADCAST_ROWS`` keys are counted and broadcast; more are copied ``SALTS`` times, so that a hot key is joined in as many tasks.
+    """
+    kept = [c for c in small.columns if c not in on]
+    right = small.select(*[F.col(c).alias(f"_on_{c}") for c in on], *kept)
+    match = lambda r: reduce(and_, [rows[c].eqNullSafe(r[f"_on_{c}"]) for c in on])
+    if small.count() <= BROADCAST_ROWS:
+        right = F.broadcast(right)
+        return rows.join(right, match(right)).select(*[rows[c] for c in rows.columns], *[right[c] for c in kept])
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = [F.col(c) for c in rows.columns if c not in on] or [F.monotonically_increasing_id()]
+    left = rows.withColumn("_salt_of", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
+    by = reduce(and_, [left[c].eqNullSafe(right[f"_on_{c}"]) for c in on])
+    return left.join(right, by & (left["_salt_of"] == right["_salt"])).select(*[left[c] for c in rows.columns], *[right[c] for c in kept])
 
 
 def sorted_counts(values: DataFrame, groups: list[str], order: list[str], count: str = "n") -> tuple[DataFrame, DataFrame]:

@@ -46,6 +46,8 @@ def scratch_base(spark: SparkSession) -> str:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _LOCAL_BASE:
         made = tempfile.mkdtemp(prefix="pairloom-")
         atexit.register(shutil.rmtree, made, True)
@@ -79,6 +81,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Let the driver forget shuffles that no plan refers to any more, so that their files go."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def arrow_fs(uri: str):
     """pyarrow's file system and path for a URI of the shared folder; for use in Python workers."""
     from pyarrow import fs
