@@ -49,8 +49,8 @@ def stationary(src: np.ndarray, dst: np.ndarray, step: np.ndarray, start: np.nda
     return x
 
 
-def strengths(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, start: np.ndarray, ext_node: np.ndarray, ext_strength: np.ndarray, ext_out: np.ndarray, ext_in: np.ndarray, tolerance: float = 1e-9, most: int = 200) -> tuple[np.ndarray, int]:
-    """Maximum-likelihood strengths of a block's nodes and the rounds it took.
+def strengths(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, start: np.ndarray, ext_node: np.ndarray, ext_strength: np.ndarray, ext_out: np.ndarray, ext_in: np.ndarray, tolerance: float = 1e-9, most: int = 200) -> tuple[np.ndarray, bool]:
+    """Maximum-likelihood strengths of a block's nodes, and whether they came to rest.
 
     ``weight`` is what ``dst`` won over ``src``.  For comparisons with nodes
     outside, whose strengths are held: ``ext_node`` lost ``ext_out`` and won
@@ -59,9 +59,9 @@ def strengths(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, start: np.nd
     """
     n, pi = len(start), start.copy()
     if not len(src) and not len(ext_node):
-        return pi, 0
+        return pi, True
     inner = 1e-3
-    for turn in range(1, most + 1):
+    for _ in range(most):
         rate = weight / (pi[src] + pi[dst])
         out = np.bincount(src, rate, n)
         inflow = np.zeros(n)
@@ -80,6 +80,6 @@ def strengths(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, start: np.nd
         change = np.abs(np.log(new) - np.log(pi)).max()
         pi = new
         if change < tolerance and inner <= tolerance * 1e-2:
-            break
+            return pi, True
         inner = max(min(inner * 0.1, change * 1e-2), tolerance * 1e-2)
-    return pi, turn
+    return pi, False

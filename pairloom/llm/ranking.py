@@ -2,12 +2,20 @@
 
 Comparisons are first reduced to one row for each pair of entities that met,
 with what each side won, so repeats cost nothing later.  The pairs of an axis
-form a graph, cut into blocks of bounded size by the entities' order; each block
-is solved to its maximum-likelihood strengths while the strengths outside are
-held, and the blocks exchange strengths until none changes.  An entity that
-meets more others than a block may hold is a hub: its pairs lie with the other
-entities' blocks, which send back sums for it, never its rows.  An axis that
-fits one block is solved in one round.
+form a graph, whose ends are written once in blocks of bounded size by the
+entities' order.  One path serves every size.  In each round every block
+rebuilds its transition rates from the current strengths and solves for the
+stationary distribution, with the strengths outside it held; the blocks'
+answers are then mixed over the whole axis (Anderson's acceleration: the
+combination of the last rounds' answers whose changes cancel best), until no
+strength changes.  A block that meets nothing outside is exact after its first
+round.  Between two rounds only strengths travel, one for each entity and block
+that meets it; the ends stay in the blocks' files.  An entity that meets more
+others than a block may hold is a hub: its pairs lie with the other entities'
+blocks, which send back sums for it, never its rows.
+
+An axis that hasn't come to rest after ``ROUNDS`` rounds is returned with
+``converged`` false and warned of.
 
 How much a comparison says: the winner gets ratio / (1 + ratio) of it and the
 loser the rest, which is what the model expects of two entities whose strengths
@@ -19,14 +27,17 @@ each connected component has strengths of geometric mean 1, and its number and
 size are in the result.
 
 Defined cases: null or equal entities, sides other than A and B, refusals and
-errors don't count; ratios that are null, NaN, infinite or not above 0 aren't
-usable, those below 1 count as 1; equal strengths (to 9 digits) share a rank; a
-null axis is dropped; with whole wins a pair that only ever one side won gets
-``tie`` added to both sides, since strengths would be infinite otherwise.
+errors don't count; a ratio is usable above 1 (one of 1 or less contradicts
+the stated win, which then counts as a win without a ratio) and counts as
+``MOST_RATIO`` at most, infinite ones too; equal strengths (to 9 digits) share
+a rank; a null axis is dropped; with whole wins a pair that only ever one side
+won gets ``tie`` added to both sides, since strengths would be infinite otherwise.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -35,11 +46,14 @@ from pyspark.sql import functions as F
 from pairloom.llm.luce import strengths
 from pairloom.operators.ordered import positions
 from pairloom.operators.dedup import comparison_identifier, current_rows, delivery_order
-from pairloom.session import drop_path, materialise, scratch_dir
+from pairloom.operators.ordered import hot_join
+from pairloom.session import arrow_fs, collect_garbage, default_parallelism, drop_path, materialise, scratch_dir
 
-#: Pair-ends in one block (about 150 bytes each while it's solved, all numbers), and change of log-strength at which the blocks are done.
-BLOCK_ENDS, TOLERANCE, ROUNDS = 3_000_000, 1e-7, 200
-#: Largest usable ratio: beyond it a share is 1 in all but name.
+#: Pair-ends in one block (about 150 bytes each while it's solved, all numbers), change of log-strength at which an axis is done, and rounds at most.
+BLOCK_ENDS, TOLERANCE, ROUNDS = 250_000, 1e-7, 120
+#: Earlier rounds that are mixed.
+DEPTH = 12
+#: What a larger ratio counts as: a share of 1 in all but name.
 MOST_RATIO = 1e6
 
 
@@ -55,7 +69,7 @@ def decided(comparisons: DataFrame) -> DataFrame:
 def pair_weights(rows: DataFrame, use_ratio: bool = True, tie: float = 0.0) -> DataFrame:
     """(axis_key, lo, hi, lo_won, hi_won, met): one row for each pair that met."""
     lo_wins = (F.col("a") < F.col("b")) == F.col("a_won")
-    ratio = F.when(F.col("ratio").isNotNull() & ~F.isnan("ratio") & (F.col("ratio") > 0) & (F.col("ratio") <= MOST_RATIO), F.greatest("ratio", F.lit(1.0)))
+    ratio = F.when(~F.isnan("ratio") & (F.col("ratio") > 1), F.least("ratio", F.lit(MOST_RATIO)))
     share = ratio / (1 + ratio) if use_ratio else F.lit(1.0)
     sides = rows.select("axis_key", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), lo_wins.alias("lw"), share.alias("share"))
     known = F.col("share").isNotNull()
@@ -92,19 +106,27 @@ def _blocks(pairs: DataFrame, block_ends: int) -> tuple[DataFrame, DataFrame]:
     own = entities.select("axis_key", "node", "axis", "no", "block")
     far = entities.select("axis_key", F.col("node").alias("other_node"), F.col("no").alias("other"), F.col("block").alias("other_block"))
     numbered = ends.drop("met").join(own, ["axis_key", "node"]).join(far, ["axis_key", "other_node"])
-    # two hubs' own pairs are kept in a block of their own
+    # two hubs' own pairs need no block's strengths: they are spread over blocks of their own, numbered below 0
+    spread = -1 - F.pmod(F.xxhash64("no", "other"), F.lit(default_parallelism(pairs.sparkSession))).cast("int")
     kept = numbered.filter(F.col("block").isNotNull() | F.col("other_block").isNull())
-    return entities, kept.select("axis", F.coalesce("block", F.lit(-1)).alias("block"), "no", "other", "won", "lost", "other_block")
+    return entities, kept.select("axis", F.coalesce("block", spread).alias("block"), "no", "other", "won", "lost", "other_block")
+
+
+def _part() -> F.Column:
+    """The folder of a block's ends and of its strengths."""
+    return F.concat_ws("_", F.col("axis").cast("string"), F.col("block").cast("string"))
 
 
-_SOLVED = ["axis", "no", "block", "log_strength", "component", "up", "down"]
+_SOLVED = ["part", "axis", "block", "no", "component", "gs", "fs", "weight", "moved", "exact", "up", "down"]
+_SCHEMA = "part string, axis long, block int, no long, component long, gs array<double>, fs array<double>, weight double, moved boolean, exact boolean, up double, down double"
 
 
-def _solve_block(ends: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-    """Strengths, components and (for hubs) sums of one block; ``held``: current (no, log_strength, component) of its nodes and neighbours."""
-    axis, block = ends["axis"].iloc[0], int(ends["block"].iloc[0])
-    held = held.drop_duplicates("no").sort_values("no")
-    known, now, label = held["no"].to_numpy(), held["log_strength"].to_numpy(float), held["component"].to_numpy()
+def _solve_block(ends: pd.DataFrame, block: int, held: pd.DataFrame) -> tuple[dict | None, pd.DataFrame | None]:
+    """New strengths and components of a block's nodes, and the sums of the hubs they met.
+
+    ``held``: current (no, x, component) of the block's nodes and of all that they meet, by number.
+    """
+    known, now, label = held["no"].to_numpy(), held["x"].to_numpy(float), held["component"].to_numpy()
     at = lambda numbers: np.searchsorted(known, numbers)
     names, node = np.unique(ends["no"].to_numpy(), return_inverse=True)
     others, to = ends["other"].to_numpy(), ends["other_block"].to_numpy(float)
@@ -112,12 +134,14 @@ def _solve_block(ends: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
     won, lost = ends["won"].to_numpy(float), ends["lost"].to_numpy(float)
     other = np.searchsorted(names, others[inside])
     out = at(others[~inside])
-    pi = np.exp(now[at(names)])
-    if block != -1:
+    was = now[at(names)]
+    pi, settled = np.exp(was), True
+    if block >= 0:
         # weight of src -> dst is what dst won over src
-        pi, _ = strengths(node[inside], other, lost[inside], pi, node[~inside], np.exp(now[out]), lost[~inside], won[~inside], TOLERANCE * 0.1)
+        pi, settled = strengths(node[inside], other, lost[inside], pi, node[~inside], np.exp(now[out]), lost[~inside], won[~inside], TOLERANCE * 0.1)
     # a component's label is its least number, spread over the pairs until it rests
-    least = np.minimum(label[at(names)], names)
+    before = label[at(names)]
+    least = np.minimum(before, names)
     np.minimum.at(least, node[~inside], label[out])
     while True:
         new = least.copy()
@@ -125,76 +149,180 @@ def _solve_block(ends: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if (new == least).all():
             break
         least = new
-    parts = []
-    if block != -1:
-        parts.append(pd.DataFrame({"axis": axis, "no": names, "block": block, "log_strength": np.log(pi), "component": least, "up": np.nan, "down": np.nan}))
+    nodes = None
+    if block >= 0:
+        weight = np.bincount(node, won + lost, len(names))
+        nodes = {"no": names, "was": was, "x": np.log(pi), "component": least, "weight": weight, "moved": bool((least != before).any()), "exact": bool(settled and inside.all())}
     # for a hub: what it won here, weighed as its strength's numerator, and its denominator
     hubs = np.isnan(to)
+    sums = None
     if hubs.any():
         p, total = pi[node[hubs]], pi[node[hubs]] + np.exp(now[at(others[hubs])])
-        sums = pd.DataFrame({"no": others[hubs], "component": least[node[hubs]], "up": lost[hubs] * p / total, "down": won[hubs] / total})
-        sums = sums.groupby("no", as_index=False).agg({"component": "min", "up": "sum", "down": "sum"})
-        parts.append(sums.assign(axis=axis, block=-1, log_strength=np.nan))
-    return pd.concat([x[_SOLVED] for x in parts], ignore_index=True)
+        sums = pd.DataFrame({"no": others[hubs], "component": least[node[hubs]], "up": lost[hubs] * p / total, "down": won[hubs] / total, "weight": won[hubs] + lost[hubs]})
+        sums = sums.groupby("no", as_index=False).agg({"component": "min", "up": "sum", "down": "sum", "weight": "sum"})
+    return nodes, sums
 
 
-def luce_strengths(pairs: DataFrame, block_ends: int = BLOCK_ENDS, rounds: int = ROUNDS) -> DataFrame:
-    """(axis_key, node, log_strength, component, met, met_others): maximum-likelihood strengths, not yet centred."""
-    spark = pairs.sparkSession
-    entities, ends = _blocks(pairs, block_ends)
-    ends = materialise(ends, "ranking-ends")
-    boundary = ends.filter(~F.col("other_block").eqNullSafe(F.col("block"))).select("axis", "block", F.col("other").alias("no")).distinct()
-    boundary = materialise(boundary, "ranking-boundary")
-    single = boundary.limit(1).count() == 0
-    state = entities.select("axis", "no", F.coalesce("block", F.lit(-1)).alias("block"), F.lit(0.0).alias("log_strength"), F.col("no").alias("component"))
-    schema = "axis long, no long, block int, log_strength double, component long, up double, down double"
+def _round_of(ends_at: str, state_at: str | None):
+    """The function of one block: reads its ends and its earlier answers from its files, and solves it."""
+    read = ["no", "other", "won", "lost", "other_block"]
 
-    def solve(e: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
-        return _solve_block(e, h) if len(e) else pd.DataFrame(columns=_SOLVED)
+    def solve(key: tuple, held: pd.DataFrame) -> pd.DataFrame:
+        import pyarrow.dataset as ds
+
+        axis, block = int(key[0]), int(key[1])
+        part = f"{axis}_{block}"
+        fs, root = arrow_fs(ends_at)
+        ends = ds.dataset(f"{root}/part={part}", filesystem=fs, format="parquet").to_table(columns=read).to_pandas()
+        held = held.dropna(subset=["no"]).drop_duplicates("no").sort_values("no").astype({"no": "int64", "component": "int64"})
+        nodes, sums = _solve_block(ends, block, held)
+        parts = []
+        if nodes is not None:
+            gs, changes = nodes["x"][:, None], (nodes["x"] - nodes["was"])[:, None]
+            if state_at is not None:
+                fs, root = arrow_fs(state_at)
+                old = ds.dataset(f"{root}/part={part}", filesystem=fs, format="parquet").to_table(columns=["no", "gs", "fs"])
+                order = np.argsort(old["no"].to_numpy())
+                shape = (len(order), -1)
+                gs = np.hstack([old["gs"].combine_chunks().flatten().to_numpy().reshape(shape)[order][:, 1 - DEPTH :], gs])
+                changes = np.hstack([old["fs"].combine_chunks().flatten().to_numpy().reshape(shape)[order][:, 1 - DEPTH :], changes])
+            parts.append(pd.DataFrame({"part": part, "axis": axis, "block": block, "no": nodes["no"], "component": nodes["component"], "gs": list(gs), "fs": list(changes), "weight": nodes["weight"], "moved": nodes["moved"], "exact": nodes["exact"], "up": np.nan, "down": np.nan}))
+        if sums is not None:
+            parts.append(sums.assign(part="hubs", axis=axis, block=block, gs=None, fs=None, moved=False, exact=False))
+        return pd.concat([x[_SOLVED] for x in parts], ignore_index=True) if parts else pd.DataFrame(columns=_SOLVED)
+
+    return solve
+
+
+def mixture(gram: np.ndarray) -> np.ndarray:
+    """Weights of sum 1 whose combination of changes is least, from the changes' products; the last change is the newest."""
+    size = np.sqrt(np.maximum(np.diag(gram), 1e-300))
+    if size[-1] <= 1e-300 or size[-1] > 10 * size.min():  # thrown back: start again from the newest answer
+        return np.eye(len(gram))[-1]
+    scaled = gram / np.outer(size, size)
+    z = np.linalg.lstsq(scaled + 1e-12 * np.eye(len(gram)), 1 / size, rcond=1e-12)[0] / size
+    return z / z.sum() if abs(z.sum()) > 1e-300 and np.isfinite(z).all() else np.eye(len(gram))[-1]
+
+
+def _mix(state: DataFrame, depth: int) -> DataFrame:
+    """(axis, mix, change, done): for each axis the weights of the last answers, and whether it has come to rest."""
+    pairs = [(i, j) for i in range(depth) for j in range(i + 1)]
+    sums = state.groupBy("axis").agg(
+        *[F.sum(F.col("fs")[i] * F.col("fs")[j] * F.col("weight")).alias(f"p{i}_{j}") for i, j in pairs],
+        F.max(F.abs(F.col("fs")[depth - 1])).alias("change"),
+        F.max("moved").alias("moved"),
+        F.min("exact").alias("exact"),
+    )
 
+    def weigh(parts):
+        for part in parts:
+            mixes = []
+            for row in part[[f"p{i}_{j}" for i, j in pairs]].to_numpy(float):
+                gram = np.zeros((depth, depth))
+                for (i, j), v in zip(pairs, row):
+                    gram[i, j] = gram[j, i] = v
+                mixes.append(mixture(gram))
+            rests = part["exact"] | ((part["change"] < TOLERANCE) & ~part["moved"])
+            yield pd.DataFrame({"axis": part["axis"], "mix": mixes, "change": part["change"], "done": rests})
+
+    return materialise(sums.mapInPandas(weigh, "axis long, mix array<double>, change double, done boolean"), "ranking-mix")
+
+
+def _hubs(solved: DataFrame, old: DataFrame, x: DataFrame) -> DataFrame:
+    """The hubs' new answers, from the blocks' sums: what a hub won, weighed by the others' strengths, over what it lost."""
+    sums = solved.filter("part = 'hubs'").groupBy("axis", "no").agg(F.sum("up").alias("up"), F.sum("down").alias("down"), F.sum("weight").alias("weight"), F.min("component").alias("least"))
+    both = sums.join(old, ["axis", "no"]).join(x.select("axis", "no", "x"), ["axis", "no"])
+    g = F.log(F.col("up") / F.col("down"))
+    tail = lambda c, new: F.slice(F.concat(F.col(c), F.array(new)), F.greatest(F.lit(1), F.size(c) + 2 - DEPTH), DEPTH)
+    label = F.least("component", "least")
+    return both.select("axis", "no", label.alias("component"), tail("gs", g).alias("gs"), tail("fs", g - F.col("x")).alias("fs"), "weight", (label != F.col("component")).alias("moved"), F.lit(False).alias("exact"))
+
+
+def luce_strengths(pairs: DataFrame, block_ends: int = BLOCK_ENDS, rounds: int = ROUNDS, report: list | None = None) -> DataFrame:
+    """(axis_key, node, log_strength, component, met, met_others, converged): maximum-likelihood strengths, not yet centred.
+
+    ``report`` takes (round, axes at work, largest change) of each round.
+    """
+    spark = pairs.sparkSession
+    entities, ends = _blocks(pairs, block_ends)
+    ends_at = scratch_dir(spark, "ranking-ends")
+    ends.withColumn("part", _part()).repartition("part").sortWithinPartitions("part", "no").write.partitionBy("part").parquet(ends_at)
+    # all numbers, so that a shuffle between rounds stays small; split by the number they are looked up by
+    written = spark.read.schema(ends.schema.add("part", "string")).parquet(ends_at)
+    outside = written.filter(~F.col("other_block").eqNullSafe(F.col("block"))).select("axis", "block", F.explode(F.when(F.col("block") < 0, F.array("other", "no")).otherwise(F.array("other"))).alias("no")).distinct()
+    outside = materialise(outside, "ranking-outside")
+    blocks = materialise(written.select("axis", "block").distinct(), "ranking-blocks")
+    hubs = entities.filter("block is null").select("axis", "no", F.col("no").alias("component"), F.array().cast("array<double>").alias("gs"), F.array().cast("array<double>").alias("fs"))
+    with_hubs = entities.filter("block is null").limit(1).count() > 0
+    # in units of log-strength: all equal at first
+    x = entities.select("axis", "block", "no", F.lit(0.0).alias("x"), F.col("no").alias("component"))
+    finished: list[DataFrame] = []
+    state_at = mix = None
     for turn in range(rounds):
-        mine = state.select("axis", "block", "no", "log_strength", "component")
-        far = boundary.join(state.drop("block"), ["axis", "no"]).select("axis", "block", "no", "log_strength", "component")
-        held = mine if single else mine.unionByName(far)
+        marks = blocks.select("axis", "block", F.lit(None).cast("long").alias("no"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("long").alias("component"))
+        far = outside.join(x.drop("block"), ["axis", "no"]).select("axis", "block", "no", "x", "component")
+        held = x.filter("block is not null").unionByName(far).unionByName(marks)
         path = scratch_dir(spark, "ranking-round")
-        ends.groupBy("axis", "block").cogroup(held.groupBy("axis", "block")).applyInPandas(solve, schema).write.parquet(path)
-        new = spark.read.schema(schema).parquet(path)
-        # a hub's strength is what it won, weighed by the others' strengths, over what it lost
-        sure = lambda c: F.when(~F.isnan(c), F.col(c))
-        merged = new.groupBy("axis", "no").agg(
-            F.max("block").alias("block"),
-            F.coalesce(F.max(sure("log_strength")), F.log(F.sum(sure("up")) / F.sum(sure("down")))).alias("log_strength"),
-            F.min("component").alias("component"),
-        )
-        if single:
-            state = merged
+        held.groupBy("axis", "block").applyInPandas(_round_of(ends_at, state_at), _SCHEMA).write.partitionBy("part").parquet(path)
+        solved = spark.read.schema(_SCHEMA).parquet(path)
+        state = solved.filter("part <> 'hubs'").select("axis", "block", "no", "component", "gs", "fs", "weight", "moved", "exact")
+        if with_hubs:
+            hubs_now = materialise(_hubs(solved, hubs, x), "ranking-hubs")
+            hubs = hubs_now.select("axis", "no", "component", "gs", "fs")
+            state = state.unionByName(hubs_now.withColumn("block", F.lit(None).cast("int")))
+        mix = _mix(state, min(turn + 1, DEPTH))
+        seen = mix.agg(F.count(F.lit(1)).alias("axes"), F.count_if("done").alias("done"), F.max("change").alias("change")).first()
+        if report is not None:
+            report.append((turn + 1, seen["axes"] - seen["done"], seen["change"]))
+        last = turn == rounds - 1
+        rested = hot_join(state.select("axis", "no", "component", F.element_at("gs", -1).alias("log_strength")), mix.filter(F.col("done") | F.lit(last)).select("axis", "done"), ["axis"])
+        if seen["done"] or last or not seen["axes"]:
+            finished.append(materialise(rested.withColumnRenamed("done", "converged"), "ranking-strengths"))
+        if state_at is not None:
+            drop_path(spark, state_at)
+        state_at = path
+        if seen["done"] == seen["axes"]:
             break
-        old = state.select("axis", "no", F.col("log_strength").alias("was"), F.col("component").alias("was_in"))
-        # a full step of neighbouring blocks at once may swing: halfway doesn't
-        both = merged.join(old, ["axis", "no"])
-        step = F.col("log_strength") if turn == 0 else (F.col("log_strength") + F.col("was")) / 2
-        moved = both.select("axis", "no", "block", step.alias("log_strength"), "component", F.abs(F.col("log_strength") - F.col("was")).alias("change"), (F.col("component") != F.col("was_in")).alias("relabelled"))
-        moved = materialise(moved, "ranking-state")
-        drop_path(spark, path)
-        change = moved.agg(F.max("change").alias("c"), F.max("relabelled").alias("r")).first()
-        state = moved.select("axis", "no", "block", "log_strength", "component")
-        if change["c"] is None or (change["c"] < TOLERANCE and not change["r"]):
+        going = mix.filter("not done").select("axis", "mix")
+        if last:
+            warnings.warn(f"{seen['axes'] - seen['done']} axes haven't come to rest after {rounds} rounds; largest change {seen['change']:g}", stacklevel=2)
             break
-    named = state.select("axis", "no", "log_strength", "component").join(entities.drop("block"), ["axis", "no"])
-    label = entities.select("axis", F.col("no").alias("component"), F.col("node").alias("component_name"))
-    named = named.join(label, ["axis", "component"])
-    return named.select("axis_key", "node", "log_strength", F.col("component_name").alias("component"), "met", "met_others")
+        mixed = F.aggregate(F.zip_with("gs", "mix", lambda g, m: g * m), F.lit(0.0), lambda s, v: s + v)
+        x = hot_join(state.select("axis", "block", "no", "component", "gs"), going, ["axis"]).select("axis", "block", "no", mixed.alias("x"), "component")
+        if seen["done"]:
+            blocks, outside = (materialise(hot_join(t, going.select("axis"), ["axis"]), "ranking-going") for t in (blocks, outside))
+        if turn % 4 == 3:
+            collect_garbage(spark)  # the shuffles of rounds gone by
+    if state_at is not None:
+        drop_path(spark, state_at)
+    drop_path(spark, ends_at)
+    named = finished[0]
+    for more in finished[1:]:
+        named = named.unionByName(more)
+    joined = named.join(entities.drop("block"), ["axis", "no"])
+    return joined.select("axis_key", "node", "log_strength", "component", "met", "met_others", "converged")
 
 
 def rank_entities(found: DataFrame) -> DataFrame:
     """Strengths centred in each component and ranked over the axis, without an axis in one task."""
-    sums = found.groupBy("axis_key", "component").agg(F.avg("log_strength").alias("centre"), F.count(F.lit(1)).alias("component_size"))
-    centred = found.join(sums, ["axis_key", "component"]).withColumn("log_strength", F.round(F.col("log_strength") - F.col("centre"), 9))
-    centred = materialise(centred.select("axis_key", F.col("node").alias("entity_id"), "log_strength", "component", "component_size", "met", "met_others"), "ranking-centred")
+    # a component is named after its first entity: the one whose number is its label
+    sums = found.groupBy("axis_key", "component").agg(F.avg("log_strength").alias("centre"), F.count(F.lit(1)).alias("component_size"), F.min("node").alias("first"))
+    sums = materialise(sums, "ranking-components")
+    centred = hot_join(found, sums, ["axis_key", "component"]).withColumn("log_strength", F.round(F.col("log_strength") - F.col("centre"), 9))
+    centred = materialise(centred.select("axis_key", F.col("node").alias("entity_id"), "log_strength", F.col("first").alias("component"), "component_size", "met", "met_others", "converged"), "ranking-centred")
     counts = centred.groupBy("axis_key", "log_strength").agg(F.count(F.lit(1)).alias("n"))
-    placed = positions(counts, ["axis_key"], ["log_strength"]).select("axis_key", "log_strength", (F.col("total") - F.col("before") - F.col("n") + 1).alias("rank"))
-    ranked = centred.join(placed, ["axis_key", "log_strength"])
-    return ranked.select("axis_key", "entity_id", "rank", F.exp("log_strength").alias("strength"), "log_strength", F.col("met").alias("comparisons"), F.col("met_others").alias("opponents"), "component", "component_size")
+    placed = materialise(positions(counts, ["axis_key"], ["log_strength"]).select("axis_key", "log_strength", (F.col("total") - F.col("before") - F.col("n") + 1).alias("rank")), "ranking-places")
+    ranked = hot_join(centred, placed, ["axis_key", "log_strength"])
+    return ranked.select("axis_key", "entity_id", "rank", F.exp("log_strength").alias("strength"), "log_strength", F.col("met").alias("comparisons"), F.col("met_others").alias("opponents"), "component", "component_size", "converged")
+
+
+def expected_wins(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """(axis_key, entity_id, expected): what each entity should have won by the strengths; at the maximum of the likelihood, what it won."""
+    strength = found.select("axis_key", F.col("node").alias("lo"), F.col("log_strength").alias("x"))
+    both = pairs.join(strength, ["axis_key", "lo"]).join(strength.select("axis_key", F.col("lo").alias("hi"), F.col("x").alias("y")), ["axis_key", "hi"])
+    lo = (F.col("lo_won") + F.col("hi_won")) / (1 + F.exp(F.col("y") - F.col("x")))
+    sides = both.select("axis_key", F.explode(F.array(F.struct(F.col("lo").alias("entity_id"), lo.alias("e")), F.struct(F.col("hi").alias("entity_id"), (F.col("lo_won") + F.col("hi_won") - lo).alias("e")))).alias("s"))
+    return sides.groupBy("axis_key", "s.entity_id").agg(F.sum("s.e").alias("expected"))
 
 
 def p2_ranking(spark: SparkSession, sf: str) -> DataFrame:
@@ -202,5 +330,24 @@ def p2_ranking(spark: SparkSession, sf: str) -> DataFrame:
     return rank_entities(luce_strengths(pairs))
 
 
-QUERIES = {"p2_ranking": p2_ranking}
-SQL: dict[str, str] = {}
+def p2_expected_wins(spark: SparkSession, sf: str) -> DataFrame:
+    """The wins that the strengths make each entity expect: at the maximum likelihood the wins that it had, which SQL can count."""
+    pairs = pair_weights(decided(spark.read.parquet(f"{sf}/comparisons.parquet")))
+    return expected_wins(pairs, luce_strengths(pairs)).select("axis_key", "entity_id", F.round("expected", 3).alias("wins"))
+
+
+QUERIES = {"p2_ranking": p2_ranking, "p2_expected_wins": p2_expected_wins}
+SQL = {
+    "p2_expected_wins": """
+        with cur as (
+            select * from comparisons
+            qualify row_number() over (partition by lower(trim(run_id)), comparison_index, lower(trim(entity_a_hash)), lower(trim(entity_b_hash))
+                                       order by observed_at desc, delivery_id) = 1),
+        dec as (select axis_key, entity_a_id as a, entity_b_id as b, higher_ranked = 'A' as a_won,
+                       case when not isnan(ratio) and ratio > 1 then least(ratio, 1e6) / (1 + least(ratio, 1e6)) end as share
+                from cur where coalesce(refused, 0) = 0 and coalesce(error, '') = '' and higher_ranked in ('A', 'B') and entity_a_id <> entity_b_id and axis_key is not null),
+        m as (select coalesce(avg(share), 0.75) as m from dec),
+        w as (select axis_key, a, b, case when a_won then coalesce(share, m) else 1 - coalesce(share, m) end as a_wins from dec, m)
+        select axis_key, entity_id, round(sum(wins), 3) as wins
+        from (select axis_key, a as entity_id, a_wins as wins from w union all select axis_key, b, 1 - a_wins from w) group by 1, 2"""
+}

@@ -45,12 +45,12 @@ def tournament(seed, n=14, games=120):
 
 
 def weights_of(n, rows, use_ratio):
-    ok = [r for *_, r in rows if r is not None and r == r and 0 < r <= ranking.MOST_RATIO]
-    mean = np.mean([max(r, 1) / (1 + max(r, 1)) for r in ok]) if use_ratio else 1.0
+    ok = [min(r, ranking.MOST_RATIO) for *_, r in rows if r is not None and r == r and r > 1]
+    mean = np.mean([r / (1 + r) for r in ok]) if use_ratio else 1.0
     wins = np.zeros((n, n))
     for a, b, a_won, r in rows:
-        good = r is not None and r == r and 0 < r <= ranking.MOST_RATIO
-        share = (max(r, 1) / (1 + max(r, 1)) if good else mean) if use_ratio else 1.0
+        good = r is not None and r == r and r > 1
+        share = (min(r, ranking.MOST_RATIO) / (1 + min(r, ranking.MOST_RATIO)) if good else mean) if use_ratio else 1.0
         w, l = (a, b) if a_won else (b, a)
         wins[w, l] += share
         wins[l, w] += 1 - share
@@ -62,15 +62,26 @@ def weights_of(n, rows, use_ratio):
 def test_strengths_are_the_maximum_likelihood(spark, use_ratio, block_ends):
     n, rows = tournament(3)
     df = spark.createDataFrame([("x", f"e{a:02d}", f"e{b:02d}", w, r) for a, b, w, r in rows], "axis_key string, a string, b string, a_won boolean, ratio double")
-    found = ranking.luce_strengths(ranking.pair_weights(df, use_ratio), block_ends=block_ends)
+    rounds = []
+    found = ranking.luce_strengths(ranking.pair_weights(df, use_ratio), block_ends=block_ends, report=rounds)
+    assert len(rounds) <= 20 and rounds[-1][1] == 0
     got = {r["entity_id"]: r for r in ranking.rank_entities(found).collect()}
     want = newton(n, weights_of(n, rows, use_ratio))
     for k in range(n):
         assert got[f"e{k:02d}"]["log_strength"] == pytest.approx(want[k], abs=2e-5)
+    assert all(r["converged"] for r in got.values())
     order = sorted(got, key=lambda e: -got[e]["log_strength"])
     assert [got[e]["rank"] for e in order] == list(range(1, n + 1))
 
 
+def test_rounds_that_run_out_are_told(spark):
+    n, rows = tournament(3)
+    df = spark.createDataFrame([("x", f"e{a:02d}", f"e{b:02d}", w, r) for a, b, w, r in rows], "axis_key string, a string, b string, a_won boolean, ratio double")
+    with pytest.warns(UserWarning, match="1 axes"):
+        found = ranking.luce_strengths(ranking.pair_weights(df), block_ends=24, rounds=2)
+    assert {r["converged"] for r in found.collect()} == {False} and found.count() == n
+
+
 def test_components_and_empty_tables(spark):
     df = spark.createDataFrame([("x", "a", "b", True, 3.0), ("x", "c", "d", False, 2.0), ("y", "a", "c", True, None)], "axis_key string, a string, b string, a_won boolean, ratio double")
     got = {(r["axis_key"], r["entity_id"]): r for r in ranking.rank_entities(ranking.luce_strengths(ranking.pair_weights(df))).collect()}
