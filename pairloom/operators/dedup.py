@@ -29,6 +29,8 @@ from pairloom.session import arrow_fs, default_parallelism, scratch_dir
 #: Rows that one bitmap covers: the size of Spark's own bitmap functions.
 BITMAP_ROWS = 32768
 FILES_PER_SHARD = 64
+#: Columns that hold a row's file and its number there; a table's own columns keep their names.
+POSITION = ("_position_file", "_position_row")
 
 
 def comparison_identifier() -> Column:
@@ -51,23 +53,26 @@ def current_rows(df: DataFrame, identifier: Column, order: list[Column], carry:
     return df.groupBy(identifier.alias("_id")).agg(F.max(best).alias("_best")).select(*[F.col(f"_best.c_{c}").alias(c) for c in carry])
 
 
-def _positions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).withColumns({"_file": F.xxhash64(F.col("_metadata.file_path")), "_row": F.col("_metadata.row_index")})
+def with_positions(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the Parquet table at ``path`` with their ``POSITION``: digest of the file's name and number in it."""
+    return spark.read.parquet(path).withColumns({POSITION[0]: F.xxhash64(F.col("_metadata.file_path")), POSITION[1]: F.col("_metadata.row_index")})
 
 
-def build_deletion_vectors(spark: SparkSession, path: str, identifier: Column, order: list[Column]) -> tuple[str, int]:
-    """Write the live bitmaps of every file below ``path``; returns their folder and the number of shards.
+def shards_of(source: DataFrame) -> int:
+    """Folders of bitmaps for the data files of ``source``."""
+    return max(1, len(source.inputFiles()) // FILES_PER_SHARD)
+
+
+def write_bitmaps(rows: DataFrame, shards: int) -> str:
+    """Write the positions (file_id, row_no) as one bitmap for each 32,768 rows of each file; gives the folder.
 
     Each shard holds the bitmaps of about 64 data files, sorted by file, so a
     reader opens one small file for each data file that it scans.
     """
-    source = _positions(spark, path)
-    shards = max(1, len(source.inputFiles()) // FILES_PER_SHARD)
-    best = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], (-F.col("_file")).alias("f"), (-F.col("_row")).alias("r"))
-    winners = source.groupBy(identifier.alias("_id")).agg(F.max(best).alias("_best")).select((-F.col("_best.f")).alias("file_id"), (-F.col("_best.r")).alias("row_no"))
+    spark = rows.sparkSession
     bucket = F.floor(F.col("row_no") / BITMAP_ROWS).cast("long")
     live = (
-        winners.select("file_id", bucket.alias("bucket"), (F.col("row_no") % BITMAP_ROWS).alias("bit"))
+        rows.select("file_id", bucket.alias("bucket"), (F.col("row_no") % BITMAP_ROWS).alias("bit"))
         # by hand: with one exchange of 12-byte rows there is no partial aggregate of 4 kB bitmaps in the map tasks
         .repartition(default_parallelism(spark), "file_id", "bucket")
         .groupBy("file_id", "bucket")
@@ -81,7 +86,22 @@ def build_deletion_vectors(spark: SparkSession, path: str, identifier: Column, o
         .write.partitionBy("shard")
         .parquet(out)
     )
-    return out, shards
+    return out
+
+
+def rows_at(source: DataFrame, columns: list[str], folder: str, shards: int, outside: bool = False) -> DataFrame:
+    """``columns`` of the rows of ``source`` (with positions) that the bitmaps hold, or of the others: file by file, with no join."""
+    live = _live_udf(folder, shards)(F.col(POSITION[0]), F.col(POSITION[1]))
+    return source.select(POSITION[0], POSITION[1], *columns).filter(~live if outside else live).select(*columns)
+
+
+def build_deletion_vectors(spark: SparkSession, path: str, identifier: Column, order: list[Column]) -> tuple[str, int]:
+    """Write the live bitmaps of every file below ``path``; returns their folder and the number of shards."""
+    source = with_positions(spark, path)
+    shards = shards_of(source)
+    best = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], (-F.col(POSITION[0])).alias("f"), (-F.col(POSITION[1])).alias("r"))
+    winners = source.groupBy(identifier.alias("_id")).agg(F.max(best).alias("_best")).select((-F.col("_best.f")).alias("file_id"), (-F.col("_best.r")).alias("row_no"))
+    return write_bitmaps(winners, shards), shards
 
 
 def _live_udf(folder: str, shards: int):
@@ -130,11 +150,9 @@ def deduplicate_files(spark: SparkSession, path: str, identifier: Column | None
     """
     identifier = comparison_identifier() if identifier is None else identifier
     order = delivery_order() if order is None else order
-    source = _positions(spark, path)
-    payload = columns or [c for c in source.columns if c not in ("_file", "_row")]
+    source = with_positions(spark, path)
+    payload = columns or [c for c in source.columns if c not in POSITION]
     if not source.inputFiles() or source.limit(1).count() == 0:
         return source.select(*payload)
     folder, shards = build_deletion_vectors(spark, path, identifier, order)
-    live = _live_udf(folder, shards)(F.col("_file"), F.col("_row"))
-    rows = source.select("_file", "_row", *payload).filter(~live if deleted else live)
-    return rows.select(*payload)
+    return rows_at(source, payload, folder, shards, deleted)

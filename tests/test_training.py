@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom.operators.dedup import deduplicate_files
-from pairloom.operators.incremental import CommittedLoad, load_watermarks, pending_comparisons
+from pairloom.functions.keys import clean_key
+from pairloom.operators import incremental
+from pairloom.operators.incremental import CommittedLoad, load_watermarks, pending_comparisons, watermarks_in_sequence
 
 T0 = dt.datetime(2026, 1, 1)
 SCHEMA = "delivery_id long, landed_at timestamp_ntz, observed_at timestamp_ntz, run_id string, comparison_index long, entity_a_hash string, entity_b_hash string, _file string, payload string"
@@ -119,3 +121,31 @@ def test_two_loads_cannot_take_one_number(spark, tmp_path):
         store.run(rows, "n", lambda s, u, w: s, before_commit=lambda: CommittedLoad(spark, store.store).run(rows, "n", lambda s, u, w: s))
 
 
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_changes_by_a_unique_sequence(spark, tmp_path, monkeypatch, few):
+    """Batches that share a landed_at, late batches of it, corrections, stale repeats and failures."""
+    monkeypatch.setattr(incremental, "BROADCAST_ROWS", few)
+    path, store = str(tmp_path / "c.parquet"), CommittedLoad(spark, str(tmp_path / "store"))
+    row = lambda d, minute, seen, run, k: (d, T0 + dt.timedelta(minutes=minute), T0 + dt.timedelta(minutes=seen), run, k, "a", "b", "x", f"p{d}")
+    land = lambda rows: spark.createDataFrame(rows, SCHEMA).write.mode("append").parquet(path)
+    taken = lambda c: {r["delivery_id"] for r in spark.read.parquet(f"{store.store}/{c.data}").collect()}
+    land([row(1, 0, 0, "r", 1), row(2, 5, 5, " R", 1), row(3, 5, 5, "q", 1), row(4, 9, 9, None, 1)])
+    log = spark.createDataFrame([("r", "succeeded", T0 + dt.timedelta(minutes=4)), ("q", "succeeded", T0 + dt.timedelta(minutes=5)), ("q", "failed", T0 + dt.timedelta(days=1))], "run_id string, status string, read_to timestamp_ntz")
+    store.adopt(watermarks_in_sequence(spark.read.parquet(path), load_watermarks(log), clean_key("run_id")))
+    assert taken(store.run_changes(path)) == {2, 4}
+    assert store.run_changes(path) is None
+    # a batch with the landed_at of the last bound, a correction, a stale repeat and a repeat with an equal observed_at
+    land([row(5, 9, 9, "q", 2), row(6, 9, 20, "r", 1), row(7, 9, 1, "q", 1), row(8, 9, 9, None, 1)])
+    with pytest.raises(OSError):
+        store.run_changes(path, before_commit=lambda: (_ for _ in ()).throw(OSError("lost")))
+    assert taken(store.run_changes(path)) == {5, 6}
+    got = store.read()
+    assert {(r["delivery_id"], r["payload"], r["_file"]) for r in got.collect()} == {(d, f"p{d}", "x") for d in (2, 4, 5, 6)}
+    marks = {r["key"]: r["watermark"] for r in spark.read.parquet(f"{store.store}/{store.commits()[-1].marks}").collect()}
+    assert marks == {"r": 6, "q": 7, None: 8}
+    with pytest.raises(RuntimeError):
+        land([row(9, 9, 30, "r", 1)])
+        store.run_changes(path, before_commit=lambda: CommittedLoad(spark, store.store).run_changes(path))
+    assert sorted(r["delivery_id"] for r in store.read().collect()) == [2, 4, 5, 6, 9]
