@@ -36,14 +36,12 @@ def fold(text: str) -> str:
     return text.translate(_TABLE) if _LETTER.search(text) else text
 
 
-def words(text: str | None, known: frozenset[str] | set[str] = frozenset()) -> list[str]:
-    """Folded words of ``text``; an empty list for null and blank texts.
+def plain(text: str, known: frozenset[str] | set[str] = frozenset()) -> str:
+    """``text`` folded, without tags, entities, escapes and apostrophes; line breaks and punctuation stay.
 
     A word that is broken over two lines with a hyphen is joined if the joined
-    word is in ``known``, and otherwise read as two words.
+    word is in ``known``, and otherwise left as two words.
     """
-    if not text:
-        return []
     if "\\" in text:
         text = _ESCAPED.sub(lambda m: chr(int(m[1], 16)), _ESCAPE.sub("\n", text))
     if "<" in text:
@@ -52,7 +50,17 @@ def words(text: str | None, known: frozenset[str] | set[str] = frozenset()) -> l
         text = html.unescape(text)
     if known and _BREAK.search(text):
         text = _HYPHENATED.sub(lambda m: m[1] + m[2] if fold(m[1] + m[2]) in known else f"{m[1]} {m[2]}", text)
-    return _WORD.findall(_APOSTROPHE.sub("", fold(text)))
+    return _APOSTROPHE.sub("", fold(text))
+
+
+def split_words(folded: str) -> list[str]:
+    """Words of a text that ``plain`` has folded."""
+    return _WORD.findall(folded)
+
+
+def words(text: str | None, known: frozenset[str] | set[str] = frozenset()) -> list[str]:
+    """Folded words of ``text``; an empty list for null and blank texts."""
+    return split_words(plain(text, known)) if text else []
 
 
 def words_with_spans(text: str, known: frozenset[str] | set[str] = frozenset()) -> tuple[list[str], list[tuple[int, int]]]:

@@ -1,78 +1,81 @@
-"""Subject area of each document, by a distributed latent Dirichlet topic model.
-
-The model is fitted to all documents: the corpus stays where it is as bags of
-word numbers, every round of variational EM sends the topics to the tasks
-(topics x vocabulary, a fixed size), and the tasks send back the expected counts
-of the words they hold.  Topics start from the labelled examples' words, with
-further topics that start from the corpus and take up whatever treats no
-subject.  A fitted topic is given to a subject by inspection of its top terms:
-the subject under which the labelled examples use those terms, if one subject
-clearly leads.  Each sentence is then folded in with its document's topic
-proportions as the prior, and a document treats the subjects to which at least
-``share`` of its sentences belong.
+"""Subject area of each document, by a distributed latent Dirichlet topic model of its sentences.
+
+A document is a bag of sentences, each of which treats one topic; its topic
+proportions are the shares of its sentences, with a Dirichlet prior.  A word of
+a sentence comes from the topic or, as most words of any sentence, from the
+background, which is how the whole corpus uses words: so words that stand
+anywhere say nothing, in any language.
+
+Texts are folded and split into sentences once, in chunks that hold each word of
+theirs once.  The model is fitted to all documents: in each round of variational
+EM the topics go to the tasks (topics x vocabulary, a bounded size), and the
+tasks send back the expected counts of the words they hold, until the
+likelihood rests.  The subjects' topics start from the labelled examples' words
+and keep the words that stand mostly in documents whose other sentences treat
+the subject too.  Further topics start after a few rounds from the sentences
+that no other sentence of their document supports: they learn how whatever
+treats no subject is worded, passing mentions and figures of speech included, in
+the corpus's own languages, and compete for such sentences with the subjects.
+A fitted topic is given to a subject by inspection of its top terms: the
+subject under which the labelled examples use those terms, if one clearly leads.  A document treats the
+subjects whose topics hold at least ``share`` of its sentences.
+
+Words of fewer documents than ``MIN_DOCUMENTS`` or ``MIN_SHARE`` of all, whichever
+is more, share ``RARE`` hashed numbers, so that the vocabulary is bounded
+(by words in a document / ``MIN_SHARE``) and no word is left out.
 
 Defined cases: null, empty and blank texts and texts without a sentence have no
-subject; words below ``MIN_DOCUMENTS`` documents carry no topic; a document id
-that occurs twice is assigned twice and reported once; a subject without
-examples can't be found; other columns don't matter.
+subject; numbers and single letters aren't words; a document id that occurs
+twice is assigned twice and reported once; a subject without examples can't be
+found; other columns don't matter.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm.textnorm import words
+from pairloom.llm.textnorm import plain, split_words, words
 from pairloom.session import materialise
 
-#: Documents that must hold a word of the vocabulary, and the vocabulary's size: with 20 topics 8 MB.
-MIN_DOCUMENTS, VOCABULARY = 5, 100_000
-#: Topics besides the subjects' own, rounds of EM, passes over a document in a round.
-OTHER_TOPICS, ROUNDS, PASSES = 10, 14, 8
+#: Documents, and part of all documents, that must hold a word for a number of its own; numbers that the rarer words share.
+MIN_DOCUMENTS, MIN_SHARE, RARE = 5, 1e-5, 1 << 14
+#: Topics beside the subjects' own; rounds of EM at most; passes over a document in a round; relative gain in likelihood at which it rests.
+OTHER_TOPICS, ROUNDS, PASSES, REST = 4, 40, 6, 2e-3
 #: How much more often the examples of a subject must use a word than the corpus does, for it to be taken as the subject's.
 LIFT = 3.0
-ALPHA, ETA = 0.1, 0.01
-BAGS_AT_ONCE = 300
+#: Prior of a document's proportions, of a topic's words, and the part of a sentence's words that come from the background.
+ALPHA, ETA, BACKGROUND = 0.3, 1e-3, 0.8
 #: Part of a document's sentences that makes a subject.
 SHARE = 0.2
-#: Rounds after which words are taken out of subjects' topics, and the part of their uses that must lie in documents which the subject leads.
-PRUNE_AFTER, PRUNE_BELOW = (3, 6, 9), 0.4
+#: Round after which the other topics start; part of a document's other sentences that supports a subject, and part of a word's uses in documents that support its subject.
+OTHERS_AFTER, SUPPORT, KEEP = 3, 0.15, 0.4
 #: Words of a topic that are inspected, and how far the first subject must lead the second.
 TOP_TERMS, LEAD = 60, 2.0
-#: Subject words that a sentence must hold, as expected counts.
-SENTENCE_MASS = 0.75
-# Phrases that mark a figure of speech or an aside.
-FIGURES = (
-    "so to speak", "as it were", "in passing", "figuratively", "metaphorically", "in a manner of speaking",
-    "sozusagen", "gewissermassen", "nebenbei", "pour ainsi dire", "en quelque sorte", "en passant",
-    "por asi decirlo", "por asi decir", "de pasada",
-)
-_FIGURE = re.compile(r"\b(?:%s)\b|\bthink of .{1,60} as an? " % "|".join(FIGURES))
+#: Documents of a chunk, and characters after which it ends.
+CHUNK_DOCUMENTS, CHUNK_CHARS = 1000, 2_000_000
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'»”)\]*_]*\s+|(?<=[。！？])|[\r\n]+|\\r\\n|\\n|\\r")
 
 
 def sentences(text: str | None) -> list[list[str]]:
     """Folded words of each sentence of at least three words."""
     out = []
-    for piece in _SENTENCE.split(text or ""):
-        w = words(piece)
+    for piece in _SENTENCE.split(plain(text)) if text else ():
+        w = split_words(piece)
         if sum(x.isalpha() for x in w) >= 3:
             out.append(w)
     return out
 
 
-def is_figure(sentence: list[str]) -> bool:
-    return bool(_FIGURE.search(" ".join(sentence)))
-
-
 def _digamma(x: np.ndarray) -> np.ndarray:
     """Of positive numbers: the recurrence up to 6, then the asymptotic series."""
     x = np.array(x, dtype=float)
@@ -85,43 +88,23 @@ def _digamma(x: np.ndarray) -> np.ndarray:
     return shift + np.log(x) - 0.5 / x - inv * (1 / 12 - inv * (1 / 120 - inv / 252))
 
 
-def fold_in(doc: np.ndarray, word: np.ndarray, count: np.ndarray, size: int, topics: np.ndarray, prior: np.ndarray, passes: int) -> tuple[np.ndarray, np.ndarray]:
-    """(gamma of each document, responsibilities of each entry).
+@dataclass
+class Corpus:
+    """Documents as chunks (doc_ids, sentences of each, words of each sentence as places in ``numbers``)."""
 
-    ``doc``, ``word``, ``count`` are the entries of ``size`` bags, ordered by
-    document; ``topics`` is exp(E log phi), words x topics; ``prior`` is one row for all or one for each.
-    """
-    k = topics.shape[1]
-    gamma = np.empty((size, k))
-    part = np.empty((len(word), k), topics.dtype)
-    starts = np.searchsorted(doc, np.arange(size + 1))
-    # a few hundred bags at a time, so that the entries stay in the processor's cache
-    for low in range(0, size, BAGS_AT_ONCE):
-        high = min(low + BAGS_AT_ONCE, size)
-        at = slice(starts[low], starts[high])
-        own, given, n = doc[at] - low, topics[word[at]], count[at].astype(topics.dtype)
-        base = np.broadcast_to(prior[low:high] if np.ndim(prior) == 2 else prior, (high - low, k))
-        filled = np.flatnonzero(starts[low + 1 : high + 1] > starts[low:high])
-        g = base + np.bincount(own, n, high - low)[:, None] / k
-        weight = np.zeros((high - low, k), topics.dtype)
-        norm = np.ones(len(own), topics.dtype)
-        for _ in range(passes):
-            weight = np.exp(_digamma(g) - _digamma(g.sum(1, keepdims=True))).astype(topics.dtype)
-            norm = np.einsum("nk,nk->n", given, weight[own]) + topics.dtype.type(1e-30)
-            g = base.copy()
-            if len(own):
-                g[filled] += weight[filled] * np.add.reduceat(given * (n / norm)[:, None], starts[low:high][filled] - starts[low], axis=0)
-        gamma[low:high] = g
-        part[at] = given * weight[own] / norm[:, None]
-    return gamma, part
+    chunks: DataFrame
+    vocabulary: dict[str, int]
+    frequency: np.ndarray  # uses of each number in the corpus; the last RARE are the shared ones
 
 
 @dataclass
 class TopicModel:
     vocabulary: dict[str, int]
-    topics: np.ndarray  # exp(E log phi), words x topics
+    frequency: np.ndarray
+    topics: np.ndarray  # log of how much likelier a topic makes a word than the background does, words x topics
     subject_of: list[str | None]  # of each topic
     terms: list[list[str]]  # top terms of each topic
+    rounds: int
 
 
 def example_weights(examples: list[tuple[str, str]], vocabulary: dict[str, int], frequency: np.ndarray) -> dict[str, dict[str, float]]:
@@ -144,48 +127,140 @@ def example_weights(examples: list[tuple[str, str]], vocabulary: dict[str, int],
     return out
 
 
-def start_topics(vocabulary: dict[str, int], frequency: np.ndarray, weights: dict[str, dict[str, float]], subjects: list[str], others: int, seed: int = 7) -> np.ndarray:
-    """Pseudo-counts, words x topics: the subjects' own words and, for the other topics, the corpus with noise."""
-    rng = np.random.default_rng(seed)
-    total = len(subjects) + others
-    counts = np.full((len(vocabulary), total), ETA)
-    counts[:, len(subjects) :] += frequency[:, None] * rng.gamma(1.0, 1.0, (len(vocabulary), others)) / others
+def _numbers(found: list[str], vocabulary: dict[str, int]) -> np.ndarray:
+    """Number of each word; a rarer word has one of the shared numbers."""
+    first = len(vocabulary)
+    return np.array([k if (k := vocabulary.get(w)) is not None else first + zlib.crc32(w.encode()) % RARE for w in found], dtype=np.int32)
+
+
+def _chunks(documents: DataFrame) -> DataFrame:
+    """Folded and split once: (doc_ids, sentences, lengths, places, words, holders, uses)."""
+    kind = documents.schema["doc_id"].dataType
+    arrow_kind = documents.limit(0).select("doc_id").toArrow().schema.field(0).type
+
+    def close(ids: list, per_doc: list, lengths: list, places: list, known: dict, holders: Counter, uses: Counter) -> pa.RecordBatch:
+        ints = lambda x: pa.array([np.asarray(x, dtype=np.int32)], pa.list_(pa.int32()))
+        names = list(known)
+        columns = [pa.array([ids], pa.list_(arrow_kind)), ints(per_doc), ints(lengths), ints(places), pa.array([names], pa.list_(pa.string())), ints([holders[w] for w in names]), ints([uses[w] for w in names])]
+        return pa.RecordBatch.from_arrays(columns, ["doc_ids", "sentences", "lengths", "places", "words", "holders", "uses"])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        empty = lambda: ([], [], [], [], {}, Counter(), Counter())
+        state, size = empty(), 0
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids, per_doc, lengths, places, known, holders, uses = state
+                got = [[w for w in s if len(w) > 1 and not w.isdigit()] for s in sentences(text)]
+                ids.append(doc)
+                per_doc.append(len(got))
+                own = Counter()
+                for s in got:
+                    lengths.append(len(s))
+                    places.extend([known.setdefault(w, len(known)) for w in s])
+                    own.update(s)
+                uses.update(own)
+                holders.update(own.keys())
+                size += len(text or "")
+                if len(ids) >= CHUNK_DOCUMENTS or size >= CHUNK_CHARS:
+                    yield close(*state)
+                    state, size = empty(), 0
+        if state[0]:
+            yield close(*state)
+
+    schema = f"doc_ids array<{kind.simpleString()}>, sentences array<int>, lengths array<int>, places array<int>, words array<string>, holders array<int>, uses array<int>"
+    return materialise(documents.select("doc_id", "text").mapInArrow(split, schema), "topic-chunks")
+
+
+def prepare(documents: DataFrame, vocabulary: dict[str, int] | None = None, frequency: np.ndarray | None = None) -> Corpus:
+    """The documents' chunks with their words numbered, by the corpus's own vocabulary unless one is given."""
+    spark = documents.sparkSession
+    chunks = _chunks(documents)
+    if vocabulary is None:
+        size = chunks.agg(F.sum(F.size("doc_ids"))).first()[0] or 0
+        entry = F.explode(F.arrays_zip("words", "holders", "uses")).alias("e")
+        counts = chunks.select(entry).groupBy(F.col("e.words").alias("word")).agg(F.sum("e.holders").alias("n"), F.sum("e.uses").alias("uses"))
+        counts = materialise(counts, "topic-words")
+        least = max(MIN_DOCUMENTS, int(np.ceil(MIN_SHARE * size)))
+        kept = counts.filter(F.col("n") >= least).toPandas().sort_values("word", ignore_index=True)
+        vocabulary = {w: k for k, w in enumerate(kept["word"])}
+        frequency = np.concatenate([kept["uses"].to_numpy(float), np.zeros(RARE)])
+        rare = counts.filter(F.col("n") < least).groupBy(F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(RARE)).cast("int").alias("at")).agg(F.sum("uses").alias("uses")).toPandas()
+        frequency[len(vocabulary) + rare["at"].to_numpy(int)] = rare["uses"].to_numpy(float)
+    shared = spark.sparkContext.broadcast(vocabulary)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = pa.array([_numbers(w, shared.value) for w in batch.column("words").to_pylist()], pa.list_(pa.int32()))
+            columns = [batch.column(c) for c in ("doc_ids", "sentences", "lengths", "places")]
+            yield pa.RecordBatch.from_arrays([*columns, numbers], ["doc_ids", "sentences", "lengths", "places", "numbers"])
+
+    ids = chunks.schema["doc_ids"].dataType.simpleString()
+    numbered = chunks.select("doc_ids", "sentences", "lengths", "places", "words").mapInArrow(number, f"doc_ids {ids}, sentences array<int>, lengths array<int>, places array<int>, numbers array<int>")
+    return Corpus(materialise(numbered, "topic-bags"), vocabulary, frequency)
+
+
+def start_topics(vocabulary: dict[str, int], frequency: np.ndarray, weights: dict[str, dict[str, float]], subjects: list[str]) -> np.ndarray:
+    """Counts, words x subjects, of the subjects' own words."""
+    counts = np.zeros((len(frequency), len(subjects)))
     for w, by in weights.items():
-        at = vocabulary.get(w)
         best = max(by, key=by.get)
-        if at is not None and by[best] >= 0.5:
-            counts[at, subjects.index(best)] += frequency[at] * by[best]
-            counts[at, len(subjects) :] *= 0.1
-    # every word is open to every subject, else its topic can't learn it
-    counts[:, : len(subjects)] += 0.02 * frequency[:, None] / total
+        if by[best] >= 0.5:
+            counts[vocabulary[w], subjects.index(best)] += frequency[vocabulary[w]] * by[best]
     return counts
 
 
-def expected(counts: np.ndarray) -> np.ndarray:
-    return np.exp(_digamma(counts) - _digamma(counts.sum(0, keepdims=True)))
+def gains(counts: np.ndarray, frequency: np.ndarray) -> np.ndarray:
+    """Log of how much likelier each topic, mixed with the background, makes each word than the background alone."""
+    background = (frequency + ETA) / (frequency + ETA).sum()
+    rate = (counts + ETA * background[:, None]) / (counts.sum(0, keepdims=True) + ETA)
+    return np.log(BACKGROUND + (1 - BACKGROUND) * rate / background[:, None]).astype(np.float32)
 
 
-def pruned(counts: np.ndarray, word: np.ndarray, proportion: np.ndarray) -> np.ndarray:
-    """Words that stand in documents of any subject are given to the other topics, evenly.
+def fold_in(gain: np.ndarray, per_doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """(topic of each sentence, proportions of each document, likelihood): sentences x topics; the last topic is the background.
 
-    ``proportion``: of each ``word``'s uses, those in documents that each subject leads.
+    ``gain`` are the sentences' log-likelihoods, ``per_doc`` the sentences of each document that has any.
     """
-    subjects = proportion.shape[1]
-    own = counts[word, :subjects]
-    moved = np.where(proportion < PRUNE_BELOW, own - ETA, 0).clip(min=0)
-    counts[word, :subjects] = own - moved
-    others = counts[word, subjects:]
-    counts[word, subjects:] = others + moved.sum(1, keepdims=True) * (others + 1) / (others + 1).sum(1, keepdims=True)
-    return counts
+    first = np.cumsum(per_doc) - per_doc
+    gain = np.hstack([gain, np.zeros((len(gain), 1), gain.dtype)]).astype(float)
+    top = gain.max(1, keepdims=True)
+    like = np.exp(gain - top)
+    k = gain.shape[1]
+    gamma = ALPHA + np.repeat(per_doc[:, None] / k, k, axis=1)
+    q = norm = None
+    for _ in range(PASSES):
+        q = like * np.repeat(np.exp(_digamma(gamma)), per_doc, axis=0)
+        norm = q.sum(1, keepdims=True)
+        q /= norm
+        gamma = ALPHA + np.add.reduceat(q, first, axis=0)
+    theta = np.repeat(gamma / gamma.sum(1, keepdims=True), per_doc, axis=0)
+    return q, gamma, float((np.log((like * theta).sum(1)) + top[:, 0]).sum())
+
+
+def _read(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """(doc_ids, sentences of each document that has any, their documents, words' sentences, words' places, numbers, gains' starts) of each chunk."""
+    for row in range(batch.num_rows):
+        per_doc, lengths, places, numbers = (batch.column(c)[row].values.to_numpy() for c in ("sentences", "lengths", "places", "numbers"))
+        yield batch.column("doc_ids")[row].values, per_doc, lengths, places, numbers
+
+
+def _sentence_gains(topics: np.ndarray, lengths: np.ndarray, places: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Sum of the words' gains for each sentence (none for a sentence without words)."""
+    out = np.zeros((len(lengths), topics.shape[1]), np.float32)
+    filled = np.flatnonzero(lengths)
+    if len(filled):
+        starts = np.cumsum(lengths) - lengths
+        out[filled] = np.add.reduceat(topics[numbers][places], starts[filled], axis=0)
+    return out
 
 
-def inspect(counts: np.ndarray, vocabulary: dict[str, int], weights: dict[str, dict[str, float]], subjects: list[str]) -> tuple[list[str | None], list[list[str]]]:
+def inspect(counts: np.ndarray, vocabulary: dict[str, int], weights: dict[str, dict[str, float]]) -> tuple[list[str | None], list[list[str]]]:
     """The subject of each topic by its top terms, or none; and those terms.
 
     Terms are ranked by how far the topic's rate exceeds the mean rate of the topics.
     """
     names = sorted(vocabulary, key=vocabulary.get)
-    rate = counts / counts.sum(0, keepdims=True)
+    rate = (counts / np.maximum(counts.sum(0, keepdims=True), 1e-12))[: len(names)]
     lift = rate * np.log((rate + 1e-12) / (rate.mean(1, keepdims=True) + 1e-12))
     found, terms = [], []
     for k in range(counts.shape[1]):
@@ -202,135 +277,97 @@ def inspect(counts: np.ndarray, vocabulary: dict[str, int], weights: dict[str, d
     return found, terms
 
 
-def _bags(documents: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
-    shared = documents.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = shared.value.get
-        for batch in batches:
-            ids, counts = [], []
-            for text in batch.column(0).to_pylist():
-                c = Counter(k for w in words(text) if (k := number(w)) is not None)
-                ids.append(list(c))
-                counts.append(list(c.values()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["words", "counts"])
-
-    return documents.select("text").mapInArrow(bag, "words array<int>, counts array<int>")
-
-
-def vocabulary_of(documents: DataFrame) -> tuple[dict[str, int], np.ndarray]:
-    """The words of at least ``MIN_DOCUMENTS`` documents, the ``VOCABULARY`` most frequent if there are more, and how often the corpus uses them."""
-
-    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c: Counter = Counter()
-            holders: Counter = Counter()
-            for text in batch.column(0).to_pylist():
-                own = Counter(w for w in words(text) if len(w) > 1 and not w.isdigit())
-                c.update(own)
-                holders.update(own.keys())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array([holders[w] for w in c], pa.int64()), pa.array(list(c.values()), pa.int64())], ["word", "n", "uses"])
-
-    counts = documents.select("text").mapInArrow(per_batch, "word string, n long, uses long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("uses").alias("uses"))
-    kept = counts.filter(F.col("n") >= MIN_DOCUMENTS).orderBy(F.desc("n"), "word").limit(VOCABULARY).toPandas()
-    return {w: k for k, w in enumerate(kept["word"])}, kept["uses"].to_numpy(float)
-
-
-def fit(documents: DataFrame, examples: list[tuple[str, str]], rounds: int = ROUNDS) -> TopicModel:
-    """The topic model of all ``documents`` (column text)."""
-    spark = documents.sparkSession
+def fit(documents: DataFrame | Corpus, examples: list[tuple[str, str]], rounds: int = ROUNDS, seed: int = 7) -> TopicModel:
+    """The topic model of all ``documents`` (doc_id, text)."""
+    corpus = documents if isinstance(documents, Corpus) else prepare(documents)
+    spark, vocabulary, frequency = corpus.chunks.sparkSession, corpus.vocabulary, corpus.frequency
     subjects = sorted({s for s, _ in examples})
-    vocabulary, frequency = vocabulary_of(documents)
+    own = len(subjects)
     weights = example_weights(examples, vocabulary, frequency)
-    counts = start_topics(vocabulary, frequency, weights, subjects, OTHER_TOPICS)
-    size = counts.shape[1]
-    bags = materialise(_bags(documents, vocabulary), "topic-bags")
-    names = [f"k{k}" for k in range(size)]
-    columns = [*names, *[f"d{k}" for k in range(len(subjects))]]
-    for turn in range(1, (rounds if vocabulary else 0) + 1):
-        shared = spark.sparkContext.broadcast(expected(counts).astype(np.float32))
-
-        def step(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    counts = start_topics(vocabulary, frequency, weights, subjects)
+    bags = corpus.chunks.select("sentences", "lengths", "places", "numbers", "doc_ids").coalesce(spark.sparkContext.defaultParallelism)
+    before, turn, rests = -np.inf, 0, not vocabulary
+    while turn < rounds and not rests:
+        turn += 1
+        topics = gains(counts, frequency)
+        shared = spark.sparkContext.broadcast(topics)
+        # expected uses in the topics' sentences; uses in documents that support each subject; uses in unsupported sentences
+        names = [*[f"k{k}" for k in range(topics.shape[1])], *[f"d{k}" for k in range(own)], "unsupported"]
+
+        def step(batches: Iterator[pa.RecordBatch], shared=shared, names=names) -> Iterator[pa.RecordBatch]:
             topics = shared.value
-            held = np.zeros((len(topics), len(columns)))
+            held, likelihood = np.zeros((len(topics), len(names))), 0.0
             for batch in batches:
-                column = batch.column(0)
-                n = len(column)
-                word, count = column.flatten().to_numpy(), batch.column(1).flatten().to_numpy().astype(float)
-                doc = np.repeat(np.arange(n), np.diff(column.offsets.to_numpy()))
-                for low in range(0, n, 2000):
-                    at = slice(*np.searchsorted(doc, [low, low + 2000]))
-                    gamma, part = fold_in(doc[at] - low, word[at], count[at], min(2000, n - low), topics, np.float64(ALPHA), PASSES)
-                    # the topics of the words and the subjects that lead the documents which hold them
-                    own = gamma[:, : held.shape[1] - size]
-                    leads = (own == own.max(1, keepdims=True)).astype(float)[doc[at] - low]
-                    both = np.hstack([part, leads]) * count[at][:, None]
-                    order = np.argsort(word[at], kind="stable")
-                    seen, first = np.unique(word[at][order], return_index=True)
-                    if len(seen):
-                        held[seen] += np.add.reduceat(both[order], first, axis=0)
+                for _, per_doc, lengths, places, numbers in _read(batch):
+                    if not len(lengths):
+                        continue
+                    full = per_doc[per_doc > 0]
+                    q, gamma, more = fold_in(_sentence_gains(topics, lengths, places, numbers), full)
+                    likelihood += more
+                    others = np.repeat(gamma[:, :own] - ALPHA, full, axis=0) - q[:, :own]
+                    supported = (others >= SUPPORT * np.repeat(full, full)[:, None]).astype(float)
+                    uses = np.hstack([q[:, :-1], supported, 1 - (q[:, :own] * supported).sum(1, keepdims=True)])
+                    # sums over the sentences of each word of the chunk, in the words' order
+                    owner = np.repeat(np.arange(len(lengths)), lengths)
+                    order = np.argsort(places, kind="stable")
+                    first = np.flatnonzero(np.diff(places[order], prepend=-1))
+                    sums = np.add.reduceat(uses[owner[order]], first, axis=0) if len(first) else np.zeros((0, len(names)))
+                    np.add.at(held, numbers[places[order][first]], sums)  # rare words of a chunk may share a number
             used = np.flatnonzero(held.any(1))
-            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *[pa.array(held[used, k]) for k in range(held.shape[1])]], ["word", *columns])
+            at = np.concatenate([[-1], used]).astype(np.int32)
+            values = np.vstack([np.full(len(names), likelihood), held[used]])
+            yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(values[:, k]) for k in range(len(names))]], ["word", *names])
 
-        sums = bags.mapInArrow(step, "word int, " + ", ".join(f"{k} double" for k in columns))
-        got = sums.groupBy("word").agg(*[F.sum(k).alias(k) for k in columns]).toPandas()
-        at = got["word"].to_numpy()
-        counts = np.full(counts.shape, ETA)
-        counts[at] += got[names].to_numpy()
+        sums = bags.mapInArrow(step, "word int, " + ", ".join(f"{k} double" for k in names))
+        got = sums.groupBy("word").agg(*[F.sum(k).alias(k) for k in names]).toPandas().sort_values("word")
         shared.unpersist()
-        if turn in PRUNE_AFTER:
-            counts = pruned(counts, at, got[columns[size:]].to_numpy() / got[names].to_numpy().sum(1, keepdims=True))
-    subject_of, terms = inspect(counts, vocabulary, weights, subjects)
-    return TopicModel(vocabulary, expected(counts).astype(np.float32), subject_of, terms)
-
-
-def sentence_subjects(texts: list[str | None], model: TopicModel, subjects: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(sentences of each text, and of them those of each subject)."""
-    kind = np.array([subjects.index(s) if s in subjects else len(subjects) for s in model.subject_of])
-    total = np.zeros(len(texts), np.int64)
-    treats = np.zeros((len(texts), len(subjects)), np.int64)
-    docs, sents, word, figure = [], [], [], []
-    for d, text in enumerate(texts):
-        for w in sentences(text):
-            total[d] += 1
-            found = [k for x in w if (k := model.vocabulary.get(x)) is not None]
-            sents.append((d, len(found)))
-            figure.append(is_figure(w))
-            word.extend(found)
-    if not sents:
-        return total, treats
-    owner = np.array([d for d, _ in sents])
-    entry_sentence = np.repeat(np.arange(len(sents)), [n for _, n in sents])
-    word_at = np.array(word, np.int64)
-    one = np.ones(len(word_at))
-    gamma, _ = fold_in(owner[entry_sentence], word_at, one, len(texts), model.topics, np.float64(ALPHA), PASSES * 2)
-    theta = gamma / gamma.sum(1, keepdims=True)
-    # the document's proportions count as much as a few words of the sentence
-    _, part = fold_in(entry_sentence, word_at, one, len(sents), model.topics, 3.0 * theta[owner] + 0.01, PASSES)
-    mass = np.zeros((len(sents), len(subjects) + 1))
-    for k in range(part.shape[1]):
-        mass[:, kind[k]] += np.bincount(entry_sentence, part[:, k], len(sents))
-    best = mass[:, :-1].argmax(1)
-    good = (mass[np.arange(len(sents)), best] >= SENTENCE_MASS) & ~np.array(figure)
-    np.add.at(treats, (owner[good], best[good]), 1)
-    return total, treats
-
-
-def assign(documents: DataFrame, model: TopicModel, share: float = SHARE) -> DataFrame:
-    """(doc_id, subject, sentences, treated) of the subjects with at least ``share`` of the sentences."""
+        now, got = float(got[names[0]].iloc[0]), got.iloc[1:]
+        at, size = got["word"].to_numpy(), topics.shape[1]
+        values = got[names].to_numpy()
+        counts = np.zeros((len(frequency), size))
+        # of a word's uses in a topic's sentences, those that come from the topic and not from the background
+        counts[at] = values[:, :size] * (1 - BACKGROUND * np.exp(-topics[at].astype(float)))
+        kept = values[:, size:-1] >= KEEP * frequency[at][:, None]
+        counts[at, :own] *= kept
+        if turn == OTHERS_AFTER:
+            start = np.zeros((len(frequency), OTHER_TOPICS))
+            start[at] = (values[:, -1] ** 2 / np.maximum(frequency[at], 1))[:, None] * np.random.default_rng(seed).gamma(1.0, 1.0, (len(at), OTHER_TOPICS))
+            counts = np.hstack([counts, start])
+        rests = turn > OTHERS_AFTER + 2 and now - before <= REST * abs(now)
+        before = now
+    if not rests:
+        warnings.warn(f"the topics' likelihood still grew after {rounds} rounds", stacklevel=2)
+    subject_of, terms = inspect(counts, vocabulary, weights)
+    return TopicModel(vocabulary, frequency, gains(counts, frequency), subject_of, terms, turn)
+
+
+def assign(documents: DataFrame | Corpus, model: TopicModel, share: float = SHARE) -> DataFrame:
+    """(doc_id, subject, sentences, treated) of the subjects whose topics hold at least ``share`` of the sentences."""
+    corpus = documents if isinstance(documents, Corpus) else prepare(documents, model.vocabulary, model.frequency)
     subjects = sorted({s for s in model.subject_of if s})
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    kind = corpus.chunks.schema["doc_ids"].dataType.elementType.simpleString()
+    shared = corpus.chunks.sparkSession.sparkContext.broadcast((model.topics, [subjects.index(s) if s in subjects else len(subjects) for s in model.subject_of]))
 
-    def by_text(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for low in range(0, len(part), 500):
-                ids, texts = part["doc_id"].iloc[low : low + 500], part["text"].iloc[low : low + 500]
-                total, treats = sentence_subjects([t if isinstance(t, str) else None for t in texts], shared.value, subjects)
-                d, s = np.nonzero((treats >= share * total[:, None] - 1e-9) & (treats > 0))
-                yield pd.DataFrame({"doc_id": ids.to_numpy()[d], "subject": [subjects[k] for k in s], "sentences": total[d], "treated": treats[d, s]})
-
-    return documents.select("doc_id", "text").mapInPandas(by_text, f"doc_id {kind}, subject string, sentences long, treated long")
+    def by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        topics, of = shared.value
+        names = pa.array(subjects, pa.string())
+        for batch in batches:
+            for ids, per_doc, lengths, places, numbers in _read(batch):
+                if not len(lengths):
+                    continue
+                full = np.flatnonzero(per_doc)
+                q, _, _ = fold_in(_sentence_gains(topics, lengths, places, numbers), per_doc[full])
+                mass = np.zeros((len(lengths), len(subjects) + 1))
+                for k, at in enumerate([*of, len(subjects)]):
+                    mass[:, at] += q[:, k]
+                # a sentence goes to its likeliest subject or to none; the proportions are the shares of the sentences
+                hard = np.zeros_like(mass)
+                hard[np.arange(len(mass)), mass.argmax(1)] = 1
+                treated = np.add.reduceat(hard[:, :-1], np.cumsum(per_doc[full]) - per_doc[full], axis=0)
+                d, s = np.nonzero((treated >= share * per_doc[full][:, None] - 1e-9) & (treated > 0))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(full[d])), names.take(pa.array(s)), pa.array(per_doc[full][d].astype(np.int64)), pa.array(treated[d, s].astype(np.int64))], ["doc_id", "subject", "sentences", "treated"])
+
+    return corpus.chunks.mapInArrow(by_chunk, f"doc_id {kind}, subject string, sentences long, treated long")
 
 
 def _examples(spark: SparkSession, sf: str) -> list[tuple[str, str]]:
@@ -340,9 +377,8 @@ def _examples(spark: SparkSession, sf: str) -> list[tuple[str, str]]:
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
-    documents = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    model = fit(documents, _examples(spark, sf))
-    return assign(documents, model).select("doc_id", "subject").distinct()
+    corpus = prepare(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    return assign(corpus, fit(corpus, _examples(spark, sf))).select("doc_id", "subject").distinct()
 
 
 def p9_topics(spark: SparkSession, sf: str) -> DataFrame:
