@@ -26,15 +26,16 @@ BROADCAST_ROWS = 100_000
 SALTS = 16
 
 
-def hot_join(rows: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
+def hot_join(rows: DataFrame, small: DataFrame, on: list[str], most: int | None = None) -> DataFrame:
     """Inner join on keys (nulls equal) of which one may hold a third of ``rows``; ``small`` has a row for each key.
 
     Up to ``BROADCAST_ROWS`` keys are counted and broadcast; more are copied ``SALTS`` times, so that a hot key is joined in as many tasks.
+    ``most``: that many keys at most, if it's known.
     """
     kept = [c for c in small.columns if c not in on]
     right = small.select(*[F.col(c).alias(f"_on_{c}") for c in on], *kept)
     match = lambda r: reduce(and_, [rows[c].eqNullSafe(r[f"_on_{c}"]) for c in on])
-    if small.count() <= BROADCAST_ROWS:
+    if (small.count() if most is None else most) <= BROADCAST_ROWS:
         right = F.broadcast(right)
         return rows.join(right, match(right)).select(*[rows[c] for c in rows.columns], *[right[c] for c in kept])
     right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
