@@ -52,7 +52,7 @@ from pairloom.session import arrow_fs, collect_garbage, default_parallelism, dro
 #: Pair-ends in one block (about 150 bytes each while it's solved, all numbers), change of log-strength at which an axis is done, and rounds at most.
 BLOCK_ENDS, TOLERANCE, ROUNDS = 250_000, 1e-7, 120
 #: Earlier rounds that are mixed.
-DEPTH = 12
+DEPTH = 8
 #: What a larger ratio counts as: a share of 1 in all but name.
 MOST_RATIO = 1e6
 
@@ -121,7 +121,7 @@ _SOLVED = ["part", "axis", "block", "no", "component", "gs", "fs", "weight", "mo
 _SCHEMA = "part string, axis long, block int, no long, component long, gs array<double>, fs array<double>, weight double, moved boolean, exact boolean, up double, down double"
 
 
-def _solve_block(ends: pd.DataFrame, block: int, held: pd.DataFrame) -> tuple[dict | None, pd.DataFrame | None]:
+def _solve_block(ends: pd.DataFrame, block: int, held: pd.DataFrame, tolerance: float) -> tuple[dict | None, pd.DataFrame | None]:
     """New strengths and components of a block's nodes, and the sums of the hubs they met.
 
     ``held``: current (no, x, component) of the block's nodes and of all that they meet, by number.
@@ -138,7 +138,7 @@ def _solve_block(ends: pd.DataFrame, block: int, held: pd.DataFrame) -> tuple[di
     pi, settled = np.exp(was), True
     if block >= 0:
         # weight of src -> dst is what dst won over src
-        pi, settled = strengths(node[inside], other, lost[inside], pi, node[~inside], np.exp(now[out]), lost[~inside], won[~inside], TOLERANCE * 0.1)
+        pi, settled = strengths(node[inside], other, lost[inside], pi, node[~inside], np.exp(now[out]), lost[~inside], won[~inside], tolerance)
     # a component's label is its least number, spread over the pairs until it rests
     before = label[at(names)]
     least = np.minimum(before, names)
@@ -163,8 +163,8 @@ def _solve_block(ends: pd.DataFrame, block: int, held: pd.DataFrame) -> tuple[di
     return nodes, sums
 
 
-def _round_of(ends_at: str, state_at: str | None):
-    """The function of one block: reads its ends and its earlier answers from its files, and solves it."""
+def _round_of(ends_at: str, state_at: str | None, tolerance: float):
+    """The function of one block: reads its ends and its earlier answers from its files, and solves it to ``tolerance``."""
     read = ["no", "other", "won", "lost", "other_block"]
 
     def solve(key: tuple, held: pd.DataFrame) -> pd.DataFrame:
@@ -175,7 +175,7 @@ def _round_of(ends_at: str, state_at: str | None):
         fs, root = arrow_fs(ends_at)
         ends = ds.dataset(f"{root}/part={part}", filesystem=fs, format="parquet").to_table(columns=read).to_pandas()
         held = held.dropna(subset=["no"]).drop_duplicates("no").sort_values("no").astype({"no": "int64", "component": "int64"})
-        nodes, sums = _solve_block(ends, block, held)
+        nodes, sums = _solve_block(ends, block, held, tolerance)
         parts = []
         if nodes is not None:
             gs, changes = nodes["x"][:, None], (nodes["x"] - nodes["was"])[:, None]
@@ -256,14 +256,19 @@ def luce_strengths(pairs: DataFrame, block_ends: int = BLOCK_ENDS, rounds: int =
     with_hubs = entities.filter("block is null").limit(1).count() > 0
     # in units of log-strength: all equal at first
     x = entities.select("axis", "block", "no", F.lit(0.0).alias("x"), F.col("no").alias("component"))
+    spread = min(blocks.count(), default_parallelism(spark)) or 1
     finished: list[DataFrame] = []
+    # the first answers are exact, for the blocks that meet nothing outside; later ones need be no more exact than the last change
+    tolerance = TOLERANCE * 0.1
     state_at = mix = None
     for turn in range(rounds):
         marks = blocks.select("axis", "block", F.lit(None).cast("long").alias("no"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("long").alias("component"))
         far = outside.join(x.drop("block"), ["axis", "no"]).select("axis", "block", "no", "x", "component")
         held = x.filter("block is not null").unionByName(far).unionByName(marks)
         path = scratch_dir(spark, "ranking-round")
-        held.groupBy("axis", "block").applyInPandas(_round_of(ends_at, state_at), _SCHEMA).write.partitionBy("part").parquet(path)
+        # as many tasks as there are blocks, however few bytes they get: their work is in their files
+        held = held.repartition(spread, "axis", "block")
+        held.groupBy("axis", "block").applyInPandas(_round_of(ends_at, state_at, tolerance), _SCHEMA).write.partitionBy("part").parquet(path)
         solved = spark.read.schema(_SCHEMA).parquet(path)
         state = solved.filter("part <> 'hubs'").select("axis", "block", "no", "component", "gs", "fs", "weight", "moved", "exact")
         if with_hubs:
@@ -275,8 +280,9 @@ def luce_strengths(pairs: DataFrame, block_ends: int = BLOCK_ENDS, rounds: int =
         if report is not None:
             report.append((turn + 1, seen["axes"] - seen["done"], seen["change"]))
         last = turn == rounds - 1
-        rested = hot_join(state.select("axis", "no", "component", F.element_at("gs", -1).alias("log_strength")), mix.filter(F.col("done") | F.lit(last)).select("axis", "done"), ["axis"])
+        tolerance = max(TOLERANCE * 0.1, 0.01 * (seen["change"] or 0.0))
         if seen["done"] or last or not seen["axes"]:
+            rested = hot_join(state.select("axis", "no", "component", F.element_at("gs", -1).alias("log_strength")), mix.filter(F.col("done") | F.lit(last)).select("axis", "done"), ["axis"], seen["axes"])
             finished.append(materialise(rested.withColumnRenamed("done", "converged"), "ranking-strengths"))
         if state_at is not None:
             drop_path(spark, state_at)
@@ -288,7 +294,7 @@ def luce_strengths(pairs: DataFrame, block_ends: int = BLOCK_ENDS, rounds: int =
             warnings.warn(f"{seen['axes'] - seen['done']} axes haven't come to rest after {rounds} rounds; largest change {seen['change']:g}", stacklevel=2)
             break
         mixed = F.aggregate(F.zip_with("gs", "mix", lambda g, m: g * m), F.lit(0.0), lambda s, v: s + v)
-        x = hot_join(state.select("axis", "block", "no", "component", "gs"), going, ["axis"]).select("axis", "block", "no", mixed.alias("x"), "component")
+        x = hot_join(state.select("axis", "block", "no", "component", "gs"), going, ["axis"], seen["axes"]).select("axis", "block", "no", mixed.alias("x"), "component")
         if seen["done"]:
             blocks, outside = (materialise(hot_join(t, going.select("axis"), ["axis"]), "ranking-going") for t in (blocks, outside))
         if turn % 4 == 3:
