@@ -40,7 +40,7 @@ import warnings
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.llm.luce import strengths
@@ -121,7 +121,7 @@ _SOLVED = ["part", "axis", "block", "no", "component", "gs", "fs", "weight", "mo
 _SCHEMA = "part string, axis long, block int, no long, component long, gs array<double>, fs array<double>, weight double, moved boolean, exact boolean, up double, down double"
 
 
-def _solve_block(ends: pd.DataFrame, block: int, held: pd.DataFrame, tolerance: float) -> tuple[dict | None, pd.DataFrame | None]:
+def _solve_block(ends: pd.DataFrame, block: int, held: pd.DataFrame, tolerance: float, first: bool = True) -> tuple[dict | None, pd.DataFrame | None]:
     """New strengths and components of a block's nodes, and the sums of the hubs they met.
 
     ``held``: current (no, x, component) of the block's nodes and of all that they meet, by number.
@@ -137,13 +137,15 @@ def _solve_block(ends: pd.DataFrame, block: int, held: pd.DataFrame, tolerance:
     was = now[at(names)]
     pi, settled = np.exp(was), True
     if block >= 0:
+        # a block that meets strengths which still move need be no more exact than they are
+        tolerance = TOLERANCE * 0.1 if inside.all() else tolerance
         # weight of src -> dst is what dst won over src
         pi, settled = strengths(node[inside], other, lost[inside], pi, node[~inside], np.exp(now[out]), lost[~inside], won[~inside], tolerance)
     # a component's label is its least number, spread over the pairs until it rests
     before = label[at(names)]
     least = np.minimum(before, names)
     np.minimum.at(least, node[~inside], label[out])
-    while True:
+    while first or (least != before).any():
         new = least.copy()
         np.minimum.at(new, node[inside], least[other])
         if (new == least).all():
@@ -175,7 +177,7 @@ def _round_of(ends_at: str, state_at: str | None, tolerance: float):
         fs, root = arrow_fs(ends_at)
         ends = ds.dataset(f"{root}/part={part}", filesystem=fs, format="parquet").to_table(columns=read).to_pandas()
         held = held.dropna(subset=["no"]).drop_duplicates("no").sort_values("no").astype({"no": "int64", "component": "int64"})
-        nodes, sums = _solve_block(ends, block, held, tolerance)
+        nodes, sums = _solve_block(ends, block, held, tolerance, state_at is None)
         parts = []
         if nodes is not None:
             gs, changes = nodes["x"][:, None], (nodes["x"] - nodes["was"])[:, None]
@@ -204,8 +206,8 @@ def mixture(gram: np.ndarray) -> np.ndarray:
     return z / z.sum() if abs(z.sum()) > 1e-300 and np.isfinite(z).all() else np.eye(len(gram))[-1]
 
 
-def _mix(state: DataFrame, depth: int) -> DataFrame:
-    """(axis, mix, change, done): for each axis the weights of the last answers, and whether it has come to rest."""
+def _mix(state: DataFrame, depth: int) -> tuple[DataFrame, dict]:
+    """(axis, mix, done): for each axis the weights of the last answers, and whether it has come to rest; and how many axes, done ones and the largest change."""
     pairs = [(i, j) for i in range(depth) for j in range(i + 1)]
     sums = state.groupBy("axis").agg(
         *[F.sum(F.col("fs")[i] * F.col("fs")[j] * F.col("weight")).alias(f"p{i}_{j}") for i, j in pairs],
@@ -225,7 +227,10 @@ def _mix(state: DataFrame, depth: int) -> DataFrame:
             rests = part["exact"] | ((part["change"] < TOLERANCE) & ~part["moved"])
             yield pd.DataFrame({"axis": part["axis"], "mix": mixes, "change": part["change"], "done": rests})
 
-    return materialise(sums.mapInPandas(weigh, "axis long, mix array<double>, change double, done boolean"), "ranking-mix")
+    seen = Observation()
+    mixed = sums.mapInPandas(weigh, "axis long, mix array<double>, change double, done boolean")
+    mixed = mixed.observe(seen, F.count(F.lit(1)).alias("axes"), F.count_if("done").alias("done"), F.max("change").alias("change"))
+    return materialise(mixed, "ranking-mix"), seen.get
 
 
 def _hubs(solved: DataFrame, old: DataFrame, x: DataFrame) -> DataFrame:
@@ -258,8 +263,7 @@ def luce_strengths(pairs: DataFrame, block_ends: int = BLOCK_ENDS, rounds: int =
     x = entities.select("axis", "block", "no", F.lit(0.0).alias("x"), F.col("no").alias("component"))
     spread = min(blocks.count(), default_parallelism(spark)) or 1
     finished: list[DataFrame] = []
-    # the first answers are exact, for the blocks that meet nothing outside; later ones need be no more exact than the last change
-    tolerance = TOLERANCE * 0.1
+    tolerance = 0.01
     state_at = mix = None
     for turn in range(rounds):
         marks = blocks.select("axis", "block", F.lit(None).cast("long").alias("no"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("long").alias("component"))
@@ -275,8 +279,7 @@ def luce_strengths(pairs: DataFrame, block_ends: int = BLOCK_ENDS, rounds: int =
             hubs_now = materialise(_hubs(solved, hubs, x), "ranking-hubs")
             hubs = hubs_now.select("axis", "no", "component", "gs", "fs")
             state = state.unionByName(hubs_now.withColumn("block", F.lit(None).cast("int")))
-        mix = _mix(state, min(turn + 1, DEPTH))
-        seen = mix.agg(F.count(F.lit(1)).alias("axes"), F.count_if("done").alias("done"), F.max("change").alias("change")).first()
+        mix, seen = _mix(state, min(turn + 1, DEPTH))
         if report is not None:
             report.append((turn + 1, seen["axes"] - seen["done"], seen["change"]))
         last = turn == rounds - 1
@@ -297,7 +300,8 @@ def luce_strengths(pairs: DataFrame, block_ends: int = BLOCK_ENDS, rounds: int =
         x = hot_join(state.select("axis", "block", "no", "component", "gs"), going, ["axis"], seen["axes"]).select("axis", "block", "no", mixed.alias("x"), "component")
         if seen["done"]:
             blocks, outside = (materialise(hot_join(t, going.select("axis"), ["axis"]), "ranking-going") for t in (blocks, outside))
-        if turn % 4 == 3:
+            spread = min(blocks.count(), default_parallelism(spark)) or 1
+        if turn % 8 == 7:
             collect_garbage(spark)  # the shuffles of rounds gone by
     if state_at is not None:
         drop_path(spark, state_at)
