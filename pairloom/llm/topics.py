@@ -50,7 +50,7 @@ from pairloom.session import materialise
 #: Documents, and part of all documents, that must hold a word for a number of its own; numbers that the rarer words share.
 MIN_DOCUMENTS, MIN_SHARE, RARE = 5, 1e-5, 1 << 14
 #: Topics beside the subjects' own; rounds of EM at most; passes over a document in a round; relative gain in likelihood at which it rests.
-OTHER_TOPICS, ROUNDS, PASSES, REST = 4, 40, 6, 2e-3
+OTHER_TOPICS, ROUNDS, PASSES, REST = 4, 40, 4, 2e-3
 #: How much more often the examples of a subject must use a word than the corpus does, for it to be taken as the subject's.
 LIFT = 3.0
 #: Prior of a document's proportions, of a topic's words, and the part of a sentence's words that come from the background.
@@ -58,22 +58,27 @@ ALPHA, ETA, BACKGROUND = 0.3, 1e-3, 0.8
 #: Part of a document's sentences that makes a subject.
 SHARE = 0.2
 #: Round after which the other topics start; part of a document's other sentences that supports a subject, and part of a word's uses in documents that support its subject.
-OTHERS_AFTER, SUPPORT, KEEP = 3, 0.15, 0.4
+OTHERS_AFTER, SUPPORT, KEEP = 3, 0.15, 0.6
+#: Rounds in which words are kept for subjects or not.
+SORTED_AFTER = 5
 #: Words of a topic that are inspected, and how far the first subject must lead the second.
 TOP_TERMS, LEAD = 60, 2.0
+#: Words of letters that make a sentence.
+SENTENCE_WORDS = 3
 #: Documents of a chunk, and characters after which it ends.
 CHUNK_DOCUMENTS, CHUNK_CHARS = 1000, 2_000_000
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'»”)\]*_]*\s+|(?<=[。！？])|[\r\n]+|\\r\\n|\\n|\\r")
 
 
+def pieces(text: str | None) -> list[list[str]]:
+    """Folded words of each piece of at least ``SENTENCE_WORDS`` words that the text's stops and line breaks cut off."""
+    found = (split_words(piece) for piece in _SENTENCE.split(plain(text))) if text else ()
+    return [w for w in found if len(w) >= SENTENCE_WORDS]
+
+
 def sentences(text: str | None) -> list[list[str]]:
-    """Folded words of each sentence of at least three words."""
-    out = []
-    for piece in _SENTENCE.split(plain(text)) if text else ():
-        w = split_words(piece)
-        if sum(x.isalpha() for x in w) >= 3:
-            out.append(w)
-    return out
+    """The pieces with at least ``SENTENCE_WORDS`` words of letters."""
+    return [w for w in pieces(text) if sum(x.isalpha() for x in w) >= SENTENCE_WORDS]
 
 
 def _digamma(x: np.ndarray) -> np.ndarray:
@@ -133,41 +138,62 @@ def _numbers(found: list[str], vocabulary: dict[str, int]) -> np.ndarray:
     return np.array([k if (k := vocabulary.get(w)) is not None else first + zlib.crc32(w.encode()) % RARE for w in found], dtype=np.int32)
 
 
+def _close(ids: list, per_doc: list[int], lengths: list[int], places: list[int], words_: list[str], id_type: pa.DataType) -> pa.RecordBatch:
+    """One chunk: pieces that are no sentences and words of one letter or of digits are taken out."""
+    lengths, places = np.asarray(lengths, dtype=np.int64), np.asarray(places, dtype=np.int64)
+    letters = np.array([w.isalpha() for w in words_], dtype=bool)
+    counted = np.array([len(w) > 1 and not w.isdigit() for w in words_], dtype=bool)
+    doc = np.repeat(np.arange(len(per_doc)), per_doc)
+    if len(lengths):
+        good = np.add.reduceat(letters[places].astype(np.int64), np.cumsum(lengths) - lengths) >= SENTENCE_WORDS
+        sentence = np.repeat(np.arange(len(lengths)), lengths)
+        kept = good[sentence] & counted[places]
+        lengths = np.bincount(sentence[kept], minlength=len(lengths))[good]
+        places, doc = places[kept], doc[good]
+    used, places = np.unique(places, return_inverse=True)
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    order = np.argsort(places, kind="stable")
+    uses = np.bincount(places, minlength=len(used))
+    # documents that hold each word: changes of document within a word's uses
+    held = doc[owner[order]] if len(order) else np.zeros(0, np.int64)
+    new = np.concatenate([[True], (held[1:] != held[:-1]) | (places[order][1:] != places[order][:-1])]) if len(order) else np.zeros(0, bool)
+    holders = np.bincount(places[order][new], minlength=len(used))
+    ints = lambda x: pa.array([np.asarray(x, dtype=np.int32)], pa.list_(pa.int32()))
+    columns = [pa.array([ids], pa.list_(id_type)), ints(np.bincount(doc, minlength=len(per_doc))), ints(lengths), ints(places), ints(owner[order]), pa.array([[words_[k] for k in used]], pa.list_(pa.string())), ints(holders), ints(uses)]
+    return pa.RecordBatch.from_arrays(columns, ["doc_ids", "sentences", "lengths", "places", "owners", "words", "holders", "uses"])
+
+
 def _chunks(documents: DataFrame) -> DataFrame:
-    """Folded and split once: (doc_ids, sentences, lengths, places, words, holders, uses)."""
+    """Folded and split once: (doc_ids, sentences, lengths, places, owners, words, holders, uses).
+
+    ``places`` are the words by sentence, ``owners`` the sentences by word: ``uses`` of them for each.
+    """
     kind = documents.schema["doc_id"].dataType
     arrow_kind = documents.limit(0).select("doc_id").toArrow().schema.field(0).type
 
-    def close(ids: list, per_doc: list, lengths: list, places: list, known: dict, holders: Counter, uses: Counter) -> pa.RecordBatch:
-        ints = lambda x: pa.array([np.asarray(x, dtype=np.int32)], pa.list_(pa.int32()))
-        names = list(known)
-        columns = [pa.array([ids], pa.list_(arrow_kind)), ints(per_doc), ints(lengths), ints(places), pa.array([names], pa.list_(pa.string())), ints([holders[w] for w in names]), ints([uses[w] for w in names])]
-        return pa.RecordBatch.from_arrays(columns, ["doc_ids", "sentences", "lengths", "places", "words", "holders", "uses"])
-
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        empty = lambda: ([], [], [], [], {}, Counter(), Counter())
-        state, size = empty(), 0
+        def empty() -> tuple:
+            known: defaultdict[str, int] = defaultdict()
+            known.default_factory = known.__len__  # a new word gets the next number
+            return [], [], [], [], known
+
+        (ids, per_doc, lengths, places, known), size = empty(), 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids, per_doc, lengths, places, known, holders, uses = state
-                got = [[w for w in s if len(w) > 1 and not w.isdigit()] for s in sentences(text)]
+                got = pieces(text)
                 ids.append(doc)
                 per_doc.append(len(got))
-                own = Counter()
                 for s in got:
                     lengths.append(len(s))
-                    places.extend([known.setdefault(w, len(known)) for w in s])
-                    own.update(s)
-                uses.update(own)
-                holders.update(own.keys())
+                    places.extend(map(known.__getitem__, s))
                 size += len(text or "")
                 if len(ids) >= CHUNK_DOCUMENTS or size >= CHUNK_CHARS:
-                    yield close(*state)
-                    state, size = empty(), 0
-        if state[0]:
-            yield close(*state)
+                    yield _close(ids, per_doc, lengths, places, list(known), arrow_kind)
+                    (ids, per_doc, lengths, places, known), size = empty(), 0
+        if ids:
+            yield _close(ids, per_doc, lengths, places, list(known), arrow_kind)
 
-    schema = f"doc_ids array<{kind.simpleString()}>, sentences array<int>, lengths array<int>, places array<int>, words array<string>, holders array<int>, uses array<int>"
+    schema = f"doc_ids array<{kind.simpleString()}>, sentences array<int>, lengths array<int>, places array<int>, owners array<int>, words array<string>, holders array<int>, uses array<int>"
     return materialise(documents.select("doc_id", "text").mapInArrow(split, schema), "topic-chunks")
 
 
@@ -181,21 +207,21 @@ def prepare(documents: DataFrame, vocabulary: dict[str, int] | None = None, freq
         counts = chunks.select(entry).groupBy(F.col("e.words").alias("word")).agg(F.sum("e.holders").alias("n"), F.sum("e.uses").alias("uses"))
         counts = materialise(counts, "topic-words")
         least = max(MIN_DOCUMENTS, int(np.ceil(MIN_SHARE * size)))
-        kept = counts.filter(F.col("n") >= least).toPandas().sort_values("word", ignore_index=True)
-        vocabulary = {w: k for k, w in enumerate(kept["word"])}
-        frequency = np.concatenate([kept["uses"].to_numpy(float), np.zeros(RARE)])
+        frequent = counts.filter(F.col("n") >= least).toPandas().sort_values("word", ignore_index=True)
+        vocabulary = {w: k for k, w in enumerate(frequent["word"])}
+        frequency = np.concatenate([frequent["uses"].to_numpy(float), np.zeros(RARE)])
         rare = counts.filter(F.col("n") < least).groupBy(F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(RARE)).cast("int").alias("at")).agg(F.sum("uses").alias("uses")).toPandas()
         frequency[len(vocabulary) + rare["at"].to_numpy(int)] = rare["uses"].to_numpy(float)
     shared = spark.sparkContext.broadcast(vocabulary)
+    kept = ["doc_ids", "sentences", "lengths", "places", "owners", "uses"]
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             numbers = pa.array([_numbers(w, shared.value) for w in batch.column("words").to_pylist()], pa.list_(pa.int32()))
-            columns = [batch.column(c) for c in ("doc_ids", "sentences", "lengths", "places")]
-            yield pa.RecordBatch.from_arrays([*columns, numbers], ["doc_ids", "sentences", "lengths", "places", "numbers"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], numbers], [*kept, "numbers"])
 
     ids = chunks.schema["doc_ids"].dataType.simpleString()
-    numbered = chunks.select("doc_ids", "sentences", "lengths", "places", "words").mapInArrow(number, f"doc_ids {ids}, sentences array<int>, lengths array<int>, places array<int>, numbers array<int>")
+    numbered = chunks.select(*kept, "words").mapInArrow(number, f"doc_ids {ids}, {', '.join(f'{c} array<int>' for c in kept[1:])}, numbers array<int>")
     return Corpus(materialise(numbered, "topic-bags"), vocabulary, frequency)
 
 
@@ -222,26 +248,24 @@ def fold_in(gain: np.ndarray, per_doc: np.ndarray) -> tuple[np.ndarray, np.ndarr
     ``gain`` are the sentences' log-likelihoods, ``per_doc`` the sentences of each document that has any.
     """
     first = np.cumsum(per_doc) - per_doc
-    gain = np.hstack([gain, np.zeros((len(gain), 1), gain.dtype)]).astype(float)
+    gain = np.hstack([gain, np.zeros((len(gain), 1), gain.dtype)])
     top = gain.max(1, keepdims=True)
     like = np.exp(gain - top)
     k = gain.shape[1]
     gamma = ALPHA + np.repeat(per_doc[:, None] / k, k, axis=1)
-    q = norm = None
+    q = like
     for _ in range(PASSES):
-        q = like * np.repeat(np.exp(_digamma(gamma)), per_doc, axis=0)
-        norm = q.sum(1, keepdims=True)
-        q /= norm
+        q = like * np.repeat(np.exp(_digamma(gamma)).astype(np.float32), per_doc, axis=0)
+        q /= q.sum(1, keepdims=True)
         gamma = ALPHA + np.add.reduceat(q, first, axis=0)
     theta = np.repeat(gamma / gamma.sum(1, keepdims=True), per_doc, axis=0)
-    return q, gamma, float((np.log((like * theta).sum(1)) + top[:, 0]).sum())
+    return q, gamma, float((np.log((like * theta).sum(1)) + top[:, 0]).sum(dtype=float))
 
 
 def _read(batch: pa.RecordBatch) -> Iterator[tuple]:
-    """(doc_ids, sentences of each document that has any, their documents, words' sentences, words' places, numbers, gains' starts) of each chunk."""
+    """(doc_ids, sentences of each document, words of each sentence, words by sentence, sentences by word, uses of each word, numbers) of each chunk."""
     for row in range(batch.num_rows):
-        per_doc, lengths, places, numbers = (batch.column(c)[row].values.to_numpy() for c in ("sentences", "lengths", "places", "numbers"))
-        yield batch.column("doc_ids")[row].values, per_doc, lengths, places, numbers
+        yield batch.column("doc_ids")[row].values, *(batch.column(c)[row].values.to_numpy() for c in ("sentences", "lengths", "places", "owners", "uses", "numbers"))
 
 
 def _sentence_gains(topics: np.ndarray, lengths: np.ndarray, places: np.ndarray, numbers: np.ndarray) -> np.ndarray:
@@ -285,34 +309,34 @@ def fit(documents: DataFrame | Corpus, examples: list[tuple[str, str]], rounds:
     own = len(subjects)
     weights = example_weights(examples, vocabulary, frequency)
     counts = start_topics(vocabulary, frequency, weights, subjects)
-    bags = corpus.chunks.select("sentences", "lengths", "places", "numbers", "doc_ids").coalesce(spark.sparkContext.defaultParallelism)
+    bags = corpus.chunks.coalesce(spark.sparkContext.defaultParallelism)
     before, turn, rests = -np.inf, 0, not vocabulary
+    kept = np.ones((len(frequency), own), dtype=bool)
     while turn < rounds and not rests:
         turn += 1
         topics = gains(counts, frequency)
         shared = spark.sparkContext.broadcast(topics)
-        # expected uses in the topics' sentences; uses in documents that support each subject; uses in unsupported sentences
-        names = [*[f"k{k}" for k in range(topics.shape[1])], *[f"d{k}" for k in range(own)], "unsupported"]
+        # expected uses in the topics' sentences; while words are sorted out, uses in documents that support each subject and in unsupported sentences
+        sorting = turn <= SORTED_AFTER
+        names = [*[f"k{k}" for k in range(topics.shape[1])], *([*[f"d{k}" for k in range(own)], "unsupported"] if sorting else [])]
 
-        def step(batches: Iterator[pa.RecordBatch], shared=shared, names=names) -> Iterator[pa.RecordBatch]:
+        def step(batches: Iterator[pa.RecordBatch], shared=shared, names=names, sorting=sorting) -> Iterator[pa.RecordBatch]:
             topics = shared.value
             held, likelihood = np.zeros((len(topics), len(names))), 0.0
             for batch in batches:
-                for _, per_doc, lengths, places, numbers in _read(batch):
-                    if not len(lengths):
+                for _, per_doc, lengths, places, owners, uses, numbers in _read(batch):
+                    if not len(places):
                         continue
                     full = per_doc[per_doc > 0]
                     q, gamma, more = fold_in(_sentence_gains(topics, lengths, places, numbers), full)
                     likelihood += more
-                    others = np.repeat(gamma[:, :own] - ALPHA, full, axis=0) - q[:, :own]
-                    supported = (others >= SUPPORT * np.repeat(full, full)[:, None]).astype(float)
-                    uses = np.hstack([q[:, :-1], supported, 1 - (q[:, :own] * supported).sum(1, keepdims=True)])
-                    # sums over the sentences of each word of the chunk, in the words' order
-                    owner = np.repeat(np.arange(len(lengths)), lengths)
-                    order = np.argsort(places, kind="stable")
-                    first = np.flatnonzero(np.diff(places[order], prepend=-1))
-                    sums = np.add.reduceat(uses[owner[order]], first, axis=0) if len(first) else np.zeros((0, len(names)))
-                    np.add.at(held, numbers[places[order][first]], sums)  # rare words of a chunk may share a number
+                    values = q[:, :-1]
+                    if sorting:
+                        others = np.repeat(gamma[:, :own] - ALPHA, full, axis=0) - q[:, :own]
+                        supported = (others >= SUPPORT * np.repeat(full, full)[:, None]).astype(np.float32)
+                        values = np.hstack([values, supported, 1 - (q[:, :own] * supported).sum(1, keepdims=True)])
+                    # sums over the sentences of each word of the chunk; rare words may share a number
+                    np.add.at(held, numbers, np.add.reduceat(values[owners], np.cumsum(uses) - uses, axis=0))
             used = np.flatnonzero(held.any(1))
             at = np.concatenate([[-1], used]).astype(np.int32)
             values = np.vstack([np.full(len(names), likelihood), held[used]])
@@ -327,11 +351,14 @@ def fit(documents: DataFrame | Corpus, examples: list[tuple[str, str]], rounds:
         counts = np.zeros((len(frequency), size))
         # of a word's uses in a topic's sentences, those that come from the topic and not from the background
         counts[at] = values[:, :size] * (1 - BACKGROUND * np.exp(-topics[at].astype(float)))
-        kept = values[:, size:-1] >= KEEP * frequency[at][:, None]
-        counts[at, :own] *= kept
+        if sorting:
+            kept = np.ones((len(frequency), own), dtype=bool)
+            kept[at] = values[:, size:-1] >= KEEP * frequency[at][:, None]
+        counts[:, :own] *= kept
         if turn == OTHERS_AFTER:
             start = np.zeros((len(frequency), OTHER_TOPICS))
             start[at] = (values[:, -1] ** 2 / np.maximum(frequency[at], 1))[:, None] * np.random.default_rng(seed).gamma(1.0, 1.0, (len(at), OTHER_TOPICS))
+            start[kept.any(1)] = 0  # subjects' own words are open to the others, but don't start them
             counts = np.hstack([counts, start])
         rests = turn > OTHERS_AFTER + 2 and now - before <= REST * abs(now)
         before = now
@@ -352,7 +379,7 @@ def assign(documents: DataFrame | Corpus, model: TopicModel, share: float = SHAR
         topics, of = shared.value
         names = pa.array(subjects, pa.string())
         for batch in batches:
-            for ids, per_doc, lengths, places, numbers in _read(batch):
+            for ids, per_doc, lengths, places, _, _, numbers in _read(batch):
                 if not len(lengths):
                     continue
                 full = np.flatnonzero(per_doc)
