@@ -21,40 +21,52 @@ def judge_correlation(latents: DataFrame, keys: list[str], judge: str = "model",
     return a.join(b, [*keys, "entity_id"]).filter("judge_a < judge_b").groupBy(*keys, "judge_a", "judge_b").agg(n.alias("n"), F.when(ok, F.corr("x", "y")).alias("r"))
 
 
+# Least correlation that a triad may divide by, largest part of a judge's variance that the consensus may explain,
+# least variance of a judge's own error, and what keeps the errors' inverse finite.
+LEAST_DIVISOR, MOST_SHARED, LEAST_ERROR, RIDGE = 0.05, 0.998, 1e-3, 1e-6
+
+
+def consensus_loadings(r: np.ndarray) -> np.ndarray:
+    """Correlation of each judge with the consensus: r_ij = l_i l_j gives l_i^2 = r_ij r_ik / r_jk for every triad; the upper median of them."""
+    k = len(r)
+    if k == 2:
+        return np.full(2, math.sqrt(max(r[0, 1], 0.0)))
+    usable = np.triu(np.abs(r) >= LEAST_DIVISOR, 1)
+    out = np.zeros(k)
+    for i in range(k):
+        own = usable.copy()
+        own[i] = own[:, i] = False
+        squares = np.clip(np.outer(r[i], r[i])[own] / r[own], 0.0, MOST_SHARED)
+        if len(squares):
+            out[i] = math.sqrt(np.partition(squares, len(squares) // 2)[len(squares) // 2])
+    return out
+
+
+def error_covariance(r: np.ndarray, load: np.ndarray) -> np.ndarray:
+    """What the consensus leaves of the correlations, as the nearest matrix whose eigenvalues aren't below ``LEAST_ERROR``."""
+    rest = r - np.outer(load, load)
+    np.fill_diagonal(rest, np.maximum(1 - load**2, LEAST_ERROR))
+    value, vector = np.linalg.eigh(rest)
+    return (vector * np.maximum(value, LEAST_ERROR)) @ vector.T
+
+
 def portfolio(names: list[str], r: np.ndarray) -> pd.DataFrame:
     """One-factor view of the judges' correlations: loading on the consensus, weight, and what each adds.
 
-    Loadings are upper medians over triads; the errors' covariance is brought back to
-    positive definite by clipping its eigenvalues.
+    With the errors' precision M and v = M l, all judges together tell l'Ml of the
+    consensus, the best weights are in proportion to v, and without judge i they
+    tell v_i^2 / M_ii less: one inverse serves all.
     """
-    k = len(names)
-    if k == 2:
-        load = np.full(2, math.sqrt(max(r[0, 1], 0.0)))
-    else:
-        load = np.zeros(k)
-        for i in range(k):
-            others = [x for x in range(k) if x != i]
-            got = sorted(min(max(r[i, a] * r[i, b] / r[a, b], 0.0), 0.998) for p, a in enumerate(others) for b in others[p + 1 :] if abs(r[a, b]) >= 0.05)
-            load[i] = math.sqrt(got[len(got) // 2]) if got else 0.0
-    error = r - np.outer(load, load)
-    np.fill_diagonal(error, np.maximum(np.diag(error), 1e-3))
-    value, vector = np.linalg.eigh(error)
-    error = (vector * np.maximum(value, 1e-3)) @ vector.T
-
-    def information(keep: list[int]) -> float:
-        sub = error[np.ix_(keep, keep)] + 1e-6 * np.eye(len(keep))
-        return float(load[keep] @ np.linalg.solve(sub, load[keep])) if keep else 0.0
-
-    every = list(range(k))
-    total = information(every)
-    raw = np.linalg.solve(error + 1e-6 * np.eye(k), load)
-    weight = raw / raw.sum() if abs(raw.sum()) > 1e-12 else np.full(k, 1 / k)
-    added = [max(total - information([x for x in every if x != i]), 0.0) for i in every]
+    load = consensus_loadings(r)
+    error = error_covariance(r, load)
+    precision = np.linalg.inv(error + RIDGE * np.eye(len(r)))
+    pull = precision @ load
+    total = pull.sum()
+    weight = pull / total if abs(total) > 1e-12 else np.full(len(r), 1 / len(r))
     scale = np.sqrt(np.diag(error))
-    unit = np.clip(np.linalg.eigvalsh(np.clip(error / np.outer(scale, scale), -1, 1)), 0, None)
-    top = np.linalg.eigvalsh(r)
-    share = max(top[-1], 0.0) / top.clip(0).sum()
-    return pd.DataFrame({"judge": names, "loading": load, "weight": weight, "marginal_information": added, "consensus_share": share, "error_sources": unit.sum() ** 2 / (unit**2).sum()})
+    own = np.maximum(np.linalg.eigvalsh(np.clip(error / np.outer(scale, scale), -1, 1)), 0)
+    shared = np.maximum(np.linalg.eigvalsh(r), 0)
+    return pd.DataFrame({"judge": names, "loading": load, "weight": weight, "marginal_information": pull**2 / np.diag(precision), "consensus_share": shared.max() / shared.sum(), "error_sources": own.sum() ** 2 / (own**2).sum()})
 
 
 def canonize(pair_rho: DataFrame, keys: list[str]) -> DataFrame:

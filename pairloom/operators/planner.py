@@ -31,6 +31,30 @@ def best_pairs(gains: DataFrame, keys: list[str], n: int) -> DataFrame:
     return gains.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
 
 
+def best_edges(nodes: DataFrame, keys: list[str], k: int, n: int, lam: float = 1.0, lambda_risk: float = 1.0) -> DataFrame:
+    """The n pairs of each group with the greatest hybrid gain, as ``best_pairs(edge_gains(...))`` gives them, for less.
+
+    A pair's risk part is at most half its weight, and the n greatest information
+    parts are among the n + 1 widest entities; so a pair whose bound lies below
+    the n-th of those can't be among the best, and no flip probability is worked
+    out for it.
+    """
+    r = ranked(nodes, keys)
+    w = Window.partitionBy(*keys)
+    wide = r.withColumn("_q", F.row_number().over(w.orderBy(F.desc("v"), "entity_id"))).filter(F.col("_q") <= n + 1)
+    a, b = (wide.select(*keys, F.col("_q").alias(f"_q{x}"), F.col("v").alias(f"_v{x}")) for x in "ab")
+    floor = a.join(b, keys).filter("_qa < _qb").withColumn("_info", F.log(1 + lam * (F.col("_va") + F.col("_vb"))) / 2)
+    floor = floor.withColumn("_n", F.row_number().over(w.orderBy(F.desc("_info")))).filter(F.col("_n") == n).select(*keys, F.col("_info").alias("_least"))
+    side = lambda x: r.select(*keys, F.col("entity_id").alias(x), F.col("s").alias(f"s_{x}"), F.col("v").alias(f"v_{x}"), F.col("rank").alias(f"r_{x}"))
+    p = side("hi").join(floor, keys, "left").join(side("lo"), keys).filter("r_hi < r_lo")
+    big_r, d = F.col("v_hi") + F.col("v_lo"), F.col("s_hi") - F.col("s_lo")
+    info = F.log(1 + lam * big_r) / 2
+    p = p.filter(F.col("_least").isNull() | (info + lambda_risk * pair_rank_weight(k) / 2 >= F.col("_least") - 1e-8))
+    risk = pair_rank_weight(k) * (flip_probability(d, big_r) - flip_probability(d, big_r / (1 + lam * big_r)))
+    gains = p.select(*keys, F.least("hi", "lo").alias("i"), F.greatest("hi", "lo").alias("j"), info.alias("d_info"), risk.alias("d_risk"), (info + lambda_risk * risk).alias("gain"))
+    return best_pairs(gains, keys, n)
+
+
 def frontier(nodes: DataFrame, keys: list[str], k: int, each: int, beta: float = 1.96) -> DataFrame:
     """Weakest incumbents against strongest challengers of the band, at most ``each`` of both."""
     b = uncertainty_band(nodes, keys, k, beta).filter("in_band")
@@ -57,7 +81,7 @@ def proposals(nodes: DataFrame, edges: DataFrame, keys: list[str], k: int, batch
     pair = lambda a, b: (F.least(a, b).alias("i"), F.greatest(a, b).alias("j"))
     x = explore_needy(nodes, edges, keys).select(*keys, *pair("entity_id", "anchor"), F.lit(0).alias("kind"), F.lit(0.0).alias("gain"))
     y = frontier(nodes, keys, k, 3).select(*keys, *pair("incumbent", "challenger"), F.lit(1).alias("kind"), F.lit(0.0).alias("gain"))
-    z = best_pairs(edge_gains(nodes, keys, k), keys, batch).select(*keys, "i", "j", F.lit(2).alias("kind"), "gain")
+    z = best_edges(nodes, keys, k, batch).select(*keys, "i", "j", F.lit(2).alias("kind"), "gain")
     once = x.unionByName(y).unionByName(z).groupBy(*keys, "i", "j").agg(F.min("kind").alias("kind"), F.max("gain").alias("gain"))
     w = Window.partitionBy(*keys).orderBy("kind", F.desc(F.round("gain", 9)), "i", "j")
     return once.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= batch)

@@ -98,31 +98,11 @@ def compressed(dist: DataFrame, keys: list[str], most: int) -> DataFrame:
     return x.groupBy(*keys, "_c").agg((F.sum(F.col("value") * F.col("p")) / F.sum("p")).alias("value"), F.sum("p").alias("p")).drop("_c")
 
 
-def trie_masses(draws: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, direction, whole, part, p) of number answers written token by token.
-
-    ``draws`` has the tokens (direction, whole, part) of each draw; a leaf's mass is the
-    product of its node masses, each the share of the draws through its parent.
-    """
+def leaf_shares(draws: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, direction, whole, part, p, n): each number's share of the n draws that wrote numbers."""
     total = draws.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    one = draws.groupBy(*keys, "direction").agg(F.count(F.lit(1)).alias("n1"))
-    two = draws.groupBy(*keys, "direction", "whole").agg(F.count(F.lit(1)).alias("n2"))
-    leaf = draws.groupBy(*keys, "direction", "whole", "part").agg(F.count(F.lit(1)).alias("n3"))
-    x = leaf.join(two, [*keys, "direction", "whole"]).join(one, [*keys, "direction"]).join(total, keys)
-    return x.select(*keys, "direction", "whole", "part", ((F.col("n1") / F.col("n")) * (F.col("n2") / F.col("n1")) * (F.col("n3") / F.col("n2"))).alias("p"), "n")
-
-
-def certificate(leaves: DataFrame, keys: list[str], seen: float = 0.98) -> DataFrame:
-    """Bounds of the mean log-ratio when only leaves up to ``seen`` of the mass are known.
-
-    The unseen mass may lie anywhere within +-ln 999.9.
-    """
-    w = Window.partitionBy(*keys).orderBy(F.desc(F.round("p", 9)), "direction", "whole", "part")
-    known = leaves.withColumn("_before", F.sum(F.round("p", 9)).over(w) - F.round("p", 9)).filter(F.col("_before") < seen)
-    value = F.when(F.col("direction") == "A", 1.0).otherwise(-1.0) * F.log(F.greatest(F.col("whole") + F.col("part") / 10, F.lit(1.0)))
-    g = known.groupBy(*keys).agg(F.sum("p").alias("mass"), F.sum(F.col("p") * value).alias("mid"))
-    gap = (1 - F.col("mass")) * math.log(999.9)
-    return g.select(*keys, "mass", (F.col("mid") - gap).alias("e_lo"), F.col("mid").alias("e_mid"), (F.col("mid") + gap).alias("e_hi"))
+    leaf = draws.groupBy(*keys, "direction", "whole", "part").agg(F.count(F.lit(1)).alias("c"))
+    return leaf.join(total, keys).select(*keys, "direction", "whole", "part", (F.col("c") / F.col("n")).alias("p"), "n")
 
 
 def horvitz_thompson(leaves: DataFrame, keys: list[str]) -> DataFrame:

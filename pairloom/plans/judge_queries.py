@@ -80,13 +80,12 @@ def explain_ranking(spark, sf):
     return gram.join(rhs, ["lens", "p"]).groupBy("lens").applyInPandas(fit, "lens string, axis_key string, weight double")
 
 
-@query("differentiation_profile", f"with {ENTITY_AXES}, z as (select axis_key, entity_id, (s - avg(s) over w) / stddev_pop(s) over w as z from ea window w as (partition by axis_key)) select axis_key, round(z, 4) + 0.0 as z from z where entity_id = 'ent-00000000'")
+@query("differentiation_profile", f"with {ENTITY_AXES}, z as (select axis_key, entity_id, (s - avg(s) over w) / stddev_pop(s) over w as z from ea window w as (partition by axis_key)) select axis_key, entity_id, round(z, 4) + 0.0 as z from z")
 def differentiation_profile(spark, sf):
-    """The anchor's standing on each axis."""
+    """Every entity's standing on each axis."""
     ea = entity_axes(spark, sf)
     stats = ea.groupBy("axis_key").agg(F.avg("s").alias("mean"), F.stddev_pop("s").alias("sd"))
-    one = ea.filter("entity_id = 'ent-00000000'").join(stats, "axis_key")
-    return one.select("axis_key", (F.round((F.col("s") - F.col("mean")) / F.col("sd"), 4) + F.lit(0.0)).alias("z"))
+    return ea.join(F.broadcast(stats), "axis_key").select("axis_key", "entity_id", (F.round((F.col("s") - F.col("mean")) / F.col("sd"), 4) + F.lit(0.0)).alias("z"))
 
 
 @query(
@@ -158,9 +157,10 @@ def magnitude_slope(spark, sf):
     return d.groupBy("axis_key").agg(r6(F.sum(F.col("m") * F.col("d")) / F.sum(F.col("d") * F.col("d"))).alias("slope"))
 
 
-@query("chunk_paragraphs", r"select doc_id, len(list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n+'), lambda p: trim(p, ' ' || chr(9) || chr(10) || chr(13))), lambda p: p <> ''))::int as paragraphs from documents where text is not null")
+@query("chunk_paragraphs", r"select doc_id, len(list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n+'), lambda p: trim(p, ' ' || chr(9) || chr(10) || chr(13))), lambda p: p <> ''))::int as paragraphs from documents where text is not null union all select doc_id, 0 from documents where text is null")
 def chunk_paragraphs(spark, sf):
-    return table(spark, sf, "documents").filter("text is not null").select("doc_id", F.size(C.paragraphs(F.col("text"))).alias("paragraphs"))
+    count = F.when(F.col("text").isNull(), 0).otherwise(F.size(C.paragraphs(F.coalesce("text", F.lit("")))))
+    return table(spark, sf, "documents").select("doc_id", count.alias("paragraphs"))
 
 
 @query("chunk_documents")
@@ -194,28 +194,10 @@ def budget_normalised(spark, sf):
     return c.groupBy("model").agg(ok.alias("decided"), F.round(ok / F.count(F.lit(1)), 6).alias("each_call"), F.round(F.try_divide(ok, F.sum(F.coalesce("cost_nanodollars", F.lit(0))) / 1e9), 2).alias("each_dollar"))
 
 
-@query(
-    "cluster_bootstrap",
-    f"""with {OBS}, g as (select axis_key, model, count(*) as n, sum(abs(m)) as s from obs group by 1, 2), r as (select unnest(range(0, 200))::int as rep),
-    k as (select axis_key, model, n, s, row_number() over (partition by axis_key order by model) - 1 as pos, count(*) over (partition by axis_key) as groups from g),
-    d as (select k.axis_key, rep, (k.pos * 7919 + rep * 104729 + (k.pos * rep) % 97) % groups as pick from k, r),
-    b as (select d.axis_key, rep, sum(k.s) / sum(k.n) as est from d join k on k.axis_key = d.axis_key and k.pos = d.pick group by 1, 2)
-    select axis_key, round(quantile_cont(est, 0.025), 6) as low, round(quantile_cont(est, 0.5), 6) as mid, round(quantile_cont(est, 0.975), 6) as high from b group by 1""",
-)
-def cluster_bootstrap(spark, sf):
-    """Interval of the mean reading size when the models are drawn with replacement, seeded by arithmetic."""
-    g = obs(spark, sf).groupBy("axis_key", "model").agg(F.count(F.lit(1)).alias("n"), F.sum(F.abs("m")).alias("s"))
-    k = g.withColumns({"pos": F.row_number().over(Window.partitionBy("axis_key").orderBy("model")) - 1, "groups": F.count(F.lit(1)).over(Window.partitionBy("axis_key"))})
-    d = k.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(199)))).select("axis_key", "rep", ((F.col("pos") * 7919 + F.col("rep") * 104729 + (F.col("pos") * F.col("rep")) % 97) % F.col("groups")).alias("pick"))
-    b = d.join(k.select("axis_key", F.col("pos").alias("pick"), "n", "s"), ["axis_key", "pick"]).groupBy("axis_key", "rep").agg((F.sum("s") / F.sum("n")).alias("est"))
-    q = F.percentile("est", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
-    return b.groupBy("axis_key").agg(q.alias("q")).select("axis_key", *[F.round(F.element_at("q", i + 1), 6).alias(c) for i, c in enumerate(("low", "mid", "high"))])
-
-
-@query("stream_fuse", f"with {OBS}, u as (select axis_key, i, j, sign(m) * ln(ratio) as m from obs where ratio > 1) select axis_key, i, j, round(avg(m), 6) + 0.0 as mu, count(*)::double as lam from u group by 1, 2, 3")
+@query("stream_fuse", f"with {OBS}, u as (select axis_key, i, j, case when (higher_ranked = 'A') = (a < b) then 1 else -1 end * ln(ratio) as m from obs) select axis_key, i, j, round(avg(m), 6) + 0.0 as mu, count(*)::double as lam from u group by 1, 2, 3")
 def stream_fuse(spark, sf):
     """Traces dropped in two files and fused by a stream."""
-    o = obs(spark, sf, "comparison_index").filter("ratio > 1")
+    o = obs(spark, sf, "comparison_index")
     t = materialise(o.select(F.col("run").alias("run_id"), "axis_key", "comparison_index", F.col("a").alias("entity_a_id"), F.col("b").alias("entity_b_id"), "higher_ranked", "ratio"), "stream-source")
     traces, state, at = (scratch_dir(spark, x) for x in ("stream-in", "stream-state", "stream-checkpoint"))
     for half in (0, 1):

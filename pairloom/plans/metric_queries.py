@@ -149,7 +149,7 @@ _GAIN = f"""{RANKED}, g as (select a.run, a.axis_key, least(a.entity_id, b.entit
 
 @query("plan_edges", f"with {_GAIN}, o as (select *, row_number() over (partition by run, axis_key order by round(info + risk, 9) desc, i, j) as place from h) select run, axis_key, i, j, round(info, 5) as d_info, round(risk, 5) + 0.0 as d_risk, place from o where place <= 10")
 def plan_edges(spark, sf):
-    b = L.best_pairs(L.edge_gains(nodes(spark, sf), RUN, K), RUN, 10)
+    b = L.best_edges(nodes(spark, sf), RUN, K, 10)
     return b.select(*RUN, "i", "j", F.round("d_info", 5).alias("d_info"), (F.round("d_risk", 5) + F.lit(0.0)).alias("d_risk"), F.col("place").cast("long").alias("place"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from pairloom.operators import pmf as P
@@ -61,38 +63,36 @@ def pmf_jsd(spark, sf):
 
 @query(
     "pmf_convolve",
-    f"""with {_PMF} select model, round(a.v + b.v, 9) + 0.0 as value, round(sum(a.p * b.p), 9) as p from (select * from valued where axis_key = 'clarity') a join (select * from valued where axis_key = 'trust') b using (model) group by 1, 2""",
+    f"""with {_PMF}, c as (select a.model, a.axis_key as axis_a, b.axis_key as axis_b, round(a.v + b.v, 9) + 0.0 as value, sum(a.p * b.p) as p from valued a join valued b on a.model = b.model and a.axis_key < b.axis_key group by all)
+    select model, axis_a, axis_b, count(*) as points, round(sum(value * p), 6) + 0.0 as mean, round(sum(case when value > 0 then p else 0 end), 6) as p_positive, round(sum(case when abs(value) <= ln(2.0::double) then p else 0 end), 6) as p_near from c group by 1, 2, 3""",
 )
 def pmf_convolve(spark, sf):
-    """Sum of the log-ratios of two axes for each model."""
-    p = P.from_readings(obs(spark, sf), AM)
-    on = lambda k: p.filter(F.col("axis_key") == k).drop("axis_key")
-    return P.convolved(on("clarity"), on("trust"), ["model"]).withColumn("p", F.round("p", 9))
+    """Sum of the log-ratios of every two axes for each model: its mean, the chance that it's above 0 and within a factor of two."""
+    x = pmf_convolve_axes(spark, sf)
+    part = lambda good: F.round(F.sum(F.when(good, F.col("p")).otherwise(0.0)), 6)
+    g = x.groupBy("model", "axis_a", "axis_b")
+    return g.agg(F.count(F.lit(1)).alias("points"), r6(F.sum(F.col("value") * F.col("p"))).alias("mean"), part(F.col("value") > 0).alias("p_positive"), part(F.abs("value") <= math.log(2.0)).alias("p_near"))
 
 
 @query(
     "pmf_reflect_compress",
-    f"""with {_PMF}, r as (select model, -v as value, sum(p) as p from valued where axis_key = 'clarity' group by 1, 2),
-    c as (select *, floor((row_number() over (partition by model order by value) - 1) / ceil(count(*) over (partition by model) / 16.0)) as c from r)
-    select model, round(sum(value * p) / sum(p), 6) + 0.0 as value, round(sum(p), 6) as p from c group by model, c""",
+    f"""with {_PMF}, r as (select axis_key, model, -v as value, sum(p) as p from valued group by 1, 2, 3),
+    c as (select *, floor((row_number() over (partition by axis_key, model order by value) - 1) / ceil(count(*) over (partition by axis_key, model) / 128.0)) as c from r)
+    select axis_key, model, round(sum(value * p) / sum(p), 6) + 0.0 as value, round(sum(p), 6) as p from c group by axis_key, model, c""",
 )
 def pmf_reflect_compress(spark, sf):
-    p = P.reflected(P.from_readings(obs(spark, sf).filter(F.col("axis_key") == "clarity"), ["model"]))
-    d = p.select("model", P.atom_value(F.col("atom")).alias("value"), "p")
-    return P.compressed(d, ["model"], 16).select("model", r6("value").alias("value"), F.round("p", 6).alias("p"))
+    return pmf_reflect_compress_axes(spark, sf)
 
 
-@query("pmf_convolve_axes")
 def pmf_convolve_axes(spark, sf):
-    """Sum of the log-ratios of every two axes for each model."""
+    """Distribution of the sum of the log-ratios of every two axes for each model."""
     p = P.from_readings(obs(spark, sf), AM)
     axes = p.select(*AM).distinct()
     pairs = axes.withColumnRenamed("axis_key", "axis_a").join(axes.withColumnRenamed("axis_key", "axis_b"), "model").filter("axis_a < axis_b")
     on = lambda x: pairs.join(p.withColumnRenamed("axis_key", x), [x, "model"])
-    return P.convolved(on("axis_a"), on("axis_b"), ["axis_a", "axis_b", "model"]).withColumn("p", F.round("p", 9))
+    return P.convolved(on("axis_a"), on("axis_b"), ["axis_a", "axis_b", "model"])
 
 
-@query("pmf_reflect_compress_axes")
 def pmf_reflect_compress_axes(spark, sf):
     """Every axis and model, to at most 128 points."""
     p = P.reflected(P.from_readings(obs(spark, sf), AM))
@@ -100,25 +100,15 @@ def pmf_reflect_compress_axes(spark, sf):
     return P.compressed(d, AM, 128).select(*AM, r6("value").alias("value"), F.round("p", 6).alias("p"))
 
 
-_DRAWS = f"{OBS}, draws as (select axis_key, model, case when m >= 0 then 'A' else 'B' end as direction, floor(ratio)::bigint as whole, (floor(ratio * 10) - floor(ratio) * 10)::bigint as part from obs where ratio <= 999)"
+_DRAWS = f"{OBS}, draws as (select axis_key, model, case when m >= 0 then 'A' else 'B' end as direction, floor(least(ratio, 999.9))::bigint as whole, (floor(least(ratio, 999.9) * 10) - floor(least(ratio, 999.9)) * 10)::bigint as part from obs)"
 _LEAVES = _DRAWS + ", n as (select axis_key, model, count(*) as n from draws group by 1, 2), leaves as (select axis_key, model, direction, whole, part, count(*) / any_value(n)::double as p, any_value(n) as n from draws join n using (axis_key, model) group by 1, 2, 3, 4, 5)"
 
 
 def _leaves(spark, sf):
-    o = obs(spark, sf).filter("ratio <= 999")
-    draws = o.select(*AM, F.when(F.col("m") >= 0, "A").otherwise("B").alias("direction"), F.floor("ratio").alias("whole"), (F.floor(F.col("ratio") * 10) - F.floor("ratio") * 10).alias("part"))
-    return P.trie_masses(draws, AM)
-
-
-@query(
-    "ledger_certificate",
-    f"""with {_LEAVES}, o as (select *, sum(round(p, 9)) over (partition by axis_key, model order by round(p, 9) desc, direction, whole, part) - round(p, 9) as before from leaves),
-    g as (select axis_key, model, sum(p) as mass, sum(p * case when direction = 'A' then 1 else -1 end * ln(greatest(whole + part / 10.0::double, 1))) as mid from o where before < 0.98 group by 1, 2)
-    select axis_key, model, round(mass, 5) as mass, round(mid - (1 - mass) * ln(999.9), 4) + 0.0 as e_lo, round(mid, 4) + 0.0 as e_mid, round(mid + (1 - mass) * ln(999.9), 4) + 0.0 as e_hi from g""",
-)
-def ledger_certificate(spark, sf):
-    c = P.certificate(_leaves(spark, sf), AM)
-    return c.select(*AM, F.round("mass", 5).alias("mass"), *[(F.round(x, 4) + F.lit(0.0)).alias(x) for x in ("e_lo", "e_mid", "e_hi")])
+    """Leaves that were drawn, by their share of the draws; larger numbers than the digits can write count as the largest."""
+    size = F.least("ratio", F.lit(999.9))
+    draws = obs(spark, sf).select(*AM, F.when(F.col("m") >= 0, "A").otherwise("B").alias("direction"), F.floor(size).alias("whole"), (F.floor(size * 10) - F.floor(size) * 10).alias("part"))
+    return P.leaf_shares(draws, AM)
 
 
 @query("horvitz_thompson", f"with {_LEAVES} select axis_key, model, round(sum(p * ln(greatest(whole + part / 10.0::double, 1)) / (1 - power(1 - p, n))), 5) + 0.0 as estimate from leaves group by 1, 2")

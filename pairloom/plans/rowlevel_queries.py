@@ -11,7 +11,7 @@ from pairloom.session import scratch_dir
 from pairloom.sources import cache as C
 from pairloom.sources import files, packets
 
-_REPLIES = """replies as (select delivery_id, (array['canonical_v2', 'ordinal_v1', 'less_v1', 'fraction_v1'])[1 + delivery_id % 4] as template, higher_ranked as side, ratio, confidence, refused, error from comparisons where ratio is null or not isnan(ratio))"""
+_REPLIES = """replies as (select delivery_id, (array['canonical_v2', 'ordinal_v1', 'less_v1', 'fraction_v1'])[1 + delivery_id % 4] as template, higher_ranked as side, case when not isnan(ratio) then ratio end as ratio, confidence, refused, error from comparisons)"""
 
 
 @query(
@@ -23,7 +23,8 @@ _REPLIES = """replies as (select delivery_id, (array['canonical_v2', 'ordinal_v1
 )
 def parse_judgement_json(spark, sf):
     """Replies in prose around JSON, written from the landed rows in each template's format and read back."""
-    rows = table(spark, sf, "comparisons").filter(F.col("ratio").isNull() | ~F.isnan("ratio"))
+    # JSON has no word for a number that isn't one: such a ratio is written as null
+    rows = table(spark, sf, "comparisons").withColumn("ratio", F.when(~F.isnan("ratio"), F.col("ratio")))
     template = F.element_at(F.array(*[F.lit(t) for t in ("canonical_v2", "ordinal_v1", "less_v1", "fraction_v1")]), (F.col("delivery_id") % 4 + 1).cast("int"))
     rows = rows.withColumn("template", template)
     number = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
@@ -101,14 +102,14 @@ def cost_by_model(spark, sf):
 
 @query(
     "cache_aware_cost",
-    """select c.model, sum(((input_tokens // 2) // 128 * 128 * case when cached = 1 then 10 else 125 end + (input_tokens - (input_tokens // 2) // 128 * 128) * 100) * input_nanodollars // 100)::bigint as input_cost
-    from comparisons c join judges j on c.model = j.model where input_tokens is not null group by 1""",
+    """select c.model, sum(((input_tokens // 2) // 128 * 128 * case when cached = 1 then 10 else 125 end + (input_tokens - (input_tokens // 2) // 128 * 128) * 100) * input_nanodollars // 100)::bigint as input_cost, count_if(input_tokens is null) as without_tokens
+    from comparisons c join judges j on c.model = j.model group by 1""",
 )
 def cache_aware_cost(spark, sf):
-    c, j = table(spark, sf, "comparisons").filter("input_tokens is not null"), table(spark, sf, "judges").select("model", "input_nanodollars")
+    c, j = table(spark, sf, "comparisons"), table(spark, sf, "judges").select("model", "input_nanodollars")
     half = F.floor(F.col("input_tokens") / 2)
     x = c.join(j, "model").withColumn("x", L.cached_cost(half, F.col("input_tokens") - half, F.col("input_nanodollars"), F.col("cached") == 1))
-    return x.groupBy("model").agg(F.sum("x").alias("input_cost"))
+    return x.groupBy("model").agg(F.sum("x").alias("input_cost"), F.count_if(F.col("input_tokens").isNull()).alias("without_tokens"))
 
 
 @query(

@@ -23,7 +23,7 @@ RUN_EDGES = OBS + ", edges as (select run, axis_key, i, j, sum(m) / count(*) as
 @query("solve_ranking")
 def solve_ranking(spark, sf):
     """Every run's axis solved and ranked, with variances."""
-    nodes = S.nodes_of(S.solve_edges(run_edges(spark, sf), RUN), RUN)
+    nodes = S.nodes_of(S.solve_edges(run_edges(spark, sf), RUN, kinds=("node",)), RUN)
     from pyspark.sql import Window
 
     w = Window.partitionBy(*RUN).orderBy(F.desc("score"), "entity_id")
@@ -32,7 +32,7 @@ def solve_ranking(spark, sf):
 
 @query("solve_diagnostics")
 def solve_diagnostics(spark, sf):
-    runs = S.runs_of(S.solve_edges(run_edges(spark, sf), RUN), RUN)
+    runs = S.runs_of(S.solve_edges(run_edges(spark, sf), RUN, kinds=("run",)), RUN)
     return runs.select(*RUN, "status", "entities", "edges", "components", "triangles", "cycle_dim", "harmonic_dim", *[r6(c).alias(c) for c in ("hcr", "curl", "harmonic", "pcr", "foster", "fiedler")], "bridges", "flagged", "degraded")
 
 
@@ -51,7 +51,7 @@ def solve_diagnostics(spark, sf):
 )
 def solve_foster_identity(spark, sf):
     """The leverages of a group add up to entities minus components."""
-    runs = S.runs_of(S.solve_edges(run_edges(spark, sf), RUN, S.SolverConfig(huber_k=1e12)), RUN)
+    runs = S.runs_of(S.solve_edges(run_edges(spark, sf), RUN, S.SolverConfig(huber_k=1e12), kinds=("run",)), RUN)
     return runs.select(*RUN, "entities", "edges", "components", "cycle_dim", F.round("foster", 4).alias("foster"))
 
 
@@ -79,7 +79,7 @@ def solve_single_edges(spark, sf):
     """Two entities: the solution is the weighted mean."""
     edges = run_edges(spark, sf)
     alone = edges.groupBy(*RUN).count().filter("count = 1").drop("count")
-    nodes = S.nodes_of(S.solve_edges(edges.join(alone, RUN), RUN), RUN)
+    nodes = S.nodes_of(S.solve_edges(edges.join(alone, RUN), RUN, kinds=("node",)), RUN)
     return nodes.select(*RUN, "entity_id", r6("score").alias("score"))
 
 
@@ -103,7 +103,7 @@ def solve_chain(spark, sf):
     pairs = v.select("r_name", F.col("n_name").alias("a"), F.lead("n_name").over(w).alias("b"), (F.col("x") - F.lead("x").over(w)).alias("m")).filter("b is not null")
     up = F.col("a") < F.col("b")
     edges = pairs.select("r_name", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), F.when(up, F.col("m")).otherwise(-F.col("m")).alias("mu"), F.lit(1.0).alias("lam"))
-    return S.nodes_of(S.solve_edges(edges, ["r_name"]), ["r_name"]).select("r_name", "entity_id", (F.round("score", 5) + F.lit(0.0)).alias("score"))
+    return S.nodes_of(S.solve_edges(edges, ["r_name"], kinds=("node",)), ["r_name"]).select("r_name", "entity_id", (F.round("score", 5) + F.lit(0.0)).alias("score"))
 
 
 @query(
@@ -124,10 +124,25 @@ def solve_complete_graph(spark, sf):
     a, b = v.select("r_name", F.col("n_name").alias("i"), F.col("v").alias("va"), F.col("pos").alias("pa")), v.select("r_name", F.col("n_name").alias("j"), F.col("v").alias("vb"), F.col("pos").alias("pb"))
     noise = lambda x, y: ((F.col(x) * 7919 + F.col(y) * 104729) % 1000) / 1000.0
     edges = a.join(b, "r_name").filter("i < j").select("r_name", "i", "j", (F.log(F.col("va") / F.col("vb")) + noise("pa", "pb") - noise("pb", "pa")).alias("mu"), F.lit(1.0).alias("lam"))
-    solved = S.solve_edges(edges, ["r_name"], S.SolverConfig(huber_k=1e12))
+    solved = S.solve_edges(edges, ["r_name"], S.SolverConfig(huber_k=1e12), kinds=("node",))
     return S.nodes_of(solved, ["r_name"]).select("r_name", "entity_id", (F.round("score", 5) + F.lit(0.0)).alias("score"))
 
 
+@query(
+    "solve_large_star",
+    """with v as (select p_partkey, ln(p_retailprice) as x from part)
+    select lpad(p_partkey::varchar, 12, '0') as entity_id, round(x - min(x) over (), 5) + 0.0 as score from v""",
+)
+def solve_large_star(spark, sf):
+    """One group of any size: every part compared with the first by price; a tree, so scores are the log prices."""
+    part = table(spark, sf, "part").select(F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("e"), F.log("p_retailprice").alias("x"), "p_partkey")
+    hub = part.agg(F.min("p_partkey").alias("k"))
+    first = part.join(F.broadcast(hub), F.col("p_partkey") == F.col("k")).select(F.col("e").alias("i"), F.col("x").alias("xi"))
+    edges = part.join(F.broadcast(first), F.col("e") > F.col("i")).select(F.lit("parts").alias("g"), "i", F.col("e").alias("j"), (F.col("xi") - F.col("x")).alias("mu"), F.lit(1.0).alias("lam"))
+    nodes = S.nodes_of(S.solve_edges(edges, ["g"], kinds=("node",)), ["g"])
+    return nodes.select("entity_id", (F.round("score", 5) + F.lit(0.0)).alias("score"))
+
+
 @query(
     "degree_test",
     f"""with {EDGES}, e as (select axis_key, i as x from edges union all select axis_key, j from edges), d as (select axis_key, x, count(*) as degree from e group by 1, 2)

@@ -10,7 +10,15 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the tables aren't here")
-HERE = ["fuse_edges", "counterbalance_flips", "rank_stability", "uncertainty_band", "utility", "pmf_moments", "transitivity_triads", "kendall_tau_b", "plan_edges", "cache_prune", "p1_found", "p3_found"]
+HERE = [
+    "fuse_edges", "counterbalance_flips", "rank_stability", "uncertainty_band", "utility", "pmf_moments", "transitivity_triads", "kendall_tau_b", "plan_edges", "cache_prune", "p1_found", "p3_found", "p3_deduplicated",
+    "token_sides", "token_buckets", "answer_merge", "token_distribution", "logprob_evidence", "evidence_mixture", "logprob_posterior",
+    "ledger_leaves", "ledger_bounds", "ledger_cross_fit", "ledger_draws", "token_jitter", "rater_calibration", "spin_probe", "consortium_verdict", "consortium_top_bias",
+    "consortium_residuals", "nuisance_drift", "null_bias", "draw_stats", "transitivity_depth", "paraphrase_rho", "truth_slope", "elaboration_delta", "slate_merge", "pair_cover",
+    "weighted_utility", "confidence_curve", "slot_histogram", "bootstrap_intervals", "certified_reason", "stop_streaks", "sort_boundary", "effective_resistance", "solve_large_star", "synthetic_readings",
+    "parse_judgement_json", "cache_aware_cost", "stream_fuse", "differentiation_profile", "chunk_paragraphs", "pmf_convolve", "pmf_reflect_compress", "horvitz_thompson",
+    "solve_foster_identity", "solve_triangles", "solve_single_edges", "solve_chain", "solve_complete_graph", "degree_test",
+]
 
 
 def canonical(df):

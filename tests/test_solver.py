@@ -95,9 +95,35 @@ def test_components_keep_their_own_zero(spark):
     assert got == {"a": (1.0, "a"), "b": (0.0, "a"), "c": (0.0, "c"), "d": (2.0, "c")}
 
 
-def test_too_large_group_is_said_to_be_so(spark):
-    rows = spark.range(S.MAX_ENTITIES + 1).select(F.lit("g").alias("g"), F.col("id").cast("string").alias("i"), (F.col("id") + 1000000).cast("string").alias("j"), F.lit(0.0).alias("mu"), F.lit(1.0).alias("lam"))
-    assert S.runs_of(S.solve_edges(rows, ["g"]), ["g"]).first()["status"] == "too large"
+def test_large_groups_are_solved_with_lists(spark):
+    """The sparse way agrees with the dense one, its estimates are near, and a large star comes back whole."""
+    truth, n, i, j, mu, lam = graph(6, n=80, extra=200)
+    i, j, mu, lam = np.append(i, 3), np.append(j, n), np.append(mu, 0.5), np.append(lam, 1.0)
+    one, other = S.solve_graph(n + 1, i, j, mu, lam), S.solve_graph(n + 1, i, j, mu, lam, dense=0)
+    assert other.estimated and np.allclose(one.scores, other.scores, atol=1e-6)
+    assert np.corrcoef(one.variances, other.variances)[0, 1] > 0.9 and abs(np.log(other.variances / one.variances)).mean() < 0.3
+    assert ((one.leverage > 1 - 1e-6) == S.bridges(n + 1, i, j)).all() and other.leverage[-1] == 1
+    assert other.summary["fiedler"] == pytest.approx(one.summary["fiedler"], rel=1e-6) and other.summary["foster"] == pytest.approx(one.summary["foster"])
+    size = S.CYCLES_UP_TO + 1
+    rows = spark.range(size).select(F.lit("g").alias("g"), F.lit("a").alias("i"), F.concat(F.lit("b"), F.col("id")).alias("j"), (F.col("id") % 7).cast("double").alias("mu"), F.lit(1.0).alias("lam"))
+    run = S.runs_of(S.solve_edges(rows, ["g"], kinds=("run",)), ["g"]).first()
+    assert (run["status"], run["entities"], run["bridges"], run["curl"]) == ("solved", size + 1, size, None)
+
+
+def test_groups_keep_apart_in_any_order(spark):
+    """Null keys, groups over several batches and single edges."""
+    rows = [(k if k != 3 else None, "a", f"b{m}", float(k + m), 1.0) for k in range(40) for m in range(1 + k % 5)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        solved = S.nodes_of(S.solve_edges(spark.createDataFrame(rows, "g long, i string, j string, mu double, lam double"), ["g"]), ["g"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {(r["g"], r["entity_id"]): r["score"] for r in solved}
+    assert len(got) == len(solved) == sum(2 + k % 5 for k in range(40))
+    for k in range(40):
+        g = k if k != 3 else None
+        for m in range(1 + k % 5):
+            assert got[g, "a"] - got[g, f"b{m}"] == pytest.approx(k + m, abs=1e-5)
 
 
 def test_gains_are_found():
