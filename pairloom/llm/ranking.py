@@ -52,7 +52,7 @@ from pairloom.session import arrow_fs, collect_garbage, default_parallelism, dro
 #: Pair-ends in one block (about 150 bytes each while it's solved, all numbers), change of log-strength at which an axis is done, and rounds at most.
 BLOCK_ENDS, TOLERANCE, ROUNDS = 250_000, 1e-7, 120
 #: Earlier rounds that are mixed.
-DEPTH = 8
+DEPTH = 10
 #: What a larger ratio counts as: a share of 1 in all but name.
 MOST_RATIO = 1e6
 
@@ -95,20 +95,21 @@ def _blocks(pairs: DataFrame, block_ends: int) -> tuple[DataFrame, DataFrame]:
 
     Entities are numbered along their axis, so that numbers alone go to the solver.
     """
-    side = lambda a, b: pairs.select("axis_key", F.col(a).alias("node"), F.col(b).alias("other_node"), F.col(f"{a}_won").alias("won"), F.col(f"{b}_won").alias("lost"), "met")
-    ends = side("lo", "hi").unionByName(side("hi", "lo"))
-    nodes = ends.groupBy("axis_key", "node").agg(F.count(F.lit(1)).alias("met_others"), F.sum("met").alias("met"))
+    both = pairs.select("axis_key", F.explode(F.array("lo", "hi")).alias("node"), "met")
+    nodes = both.groupBy("axis_key", "node").agg(F.count(F.lit(1)).alias("met_others"), F.sum("met").alias("met"))
     hub = F.col("met_others") > block_ends // 2
     nodes = nodes.withColumns({"hub": hub, "n": F.when(hub, F.lit(1)).otherwise(F.col("met_others"))})
     placed = positions(nodes, ["axis_key"], ["node"])
     block = F.when(~F.col("hub"), F.floor(F.col("before") / block_ends).cast("int"))
     entities = materialise(placed.select(F.xxhash64("axis_key").alias("axis"), "axis_key", "node", F.col("before").alias("no"), block.alias("block"), "met", "met_others"), "ranking-entities")
-    own = entities.select("axis_key", "node", "axis", "no", "block")
-    far = entities.select("axis_key", F.col("node").alias("other_node"), F.col("no").alias("other"), F.col("block").alias("other_block"))
-    numbered = ends.drop("met").join(own, ["axis_key", "node"]).join(far, ["axis_key", "other_node"])
+    # the names are looked up for the pairs, once for each side; both ends of a pair come from its numbers
+    side = lambda c: entities.select("axis_key", F.col("node").alias(c), F.col("no").alias(f"{c}_no"), F.col("block").alias(f"{c}_block"))
+    numbered = pairs.drop("met").join(side("lo"), ["axis_key", "lo"]).join(side("hi"), ["axis_key", "hi"]).withColumn("axis", F.xxhash64("axis_key"))
+    end = lambda a, b: F.struct(F.col(f"{a}_no").alias("no"), F.col(f"{a}_block").alias("block"), F.col(f"{b}_no").alias("other"), F.col(f"{b}_block").alias("other_block"), F.col(f"{a}_won").alias("won"), F.col(f"{b}_won").alias("lost"))
+    ends = numbered.select("axis", F.explode(F.array(end("lo", "hi"), end("hi", "lo"))).alias("e")).select("axis", "e.*")
     # two hubs' own pairs need no block's strengths: they are spread over blocks of their own, numbered below 0
     spread = -1 - F.pmod(F.xxhash64("no", "other"), F.lit(default_parallelism(pairs.sparkSession))).cast("int")
-    kept = numbered.filter(F.col("block").isNotNull() | F.col("other_block").isNull())
+    kept = ends.filter(F.col("block").isNotNull() | F.col("other_block").isNull())
     return entities, kept.select("axis", F.coalesce("block", spread).alias("block"), "no", "other", "won", "lost", "other_block")
 
 
@@ -263,7 +264,7 @@ def luce_strengths(pairs: DataFrame, block_ends: int = BLOCK_ENDS, rounds: int =
     x = entities.select("axis", "block", "no", F.lit(0.0).alias("x"), F.col("no").alias("component"))
     spread = min(blocks.count(), default_parallelism(spark)) or 1
     finished: list[DataFrame] = []
-    tolerance = 0.01
+    tolerance = 1e-3
     state_at = mix = None
     for turn in range(rounds):
         marks = blocks.select("axis", "block", F.lit(None).cast("long").alias("no"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("long").alias("component"))
@@ -283,7 +284,7 @@ def luce_strengths(pairs: DataFrame, block_ends: int = BLOCK_ENDS, rounds: int =
         if report is not None:
             report.append((turn + 1, seen["axes"] - seen["done"], seen["change"]))
         last = turn == rounds - 1
-        tolerance = max(TOLERANCE * 0.1, 0.01 * (seen["change"] or 0.0))
+        tolerance = max(TOLERANCE * 0.1, 1e-3 * (seen["change"] or 0.0))
         if seen["done"] or last or not seen["axes"]:
             rested = hot_join(state.select("axis", "no", "component", F.element_at("gs", -1).alias("log_strength")), mix.filter(F.col("done") | F.lit(last)).select("axis", "done"), ["axis"], seen["axes"])
             finished.append(materialise(rested.withColumnRenamed("done", "converged"), "ranking-strengths"))
