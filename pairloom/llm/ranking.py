@@ -122,17 +122,18 @@ _SOLVED = ["part", "axis", "block", "no", "component", "gs", "fs", "weight", "mo
 _SCHEMA = "part string, axis long, block int, no long, component long, gs array<double>, fs array<double>, weight double, moved boolean, exact boolean, up double, down double"
 
 
-def _solve_block(ends: pd.DataFrame, block: int, held: pd.DataFrame, tolerance: float, first: bool = True) -> tuple[dict | None, pd.DataFrame | None]:
+def _solve_block(ends: dict[str, np.ndarray], block: int, held: pd.DataFrame, tolerance: float, first: bool = True) -> tuple[dict | None, pd.DataFrame | None]:
     """New strengths and components of a block's nodes, and the sums of the hubs they met.
 
     ``held``: current (no, x, component) of the block's nodes and of all that they meet, by number.
     """
     known, now, label = held["no"].to_numpy(), held["x"].to_numpy(float), held["component"].to_numpy()
     at = lambda numbers: np.searchsorted(known, numbers)
-    names, node = np.unique(ends["no"].to_numpy(), return_inverse=True)
-    others, to = ends["other"].to_numpy(), ends["other_block"].to_numpy(float)
+    # the ends are in the order of their nodes
+    new = np.concatenate([[True], ends["no"][1:] != ends["no"][:-1]])
+    names, node = ends["no"][new], np.cumsum(new) - 1
+    others, to, won, lost = ends["other"], ends["other_block"], ends["won"], ends["lost"]
     inside = to == block
-    won, lost = ends["won"].to_numpy(float), ends["lost"].to_numpy(float)
     other = np.searchsorted(names, others[inside])
     out = at(others[~inside])
     was = now[at(names)]
@@ -176,7 +177,11 @@ def _round_of(ends_at: str, state_at: str | None, tolerance: float):
         axis, block = int(key[0]), int(key[1])
         part = f"{axis}_{block}"
         fs, root = arrow_fs(ends_at)
-        ends = ds.dataset(f"{root}/part={part}", filesystem=fs, format="parquet").to_table(columns=read).to_pandas()
+        table = ds.dataset(f"{root}/part={part}", filesystem=fs, format="parquet").to_table(columns=read)
+        ends = {c: table[c].to_numpy() for c in read}
+        if (ends["no"][1:] < ends["no"][:-1]).any():  # in several files
+            order = np.argsort(ends["no"], kind="stable")
+            ends = {c: v[order] for c, v in ends.items()}
         held = held.dropna(subset=["no"]).drop_duplicates("no").sort_values("no").astype({"no": "int64", "component": "int64"})
         nodes, sums = _solve_block(ends, block, held, tolerance, state_at is None)
         parts = []
@@ -211,10 +216,10 @@ def _mix(state: DataFrame, depth: int) -> tuple[DataFrame, dict]:
     """(axis, mix, done): for each axis the weights of the last answers, and whether it has come to rest; and how many axes, done ones and the largest change."""
     pairs = [(i, j) for i in range(depth) for j in range(i + 1)]
     sums = state.groupBy("axis").agg(
-        *[F.sum(F.col("fs")[i] * F.col("fs")[j] * F.col("weight")).alias(f"p{i}_{j}") for i, j in pairs],
-        F.max(F.abs(F.col("fs")[depth - 1])).alias("change"),
-        F.max("moved").alias("moved"),
-        F.min("exact").alias("exact"),
+        *[F.expr(f"sum(fs[{i}] * fs[{j}] * weight) as p{i}_{j}") for i, j in pairs],
+        F.expr(f"max(abs(fs[{depth - 1}])) as change"),
+        F.expr("max(moved) as moved"),
+        F.expr("min(exact) as exact"),
     )
 
     def weigh(parts):
@@ -302,7 +307,7 @@ def luce_strengths(pairs: DataFrame, block_ends: int = BLOCK_ENDS, rounds: int =
         if seen["done"]:
             blocks, outside = (materialise(hot_join(t, going.select("axis"), ["axis"]), "ranking-going") for t in (blocks, outside))
             spread = min(blocks.count(), default_parallelism(spark)) or 1
-        if turn % 8 == 7:
+        if turn % 12 == 11:
             collect_garbage(spark)  # the shuffles of rounds gone by
     if state_at is not None:
         drop_path(spark, state_at)
