@@ -33,11 +33,14 @@ def stationary(src: np.ndarray, dst: np.ndarray, step: np.ndarray, start: np.nda
         used = 0
         for k in range(KRYLOV):
             v = apply(basis[k])
-            for _ in range(2):  # a second pass keeps the basis orthogonal
+            for _ in range(2):
+                before = np.linalg.norm(v)
                 dots = basis[: k + 1] @ v
                 v -= dots @ basis[: k + 1]
                 h[: k + 1, k] += dots
-            h[k + 1, k] = np.linalg.norm(v)
+                h[k + 1, k] = np.linalg.norm(v)
+                if h[k + 1, k] > 0.7 * before:  # little was taken away, so what is left is orthogonal; else once more
+                    break
             used = k + 1
             if h[k + 1, k] <= 1e-10 * np.abs(h[: k + 1, k]).max():
                 break
