@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.llm.textnorm import plain, split_words, words
-from pairloom.session import materialise
+from pairloom.session import default_parallelism, materialise
 
 #: Documents, and part of all documents, that must hold a word for a number of its own; numbers that the rarer words share.
 MIN_DOCUMENTS, MIN_SHARE, RARE = 5, 1e-5, 1 << 14
@@ -67,6 +67,8 @@ TOP_TERMS, LEAD = 60, 2.0
 SENTENCE_WORDS = 3
 #: Documents of a chunk, and characters after which it ends.
 CHUNK_DOCUMENTS, CHUNK_CHARS = 1000, 2_000_000
+#: Words whose sums travel as one row.
+BUCKET = 4096
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'»”)\]*_]*\s+|(?<=[。！？])|[\r\n]+|\\r\\n|\\n|\\r")
 
 
@@ -301,6 +303,38 @@ def inspect(counts: np.ndarray, vocabulary: dict[str, int], weights: dict[str, d
     return found, terms
 
 
+def size_of(frequency: np.ndarray) -> int:
+    """Buckets of words, and the likelihood's."""
+    return -(-len(frequency) // BUCKET) + 1
+
+
+def _buckets(held: np.ndarray, likelihood: float) -> pa.RecordBatch:
+    """A task's sums as one row for each bucket of words that it holds, and the likelihood as bucket -1."""
+    rows = [(-1, np.array([likelihood]).tobytes())]
+    rows += [(k // BUCKET, part.tobytes()) for k in range(0, len(held), BUCKET) if (part := held[k : k + BUCKET]).any()]
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([v for _, v in rows], pa.binary())], ["bucket", "data"])
+
+
+def _add_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            part = np.frombuffer(data)
+            held[k] = part + held[k] if k in held else part
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], ["bucket", "data"])
+
+
+def _from_buckets(table: pa.Table, size: int, width: int) -> tuple[np.ndarray, float]:
+    values, likelihood = np.zeros((size, width)), 0.0
+    for k, data in zip(table["bucket"].to_pylist(), table["data"].to_pylist()):
+        part = np.frombuffer(data)
+        if k < 0:
+            likelihood = float(part[0])
+        else:
+            values[k * BUCKET : (k + 1) * BUCKET] = part.reshape(-1, width)
+    return values, likelihood
+
+
 def fit(documents: DataFrame | Corpus, examples: list[tuple[str, str]], rounds: int = ROUNDS, seed: int = 7) -> TopicModel:
     """The topic model of all ``documents`` (doc_id, text)."""
     corpus = documents if isinstance(documents, Corpus) else prepare(documents)
@@ -311,6 +345,7 @@ def fit(documents: DataFrame | Corpus, examples: list[tuple[str, str]], rounds:
     counts = start_topics(vocabulary, frequency, weights, subjects)
     bags = corpus.chunks.coalesce(spark.sparkContext.defaultParallelism)
     before, turn, rests = -np.inf, 0, not vocabulary
+    parts = default_parallelism(spark)
     kept = np.ones((len(frequency), own), dtype=bool)
     while turn < rounds and not rests:
         turn += 1
@@ -337,27 +372,20 @@ def fit(documents: DataFrame | Corpus, examples: list[tuple[str, str]], rounds:
                         values = np.hstack([values, supported, 1 - (q[:, :own] * supported).sum(1, keepdims=True)])
                     # sums over the sentences of each word of the chunk; rare words may share a number
                     np.add.at(held, numbers, np.add.reduceat(values[owners], np.cumsum(uses) - uses, axis=0))
-            used = np.flatnonzero(held.any(1))
-            at = np.concatenate([[-1], used]).astype(np.int32)
-            values = np.vstack([np.full(len(names), likelihood), held[used]])
-            yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(values[:, k]) for k in range(len(names))]], ["word", *names])
+            yield _buckets(held, likelihood)
 
-        sums = bags.mapInArrow(step, "word int, " + ", ".join(f"{k} double" for k in names))
-        got = sums.groupBy("word").agg(*[F.sum(k).alias(k) for k in names]).toPandas().sort_values("word")
+        # summed bucket by bucket: few rows of many numbers, so a task more adds little to the work of one
+        sums = bags.mapInArrow(step, "bucket int, data binary").repartition(min(size_of(frequency), parts), "bucket").mapInArrow(_add_buckets, "bucket int, data binary")
+        values, now = _from_buckets(sums.toArrow(), len(frequency), len(names))
         shared.unpersist()
-        now, got = float(got[names[0]].iloc[0]), got.iloc[1:]
-        at, size = got["word"].to_numpy(), topics.shape[1]
-        values = got[names].to_numpy()
-        counts = np.zeros((len(frequency), size))
+        size = topics.shape[1]
         # of a word's uses in a topic's sentences, those that come from the topic and not from the background
-        counts[at] = values[:, :size] * (1 - BACKGROUND * np.exp(-topics[at].astype(float)))
+        counts = values[:, :size] * (1 - BACKGROUND * np.exp(-topics.astype(float)))
         if sorting:
-            kept = np.ones((len(frequency), own), dtype=bool)
-            kept[at] = values[:, size:-1] >= KEEP * frequency[at][:, None]
+            kept = values[:, size:-1] >= KEEP * np.maximum(frequency, 1)[:, None]
         counts[:, :own] *= kept
         if turn == OTHERS_AFTER:
-            start = np.zeros((len(frequency), OTHER_TOPICS))
-            start[at] = (values[:, -1] ** 2 / np.maximum(frequency[at], 1))[:, None] * np.random.default_rng(seed).gamma(1.0, 1.0, (len(at), OTHER_TOPICS))
+            start = (values[:, -1] ** 2 / np.maximum(frequency, 1))[:, None] * np.random.default_rng(seed).gamma(1.0, 1.0, (len(frequency), OTHER_TOPICS))
             start[kept.any(1)] = 0  # subjects' own words are open to the others, but don't start them
             counts = np.hstack([counts, start])
         rests = turn > OTHERS_AFTER + 2 and now - before <= REST * abs(now)
