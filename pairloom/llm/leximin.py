@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.functions.keys import clean_key
-from pairloom.operators.ordered import positions
+from pairloom.operators.ordered import hot_join, positions
+from pairloom.session import materialise
 
 #: Percentile that stands for an axis on which an entity has no score.
 MISSING = 0.5
@@ -33,7 +34,8 @@ def axis_percentiles(scores: DataFrame, value: str = "latent_mean") -> DataFrame
     counts = one.groupBy("axis_key", "value").agg(F.count(F.lit(1)).alias("n"))
     placed = positions(counts, ["axis_key"], ["value"])
     placed = placed.select("axis_key", "value", ((F.col("before") + F.col("n") / 2) / F.col("total")).alias("p"))
-    return one.join(placed, ["axis_key", "value"]).groupBy("entity_id", "axis_key").agg(F.avg("p").alias("percentile"))
+    # an axis of few distinct values has hot keys
+    return hot_join(one, materialise(placed, "percentiles"), ["axis_key", "value"]).groupBy("entity_id", "axis_key").agg(F.avg("p").alias("percentile"))
 
 
 def leximin(percentiles: DataFrame, axes: int, missing: float = MISSING) -> DataFrame:
