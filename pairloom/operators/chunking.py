@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import base64
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache, partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Fixed value: how byte-pair vocabularies of this kind split a text before merging.
+PRE_TOKENS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PARAGRAPH = re.compile(r"\n\s*\n+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
@@ -45,11 +49,26 @@ def sentences(paragraph: Column) -> Column:
 
 
 def count(text: str) -> int:
-    """Tokens of a text: its words, by blanks.  Any tokenizer's count can take its place."""
+    """Tokens of a text where no tokenizer is named: its words, by blanks."""
     return len(text.split())
 
 
-def _units(text: str, most: int) -> list[tuple[int, int, int]]:
+@lru_cache(maxsize=4)
+def _encoding(path: str):
+    """The byte-pair encoding of a rank file (base64 token and rank on each line)."""
+    import tiktoken
+
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
+    return tiktoken.Encoding(name=path, pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
+
+
+def token_count(text: str, vocabulary: str) -> int:
+    """Tokens of a text by the rank file ``vocabulary``; strings that look like special tokens are ordinary text."""
+    return len(_encoding(vocabulary).encode_ordinary(text))
+
+
+def _units(text: str, most: int, count: Callable[[str], int] = count) -> list[tuple[int, int, int]]:
     """(start, end, tokens) of paragraphs; of sentences where a paragraph is too long; of word windows where a sentence is."""
     out: list[tuple[int, int, int]] = []
 
@@ -79,18 +98,25 @@ def _units(text: str, most: int) -> list[tuple[int, int, int]]:
             if (n := count(text[a:b])) <= most:
                 out.append((a, b, n))
                 continue
-            spans = [m.span() for m in re.finditer(r"\S+", text[a:b])]
-            for k in range(0, len(spans), most):
-                window = spans[k : k + most]
-                out.append((a + window[0][0], a + window[-1][1], len(window)))
+            # whole words while they fit; a word that is longer alone is a window of its own
+            low_at, held, end_at = None, 0, a
+            for m in re.finditer(r"\S+", text[a:b]):
+                n = count(" " + m[0])
+                if low_at is not None and held + n > most:
+                    out.append((low_at, end_at, held))
+                    low_at, held = None, 0
+                low_at = a + m.start() if low_at is None else low_at
+                held, end_at = held + n, a + m.end()
+            if low_at is not None:
+                out.append((low_at, end_at, held))
     return out
 
 
-def chunks_of(text: str | None, size: ChunkSize) -> list[tuple[str, int, int, int]]:
+def chunks_of(text: str | None, size: ChunkSize, count: Callable[[str], int] = count) -> list[tuple[str, int, int, int]]:
     """(text, tokens, start, end) of each chunk; none for an empty text, the whole of a short one."""
     if not text or not (total := count(text)):
         return []
-    units = _units(text, size.most)
+    units = _units(text, size.most, count)
     if total <= size.target or not units:
         return [(text, total, 0, len(text))]
     spans: list[tuple[int, int]] = []
@@ -119,13 +145,18 @@ def chunks_of(text: str | None, size: ChunkSize) -> list[tuple[str, int, int, in
     return [("\n\n".join(text[u[0] : u[1]] for u in units[a:b]), tokens(a, b), units[a][0], units[b - 1][1]) for a, b in spans]
 
 
-def chunk(documents: DataFrame, size: ChunkSize, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, chunk_no, text, tokens, char_start, char_end) of every document; a map over rows, without a shuffle."""
+def chunk(documents: DataFrame, size: ChunkSize, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
+    """(doc_id, chunk_no, text, tokens, char_start, char_end) of every document; a map over rows, without a shuffle.
+
+    Tokens are those of the rank file ``vocabulary``, which every executor can read, or words without one.
+    """
     kind = documents.schema[doc_id].dataType.simpleString()
 
+    tokens = count if vocabulary is None else partial(token_count, vocabulary=vocabulary)
+
     def split(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = [(d, k, *c) for d, t in zip(part["d"], part["t"]) for k, c in enumerate(chunks_of(t, size))]
+            rows = [(d, k, *c) for d, t in zip(part["d"], part["t"]) for k, c in enumerate(chunks_of(t, size, tokens))]
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_no", "text", "tokens", "char_start", "char_end"])
 
     source = documents.select(documents[doc_id].alias("d"), documents[text].alias("t"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pairloom.operators import answers as A
 from pairloom.operators import audit as U
+from pairloom.operators import designs as D
 from pairloom.operators import evidence as E
 from pairloom.operators import ledger as G
 from pairloom.operators import pmf as P
@@ -620,3 +621,25 @@ def adaptive_stops(spark, sf):
     top = R.ranked(found.select(*RUN, "entity_id", "s", "v"), RUN).select(*RUN, "entity_id", F.col("rank").alias("found"))
     right = truth.join(top, [*RUN, "entity_id"]).groupBy(*RUN).agg(F.count_if((F.col("rank") <= K) & (F.col("found") <= K)).alias("right"))
     return stops.join(right, RUN)
+
+
+# --- designs -------------------------------------------------------------------------
+
+_DESIGNS = """d as (select n::int as n, unnest(range(1, (power(2, n // 2))::bigint))::int as mask from (values (8), (10), (12)) as t(n)),
+    s as (select n, mask, unnest(range(1, n // 2 + 1))::int as s from d), t as (select * from s where (mask >> (s - 1)) & 1 = 1),
+    e as (select distinct n, mask, least(k, (k + s) % n) as i, greatest(k, (k + s) % n) as j from (select t.*, unnest(range(0, n))::int as k from t)),
+    cnt as (select n, mask, count(*) as edges from e group by 1, 2), g as (select n, mask, list_reduce(list_prepend(n, list(s)), lambda a, b: gcd(a, b)) as own from t group by 1, 2),
+    tri as (select a.n, a.mask, count(*) as triangles from e a join e b on a.n = b.n and a.mask = b.mask and b.i = a.j join e c on c.n = a.n and c.mask = a.mask and c.i = a.i and c.j = b.j group by 1, 2),
+    ev as (select n, mask, k, sum(case when 2 * s = n then 1 - cos(2 * pi() * k * s / n) else 2 * (1 - cos(2 * pi() * k * s / n)) end) as v from (select t.*, unnest(range(1, n)) as k from t) group by 1, 2, 3),
+    f as (select n, mask, min(v) as v from ev group by 1, 2)"""
+
+
+@query(
+    "design_atlas",
+    f"""with {_DESIGNS} select cnt.n, cnt.mask, edges::int as edges, coalesce(triangles, 0)::int as triangles, own::int as components, (edges - cnt.n + own)::int as cycle_dim, round(greatest(v, 0), 5) + 0.0 as fiedler
+    from cnt join g using (n, mask) join f using (n, mask) left join tri using (n, mask)""",
+)
+def design_atlas(spark, sf):
+    """Every ring design of 8, 10 and 12 entities; the ring's eigenvalues have a closed form."""
+    a = D.atlas(D.stride_sets(spark, (8, 10, 12)).repartition(8))
+    return a.select("n", "mask", "edges", "triangles", "components", "cycle_dim", (F.round("fiedler", 5) + F.lit(0.0)).alias("fiedler"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Window
@@ -18,6 +20,8 @@ from pairloom.session import materialise, scratch_dir
 from pairloom.sources import files
 from pairloom.streaming import fuse as S
 
+#: Rank file that the chunks' tokens are counted by.
+VOCABULARY = os.environ.get("PAIRLOOM_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Mean margin of each entity by axis and model.
 LATENT = f"{OBS}, e as (select axis_key, model, i as entity_id, m / ln(2) as s from obs union all select axis_key, model, j, -m / ln(2) from obs), lat as (select axis_key, model, entity_id, avg(s) as s from e group by 1, 2, 3)"
 _CORR = LATENT + ", jc as (select a.axis_key, a.model as judge_a, b.model as judge_b, count(*) as n, case when count(*) >= 3 and stddev_pop(a.s) > 1e-9 and stddev_pop(b.s) > 1e-9 then corr(a.s, b.s) end as r from lat a join lat b using (axis_key, entity_id) where a.model < b.model group by 1, 2, 3)"
@@ -165,7 +169,8 @@ def chunk_paragraphs(spark, sf):
 
 @query("chunk_documents")
 def chunk_documents(spark, sf):
-    return C.chunk(table(spark, sf, "documents"), C.ChunkSize.of(60, overlap_ratio=0.2))
+    """Chunks of 60 tokens by a public vocabulary, or of 60 words where it isn't installed."""
+    return C.chunk(table(spark, sf, "documents"), C.ChunkSize.of(60, overlap_ratio=0.2), vocabulary=VOCABULARY if os.path.exists(VOCABULARY) else None)
 
 
 @query(

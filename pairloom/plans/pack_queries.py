@@ -45,6 +45,26 @@ def reversal_price(spark, sf):
     return p.groupBy("axis_key", "model").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.sum("p"), 6).alias("premium"), F.count_if(F.col("price") * F.col("claim") < 0).alias("claims"))
 
 
+_MULTIPLIERS = (0.0, 0.5, 1.0, 2.0)
+_WARRANTY_VAR = f"(mult * mult * {SIGMA_W}::double * {SIGMA_W}::double + {SIGMA_W}::double * {SIGMA_W}::double / (draws - draws // 2) + {SIGMA_W}::double * {SIGMA_W}::double / (draws // 2))"
+
+
+@query(
+    "warranty_sensitivity",
+    f"""with {_SPLIT}, r as (select h.*, mult::double as mult from h, (values {', '.join(f'({m!r})' for m in _MULTIPLIERS)}) as t(mult) where price <> 0)
+    select mult as multiplier, count(*) as pairs, round(sum({phi(f'-abs(price) / sqrt({_WARRANTY_VAR})')}), 4) as premium, count_if(price * claim < 0) as claims,
+        round(count_if(price * claim < 0) / sum({phi(f'-abs(price) / sqrt({_WARRANTY_VAR})')}), 4) as loss_ratio from r group by 1""",
+)
+def warranty_sensitivity(spark, sf):
+    """Premiums, claims and their ratio over all warranties, were the spread between pairs so many times that within them."""
+    h = split_draws(spark, sf).filter("price <> 0").withColumn("mult", F.explode(F.array(*map(F.lit, _MULTIPLIERS))))
+    half, w2 = F.floor(F.col("n") / 2), F.lit(SIGMA_W * SIGMA_W)
+    p = normal_cdf(-F.abs("price") / F.sqrt(F.col("mult") * F.col("mult") * w2 + w2 / (F.col("n") - half) + w2 / half))
+    claims = F.count_if(F.col("price") * F.col("claim") < 0)
+    g = h.withColumn("p", p).groupBy(F.col("mult").alias("multiplier")).agg(F.count(F.lit(1)).alias("pairs"), F.sum("p").alias("x"), claims.alias("claims"))
+    return g.select("multiplier", "pairs", F.round("x", 4).alias("premium"), "claims", F.round(F.col("claims") / F.when(F.col("x") > 0, F.col("x")), 4).alias("loss_ratio"))
+
+
 @query(
     "residual_groups",
     f"""with {OBS}, g as (select model, axis_key, i, j, count(*) as k, var_pop(m) * count(*) as ss from obs group by 1, 2, 3, 4)

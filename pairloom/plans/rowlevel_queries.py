@@ -44,7 +44,13 @@ def prompt_render(spark, sf):
     return a.select("axis_key", L.render("<criterion>{criterion}</criterion>", criterion=F.col("axis_prompt")).alias("prompt"), L.length_prefixed_digest(F.col("axis_key"), F.col("axis_prompt")).alias("digest"))
 
 
-@query("prompt_routing_key")
+@query(
+    "prompt_routing_key",
+    """with b as (select axis_key, hex(encode(axis_prompt)) as h from axes),
+    l as (select axis_key, list_transform(range(0, length(h) // 2), lambda k: ('0x' || substr(h, (2 * k + 1)::int, 2))::hugeint) as bytes from b),
+    f as (select axis_key, list_reduce(list_prepend(14695981039346656037::hugeint, bytes), lambda a, x: (xor(a, x) * 1099511628211::hugeint) % 18446744073709551616::hugeint) as v from l)
+    select axis_key, (case when v >= 9223372036854775808::hugeint then v - 18446744073709551616::hugeint else v end)::bigint as routing_key from f""",
+)
 def prompt_routing_key(spark, sf):
     """FNV-1a of each rendered prompt (checked against a plain loop in the tests)."""
     return table(spark, sf, "axes").select("axis_key", L.fnv1a64(F.col("axis_prompt")).alias("routing_key"))

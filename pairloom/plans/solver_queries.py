@@ -30,6 +30,21 @@ def solve_ranking(spark, sf):
     return nodes.select(*RUN, "entity_id", r6("score").alias("score"), r6("variance").alias("variance"), "component", F.row_number().over(w).alias("rank"))
 
 
+@query(
+    "solve_normal_equations",
+    f"""with {RUN_EDGES}, e as (select run, axis_key, i as entity_id, lam * mu as pull from edges union all select run, axis_key, j, -lam * mu from edges)
+    select run, axis_key, entity_id, round(sum(pull), 4) + 0.0 as pull from e group by 1, 2, 3""",
+)
+def solve_normal_equations(spark, sf):
+    """What the least-squares scores say each entity was pulled by: at the solution, what its edges' measurements pulled."""
+    edges = run_edges(spark, sf)
+    s = S.nodes_of(S.solve_edges(edges, RUN, S.SolverConfig(huber_k=1e12), kinds=("node",)), RUN)
+    side = lambda x: s.select(*RUN, F.col("entity_id").alias(x), F.col("score").alias(f"s_{x}"))
+    f = edges.join(side("i"), [*RUN, "i"]).join(side("j"), [*RUN, "j"]).withColumn("pull", F.col("lam") * (F.col("s_i") - F.col("s_j")))
+    both = f.select(*RUN, F.explode(F.array(F.struct(F.col("i").alias("entity_id"), F.col("pull").alias("p")), F.struct(F.col("j").alias("entity_id"), (-F.col("pull")).alias("p")))).alias("x"))
+    return both.groupBy(*RUN, F.col("x.entity_id").alias("entity_id")).agg((F.round(F.sum("x.p"), 4) + F.lit(0.0)).alias("pull"))
+
+
 @query("solve_diagnostics")
 def solve_diagnostics(spark, sf):
     runs = S.runs_of(S.solve_edges(run_edges(spark, sf), RUN, kinds=("run",)), RUN)

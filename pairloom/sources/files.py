@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,9 +20,13 @@ def read_items(spark: SparkSession, path: str, format: str = "text") -> DataFram
         rows = spark.read.text(path).filter(F.trim("value") != "").select(F.col("value").alias("text"), F.lit(None).cast("string").alias("id"))
     else:
         rows = spark.read.schema("id string, text string").option("multiLine", True).json(path).select("text", "id")
-    # numbered in file order without a global sort
-    rows = rows.withColumn("_n", F.monotonically_increasing_id())
-    return rows.select(F.coalesce("id", F.concat(F.lit("item-"), F.lpad(F.col("_n").cast("string"), 4, "0"))).alias("entity_id"), "text")
+    # numbered from 0 in file order: each task's offset is the sum of the rows before it, a row for each task
+    rows = rows.withColumns({"_at": F.monotonically_increasing_id(), "_part": F.spark_partition_id()})
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    offsets = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_offset"))
+    number = F.col("_offset") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    rows = rows.join(F.broadcast(offsets), "_part").withColumn("_n", number)
+    return rows.select(F.coalesce("id", F.concat(F.lit("item-"), F.lpad(F.col("_n").cast("string"), F.greatest(F.lit(4), F.length(F.col("_n").cast("string"))), F.lit("0")))).alias("entity_id"), "text")
 
 
 def write_ranking(ranking: DataFrame, path: str, format: str) -> None:
@@ -46,13 +50,16 @@ def read_traces(spark: SparkSession, path: str, stream: bool = False) -> DataFra
 
 
 def land(spark: SparkSession, rows: DataFrame, path: str, key: str = "run_id") -> int:
-    """Append the runs that aren't there yet; landing a run twice changes nothing.  Returns the rows landed."""
-    try:
+    """Append the runs that aren't there yet; landing a run twice changes nothing.  Returns the rows landed.
+
+    One landing at a time; ``records.land_runs`` keeps two apart.
+    """
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(place) and files.globStatus(jvm.org.apache.hadoop.fs.Path(path + "/*.parquet")):
         there = spark.read.parquet(path).select(key).distinct()
         rows = rows.join(there, key, "left_anti")
-    except Exception as e:  # the first landing finds no table
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
     n = rows.count()
     if n:
         rows.write.mode("append").parquet(path)

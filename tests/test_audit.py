@@ -6,9 +6,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pairloom.operators import answers, audit, judges, resample, synthetic
+from pairloom import cli
+from pairloom.operators import answers, audit, designs, judges, resample, synthetic
 from pairloom.plans import adaptive
 from pairloom.plans import solver as S
+from pairloom.sources import files, records
 
 
 def test_weighted_median_against_brute_force(spark):
@@ -109,3 +111,46 @@ def test_adaptive_loop_finds_the_top_and_says_why_it_stopped(spark):
     top = sorted(((r["s"], r["entity_id"]) for r in nodes.filter("g = 'clear'").collect()), reverse=True)[:3]
     assert {e for _, e in top} == {"e00", "e01", "e02"}
     assert adaptive.rank_adaptively(entities.limit(0), judge, ["g"], 3)[1].count() == 0
+
+
+def test_records_say_what_is_wrong_with_them(spark, tmp_path):
+    runs = ['{"run_ref": "a", "status": "finished", "finished_at": "x", "comparisons": 5, "refused": 1, "entities": ["e", "f"]}', '{"run_ref": "b", "status": "done", "comparisons": 1, "refused": 2}', '{"run_ref": "c", "status": "running"}', '{"run_ref": "c", "status": "finished", "entities": ["e", "e"]}', "{broken", '{"status": "failed", "cost_nanodollars": -1}']
+    (tmp_path / "runs.json").write_text("\n".join(runs))
+    got = sorted((r["run_ref"] or "", tuple(r["problems"])) for r in records.read_runs(spark, str(tmp_path / "runs.json")).collect())
+    assert ("a", ()) in got and ("b", ("unknown status", "counts don't add up")) in got and ("c", ("run_ref used twice",)) in got
+    assert ("c", ("run_ref used twice", "finished without an end", "entity listed twice")) in got and ("", ("no run_ref", "negative cost")) in got
+    assert any("not JSON" in p for _, p in got)
+    (tmp_path / "pool.json").write_text('{"pool_id": "p", "items": [{"id": "a", "text": "x", "truth": 1.5}, {"id": "a", "text": " "}, {"text": "y"}]}')
+    pool = {r["place"]: r for r in records.read_pool(spark, str(tmp_path / "pool.json")).collect()}
+    assert pool[0]["truth"] == 1.5 and pool[0]["problems"] == ["id used twice"] and pool[1]["problems"] == ["no text", "id used twice"] and pool[2]["problems"] == ["no id"]
+
+
+def test_landing_and_the_command_line(spark, tmp_path):
+    rows, store = str(tmp_path / "rows"), str(tmp_path / "store")
+    spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "run_id string, n int").write.parquet(rows)
+    assert cli.main(["land", rows, store], spark) == 3 and cli.main(["land", rows, store], spark) == 0
+    spark.createDataFrame([("c", 4)], "run_id string, n int").write.mode("append").parquet(rows)
+    assert cli.main(["land", rows, store], spark) == 1
+    assert sorted(r["n"] for r in spark.read.parquet(*[f"{store}/{c.data}" for c in records.CommittedLoad(spark, store).commits()]).collect()) == [1, 2, 3, 4]
+    spark.createDataFrame([(f"k{k}", k // 2) for k in range(10)], "key_hash string, updated_at int").write.parquet(str(tmp_path / "cache"))
+    assert cli.main(["cache-prune", str(tmp_path / "cache"), str(tmp_path / "small"), "--keep", "3"], spark) == 3
+    assert {r["key_hash"] for r in spark.read.parquet(str(tmp_path / "small")).collect()} == {"k8", "k9", "k6"}
+    assert cli.main(["cache-export", str(tmp_path / "small"), str(tmp_path / "out")], spark) == 3
+
+
+def test_items_are_numbered_without_gaps(spark, tmp_path):
+    folder = tmp_path / "items"
+    folder.mkdir()
+    for k in range(3):
+        (folder / f"{k}.txt").write_text("".join(f"line {k} {n}\n\n" for n in range(4)))
+    got = files.read_items(spark, str(folder)).collect()
+    assert sorted(r["entity_id"] for r in got) == [f"item-{n:04d}" for n in range(12)]
+    assert [r["text"] for r in sorted(got, key=lambda r: r["entity_id"])][:4] in [[f"line {k} {n}" for n in range(4)] for k in range(3)]
+
+
+def test_designs(spark):
+    got = {(r["n"], r["mask"]): r for r in designs.atlas(designs.stride_sets(spark, (8,))).collect()}
+    ring, whole = got[8, 1], got[8, 15]
+    assert (ring["edges"], ring["triangles"], ring["cycle_dim"], ring["harmonic_dim"]) == (8, 0, 1, 1)
+    assert (whole["edges"], whole["triangles"], whole["harmonic_dim"]) == (28, 56, 0) and whole["fiedler"] == pytest.approx(8)
+    assert got[8, 8]["components"] == 4

@@ -1,5 +1,6 @@
 """Solver, diagnostics, metrics and small operators: closed forms, identities, brute force."""
 
+import base64
 import itertools
 import math
 import random
@@ -263,6 +264,19 @@ def test_chunks_cover_every_word_within_the_limit():
     assert chunking.chunks_of(None, size) == chunking.chunks_of("", size) == [] and len(chunking.chunks_of("one two", size)) == 1
 
 
+def test_chunks_by_a_vocabulary(tmp_path):
+    path = str(tmp_path / "ranks")
+    with open(path, "wb") as out:
+        for rank, token in enumerate([bytes([b]) for b in range(256)] + [b"ab", b" ab"]):
+            out.write(base64.b64encode(token) + f" {rank}\n".encode())
+    assert chunking.token_count("ab ab abc", path) == 4 and chunking.token_count("", path) == 0
+    count = lambda t: chunking.token_count(t, path)
+    text = "\n\n".join(" ".join(["ab"] * n) for n in (30, 3, 7, 25))
+    got = chunking.chunks_of(text, chunking.ChunkSize.of(10), count)
+    assert max(n for _, n, _, _ in got) <= 16 and sum(len(t.split()) for t, *_ in got) == 65
+    assert [count(t) for t, *_ in got[:1]] == [got[0][1]] and chunking.chunks_of("x" * 40, chunking.ChunkSize.of(10), count)[0][1] == 41
+
+
 def test_pareto_front(spark):
     pts = [("a", 1.0, 5.0), ("b", 2.0, 4.0), ("c", 1.0, 4.0), ("d", 2.0, 4.0)]
     df = spark.createDataFrame([("g", *p) for p in pts], "g string, entity_id string, x double, y double")
