@@ -29,7 +29,8 @@ SALTS = 16
 def hot_join(rows: DataFrame, small: DataFrame, on: list[str], most: int | None = None) -> DataFrame:
     """Inner join on keys (nulls equal) of which one may hold a third of ``rows``; ``small`` has a row for each key.
 
-    Up to ``BROADCAST_ROWS`` keys are counted and broadcast; more are copied ``SALTS`` times, so that a hot key is joined in as many tasks.
+    Up to ``BROADCAST_ROWS`` keys are counted and broadcast.  Beyond, the session's adaptive execution splits a hot key's rows over
+    tasks; where that is switched off, ``small`` is copied ``SALTS`` times, so that a hot key is joined in as many tasks.
     ``most``: that many keys at most, if it's known.
     """
     kept = [c for c in small.columns if c not in on]
@@ -38,6 +39,9 @@ def hot_join(rows: DataFrame, small: DataFrame, on: list[str], most: int | None
     if (small.count() if most is None else most) <= BROADCAST_ROWS:
         right = F.broadcast(right)
         return rows.join(right, match(right)).select(*[rows[c] for c in rows.columns], *[right[c] for c in kept])
+    conf = rows.sparkSession.conf
+    if all(conf.get(f"spark.sql.adaptive.{c}", "true") == "true" for c in ("enabled", "skewJoin.enabled")):
+        return rows.join(right, match(right)).select(*[rows[c] for c in rows.columns], *[right[c] for c in kept])
     right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     spread = [F.col(c) for c in rows.columns if c not in on] or [F.monotonically_increasing_id()]
     left = rows.withColumn("_salt_of", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))

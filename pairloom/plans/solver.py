@@ -687,7 +687,7 @@ def dersimonian_laird(pairs: pd.DataFrame, config: SolverConfig = SolverConfig()
     names = np.unique(pairs[["i", "j"]].to_numpy(dtype=object).astype(str))
     i, j = np.searchsorted(names, pairs["i"].to_numpy(str)), np.searchsorted(names, pairs["j"].to_numpy(str))
     w = pairs["k"].to_numpy(float) / within
-    s = solve_graph(len(names), i, j, pairs["mean"].to_numpy(float), w, config)
+    s = solve_graph(len(names), i, j, pairs["mean"].to_numpy(float), w, config, False, False)
     df = len(pairs) + len(np.unique(s.component)) - len(names)
     q = float((w * s.residual**2).sum())
     c = float(w.sum() - (w * w).sum() / w.sum())
@@ -695,6 +695,17 @@ def dersimonian_laird(pairs: pd.DataFrame, config: SolverConfig = SolverConfig()
     return {"sigma_w2": within, "sigma_b2": between, "q": q, "df": df, "pairs": len(pairs)}
 
 
+def pooled_scores(pairs: pd.DataFrame, config: SolverConfig = SolverConfig()) -> pd.DataFrame:
+    """(entity_id, score, variance) with each pair weighed by the inverse of between + within / k; within alone where no pair is repeated."""
+    pairs = pairs.sort_values(["i", "j"], ignore_index=True)
+    found = dersimonian_laird(pairs, config) or {"sigma_w2": 1.0, "sigma_b2": 0.0}
+    names = np.unique(pairs[["i", "j"]].to_numpy(dtype=object).astype(str))
+    i, j = np.searchsorted(names, pairs["i"].to_numpy(str)), np.searchsorted(names, pairs["j"].to_numpy(str))
+    w = 1 / np.maximum(found["sigma_b2"] + found["sigma_w2"] / pairs["k"].to_numpy(float), 1e-9)
+    s = solve_graph(len(names), i, j, pairs["mean"].to_numpy(float), w, config, False, False)
+    return pd.DataFrame({"entity_id": names, "score": s.scores, "variance": s.variances})
+
+
 def fit_gains(rows: pd.DataFrame, reference: str, rounds: int = 50, tolerance: float = 1e-6) -> dict[str, float]:
     """Gain of each template against ``reference``, alternating with the scores; rows (i, j, m, template)."""
     names = np.unique(rows[["i", "j"]].to_numpy(dtype=object).astype(str))
@@ -704,7 +715,7 @@ def fit_gains(rows: pd.DataFrame, reference: str, rounds: int = 50, tolerance: f
     plain = SolverConfig(huber_k=1e12, irls_max_iters=1)
     for _ in range(rounds):
         scaled = m / np.array([gain[t] for t in kinds])
-        s = solve_graph(len(names), i, j, scaled, np.ones(len(m)), plain).scores
+        s = solve_graph(len(names), i, j, scaled, np.ones(len(m)), plain, False, False).scores
         d = s[i] - s[j]
         new = {}
         for t in gain:

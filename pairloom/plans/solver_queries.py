@@ -181,6 +181,17 @@ def dl_pooling(spark, sf):
     return pairs.groupBy(*RUN).applyInPandas(pool, "run string, axis_key string, sigma_w2 double, sigma_b2 double, q double, df int, pairs int")
 
 
+@query("dl_scores")
+def dl_scores(spark, sf):
+    """Every run solved again with the variance between pairs beside that within."""
+    pairs = E.pair_moments(E.observations(table(spark, sf, "comparisons")), *RUN)
+
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return S.pooled_scores(pdf).assign(run=key[0], axis_key=key[1])[["run", "axis_key", "entity_id", "score", "variance"]]
+
+    return pairs.groupBy(*RUN).applyInPandas(solve, "run string, axis_key string, entity_id string, score double, variance double")
+
+
 @query("gain_calibration")
 def gain_calibration(spark, sf):
     """Gain of each template against the axis's most used one, over the runs' pairs of one lens."""

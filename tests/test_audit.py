@@ -90,6 +90,24 @@ def test_synthetic_judge(spark):
     assert wild["n"] == pytest.approx(500, abs=90) and wild["r"] == pytest.approx(400, abs=70) and wild["o"] == 4000
 
 
+def test_pooled_scores_weigh_repeats_by_both_variances():
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    truth = {"a": 0.0, "b": 1.0, "c": 2.5}
+    rows = []
+    for i, j in (("a", "b"), ("b", "c"), ("a", "c")):
+        draws = truth[i] - truth[j] + 0.2 * rng.normal() + 0.1 * rng.normal(size=400)
+        rows.append((i, j, len(draws), draws.mean(), ((draws - draws.mean()) ** 2).sum()))
+    pairs = pd.DataFrame(rows, columns=["i", "j", "k", "mean", "ss"])
+    found, got = S.dersimonian_laird(pairs), S.pooled_scores(pairs).set_index("entity_id")
+    assert found["sigma_w2"] == pytest.approx(0.01, rel=0.15) and got["score"].sort_values().index.tolist() == ["a", "b", "c"]
+    assert got["variance"].max() >= found["sigma_b2"] / 3
+    once = pd.DataFrame([("a", "b", 1, -1.0, 0.0)], columns=["i", "j", "k", "mean", "ss"])
+    assert S.pooled_scores(once).set_index("entity_id")["score"]["b"] == pytest.approx(1.0, abs=1e-6)
+
+
 def test_streaks_start_anew(spark):
     rows = [("g", k, ok) for k, ok in enumerate([True, True, False, True, True, True])]
     got = audit.stop_streaks(spark.createDataFrame(rows, "g string, n int, ok boolean"), ["g"], "n", "ok", 3).orderBy("n").collect()

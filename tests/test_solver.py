@@ -164,6 +164,35 @@ def test_positions_and_medians_with_a_hot_group(spark):
         assert r["median"] == np.median([v for g, v in rows if g == r["g"]])
 
 
+@pytest.mark.parametrize("few, adaptive", [(100_000, "true"), (0, "true"), (0, "false")])
+def test_joins_on_hot_keys(spark, monkeypatch, few, adaptive):
+    from pairloom.operators import ordered
+
+    monkeypatch.setattr(ordered, "BROADCAST_ROWS", few)
+    monkeypatch.setattr(ordered, "SALTS", 3)
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", adaptive)
+    try:
+        check_hot_join(spark, ordered)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.skewJoin.enabled")
+
+
+def check_hot_join(spark, ordered):
+    rows = spark.createDataFrame([("hot" if k % 3 else None if k % 2 else f"k{k % 5}", k) for k in range(300)], "g string, v int")
+    small = spark.createDataFrame([("hot", 1), (None, 2), ("k0", 3), ("other", 4)], "g string, w int")
+    got = sorted((r["v"], r["g"], r["w"]) for r in ordered.hot_join(rows, small, ["g"]).collect())
+    want = {"hot": 1, None: 2, "k0": 3}
+    assert [x[0] for x in got] == sorted(r["v"] for r in rows.collect() if r["g"] in want) and all(w == want[g] for _, g, w in got)
+    assert ordered.hot_join(rows, small.limit(0), ["g"]).count() == 0
+
+
+def test_best_edges_are_those_of_all_gains(spark):
+    rng = random.Random(4)
+    nodes = spark.createDataFrame([(g, f"e{k}", rng.choice([0.0, rng.random() * 3]), rng.choice([0.0, 0.5, rng.random() * 4])) for g, n in (("a", 30), ("b", 3), ("c", 1)) for k in range(n)], "g string, entity_id string, s double, v double")
+    pick = lambda df: sorted((r["g"], r["place"], r["i"], r["j"]) for r in df.collect())
+    assert pick(planner.best_edges(nodes, ["g"], 5, 8)) == pick(planner.best_pairs(planner.edge_gains(nodes, ["g"], 5), ["g"], 8))
+
+
 def test_metrics_against_brute_force(spark):
     rng = random.Random(2)
     rows = [("g", f"e{k}", float(rng.randrange(6)), float(rng.randrange(6)), 1.0) for k in range(12)]
