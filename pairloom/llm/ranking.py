@@ -43,7 +43,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm.luce import strengths
+from pairloom.llm.luce import mixture, strengths
 from pairloom.operators.ordered import positions
 from pairloom.operators.dedup import comparison_identifier, current_rows, delivery_order
 from pairloom.operators.ordered import hot_join
@@ -202,16 +202,6 @@ def _round_of(ends_at: str, state_at: str | None, tolerance: float):
     return solve
 
 
-def mixture(gram: np.ndarray) -> np.ndarray:
-    """Weights of sum 1 whose combination of changes is least, from the changes' products; the last change is the newest."""
-    size = np.sqrt(np.maximum(np.diag(gram), 1e-300))
-    if size[-1] <= 1e-300 or size[-1] > 10 * size.min():  # thrown back: start again from the newest answer
-        return np.eye(len(gram))[-1]
-    scaled = gram / np.outer(size, size)
-    z = np.linalg.lstsq(scaled + 1e-12 * np.eye(len(gram)), 1 / size, rcond=1e-12)[0] / size
-    return z / z.sum() if abs(z.sum()) > 1e-300 and np.isfinite(z).all() else np.eye(len(gram))[-1]
-
-
 def _mix(state: DataFrame, depth: int) -> tuple[DataFrame, dict]:
     """(axis, mix, done): for each axis the weights of the last answers, and whether it has come to rest; and how many axes, done ones and the largest change."""
     pairs = [(i, j) for i in range(depth) for j in range(i + 1)]
