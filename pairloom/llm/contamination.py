@@ -289,28 +289,33 @@ def leaked(documents: DataFrame, items: DataFrame, **options) -> DataFrame:
     return find_passages(documents, items, **options).select("doc_id", "item_id").distinct()
 
 
-def _spans(value: str, indexes: list[tuple[ItemIndex, frozenset[str]]]) -> list[tuple[int, int]]:
-    """Places of ``value`` that passages take up, in order and apart from each other."""
+def _spans(value: str, indexes: list[tuple[ItemIndex, frozenset[str]]]) -> tuple[list[tuple[int, int]], bool]:
+    """Places of ``value`` that passages take up, in order and apart from each other; and whether it holds one whose place can't be told."""
     spans: list[tuple[int, int]] = []
+    unplaced = False
     for index, known in indexes:
         if scan([index.vocabulary.get(w, -1) for w in words(value, known)], index):
             tokens, places = words_with_spans(value, known)
-            spans += [(places[a][0], places[b][1]) for _, a, b, _ in scan([index.vocabulary.get(w, -1) for w in tokens], index)]
+            own = [(places[a][0], places[b][1]) for _, a, b, _ in scan([index.vocabulary.get(w, -1) for w in tokens], index)]
+            unplaced |= not own
+            spans += own
     merged: list[tuple[int, int]] = []
     for a, b in sorted(spans):
         if merged and a <= merged[-1][1]:
             merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
         else:
             merged.append((a, b))
-    return merged
+    return merged, unplaced
 
 
 def remove_leaks(documents: DataFrame, items: DataFrame, coverage: float = 0.5, min_words: int = MIN_WORDS, edit_every: int = EDIT_EVERY, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, text, removed_words, dropped) of all documents with the leaked passages cut out.
+    """(doc_id, text, removed_words, dropped, uncut) of all documents with the leaked passages cut out.
 
     Passages that overlap are cut as one; ``removed_words`` counts each word once.
     A document of which passages cover more than ``coverage`` of the words is
-    dropped whole: its text becomes null and ``dropped`` true.
+    dropped whole: its text becomes null and ``dropped`` true.  ``uncut``: the text
+    still holds a passage, of which no place could be told.  Every task holds the
+    automata of all blocks.
     """
     spark = documents.sparkSession
     blocks = list(_blocks(items, min_words, block_words))
@@ -321,11 +326,15 @@ def remove_leaks(documents: DataFrame, items: DataFrame, coverage: float = 0.5,
         got, *limits = shared.value
         indexes = [(x, frozenset(x.vocabulary)) for x in (build_index(b, *limits) for b in got)]
         for part in parts:
-            texts, removed, dropped = [], [], []
+            texts, removed, dropped, uncut = [], [], [], []
             for value in part["text"]:
                 total = gone = 0
+                unplaced = False
                 # where a cut joins two pieces to a passage, that is cut too
-                while value and (spans := _spans(value, indexes)):
+                while value:
+                    spans, unplaced = _spans(value, indexes)
+                    if not spans:
+                        break
                     places = words_with_spans(value)[1]
                     total = total or len(places)
                     gone += sum(any(a <= x and y <= b for a, b in spans) for x, y in places)
@@ -334,11 +343,12 @@ def remove_leaks(documents: DataFrame, items: DataFrame, coverage: float = 0.5,
                 if total and gone > coverage * total:
                     value = None
                 texts.append(value)
+                uncut.append(bool(value) and unplaced)
                 removed.append(gone)
                 dropped.append(bool(total and gone > coverage * total))
-            yield pd.DataFrame({"doc_id": part["doc_id"], "text": texts, "removed_words": removed, "dropped": dropped})
+            yield pd.DataFrame({"doc_id": part["doc_id"], "text": texts, "removed_words": removed, "dropped": dropped, "uncut": uncut})
 
-    return documents.select("doc_id", "text").mapInPandas(clean, f"doc_id {kind}, text string, removed_words int, dropped boolean")
+    return documents.select("doc_id", "text").mapInPandas(clean, f"doc_id {kind}, text string, removed_words int, dropped boolean, uncut boolean")
 
 
 def p8_found(spark, sf: str) -> DataFrame:

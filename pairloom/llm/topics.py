@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.llm.textnorm import plain, split_words, words
-from pairloom.session import default_parallelism, materialise
+from pairloom.session import arrow_fs, default_parallelism, materialise
 
 #: Documents, and part of all documents, that must hold a word for a number of its own; numbers that the rarer words share.
 MIN_DOCUMENTS, MIN_SHARE, RARE = 5, 1e-5, 1 << 14
@@ -270,6 +270,17 @@ def _read(batch: pa.RecordBatch) -> Iterator[tuple]:
         yield batch.column("doc_ids")[row].values, *(batch.column(c)[row].values.to_numpy() for c in ("sentences", "lengths", "places", "owners", "uses", "numbers"))
 
 
+def _batches_of(files: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chunks of the files that the rows name, a few at a time."""
+    import pyarrow.parquet as pq
+
+    for batch in files:
+        for uri in batch.column(0).to_pylist():
+            fs, path = arrow_fs(uri)
+            with fs.open_input_file(path) as source:
+                yield from pq.ParquetFile(source).iter_batches(batch_size=4)
+
+
 def _sentence_gains(topics: np.ndarray, lengths: np.ndarray, places: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     """Sum of the words' gains for each sentence (none for a sentence without words)."""
     out = np.zeros((len(lengths), topics.shape[1]), np.float32)
@@ -343,7 +354,9 @@ def fit(documents: DataFrame | Corpus, examples: list[tuple[str, str]], rounds:
     own = len(subjects)
     weights = example_weights(examples, vocabulary, frequency)
     counts = start_topics(vocabulary, frequency, weights, subjects)
-    bags = corpus.chunks.coalesce(spark.sparkContext.defaultParallelism)
+    # the rounds' tasks read the chunks' files themselves: lists of numbers go a long way through rows
+    files = corpus.chunks.inputFiles()
+    bags = spark.createDataFrame([(f,) for f in sorted(files)], "file string").repartition(min(len(files), 4 * spark.sparkContext.defaultParallelism) or 1)
     before, turn, rests = -np.inf, 0, not vocabulary
     parts = default_parallelism(spark)
     kept = np.ones((len(frequency), own), dtype=bool)
@@ -358,7 +371,7 @@ def fit(documents: DataFrame | Corpus, examples: list[tuple[str, str]], rounds:
         def step(batches: Iterator[pa.RecordBatch], shared=shared, names=names, sorting=sorting) -> Iterator[pa.RecordBatch]:
             topics = shared.value
             held, likelihood = np.zeros((len(topics), len(names))), 0.0
-            for batch in batches:
+            for batch in _batches_of(batches):
                 for _, per_doc, lengths, places, owners, uses, numbers in _read(batch):
                     if not len(places):
                         continue
