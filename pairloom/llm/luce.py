@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Krylov vectors before a restart, and rounds whose answers are mixed.
-KRYLOV, MIXED = 30, 5
+#: Krylov vectors before a restart.
+KRYLOV = 30
 #: Sizes of the mixed answers' weights together; their sum is 1.
 MOST_WEIGHT = 30.0
 
@@ -13,24 +13,21 @@ MOST_WEIGHT = 30.0
 def stationary(src: np.ndarray, dst: np.ndarray, step: np.ndarray, start: np.ndarray, inflow: np.ndarray, tolerance: float, most: int = 100) -> np.ndarray:
     """Flow x with x = P'x + inflow by restarted GMRES, from ``start``.
 
-    ``step`` are the jump chain's probabilities from ``src`` to ``dst``.  The flow
-    is sought as a multiple of ``start``, node by node, so a node or component of
-    little flow is solved as well as any; it ends where no node's balance is off by
-    more than ``tolerance`` of its start.  Without inflow every Krylov vector's flow
-    sums to nought on each component, so that of each component stays what it is in
-    ``start``.
+    ``step`` are the jump chain's probabilities from ``src`` to ``dst``.  Without
+    inflow every Krylov vector sums to nought on each component, so the flow of
+    each component stays what it is in ``start``.
     """
     n = len(start)
-    given = step * start[src] / start[dst]
 
     def apply(v: np.ndarray) -> np.ndarray:
-        return v - np.bincount(dst, v[src] * given, n)
+        return v - np.bincount(dst, v[src] * step, n)
 
-    x, inflow = np.ones(n), inflow / start
+    x = start.copy()
+    size = np.abs(x).sum()
     for _ in range(most):
         residual = inflow - apply(x)
         norm = np.linalg.norm(residual)
-        if np.abs(residual).max() <= tolerance or norm == 0:
+        if np.abs(residual).sum() <= tolerance * size or norm == 0:
             break
         basis = np.zeros((KRYLOV + 1, n))
         h = np.zeros((KRYLOV + 1, KRYLOV))
@@ -54,7 +51,7 @@ def stationary(src: np.ndarray, dst: np.ndarray, step: np.ndarray, start: np.nda
         rhs[0] = norm
         y = np.linalg.lstsq(h[: used + 1, :used], rhs, rcond=None)[0]
         x = x + y @ basis[:used]
-    return x * start
+    return x
 
 
 def mixture(gram: np.ndarray) -> np.ndarray:
@@ -75,15 +72,12 @@ def strengths(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, start: np.nd
     ``weight`` is what ``dst`` won over ``src``.  For comparisons with nodes
     outside, whose strengths are held: ``ext_node`` lost ``ext_out`` and won
     ``ext_in`` against ``ext_strength``.  Each round rebuilds the transition
-    rates weight / (sum of both strengths) and solves for the stationary flow;
-    the rounds' answers are mixed so that their changes cancel best.
+    rates weight / (sum of both strengths) and solves for the stationary flow.
     """
     n, pi = len(start), start.copy()
     if not len(src) and not len(ext_node):
         return pi, True
     inner = 1e-3
-    answers: list[np.ndarray] = []
-    changes: list[np.ndarray] = []
     for _ in range(most):
         rate = weight / (pi[src] + pi[dst])
         out = np.bincount(src, rate, n)
@@ -92,20 +86,17 @@ def strengths(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, start: np.nd
             held = ext_strength + pi[ext_node]
             out += np.bincount(ext_node, ext_out / held, n)
             inflow = np.bincount(ext_node, ext_in * ext_strength / held, n)
-        alone = out <= 0  # nodes that met nobody keep what they have
-        out, inflow = np.where(alone, 1.0, out), np.where(alone, pi, inflow)
+        out = np.where(out > 0, out, 1.0)
         step = rate / out[src]
         x = stationary(src, dst, step, pi * out, inflow, inner)
         if (x <= 0).any():  # not yet close: plain damped steps stay positive
             x = pi * out
             for _ in range(20):
                 x = 0.5 * (x + np.bincount(dst, x[src] * step, n) + inflow)
-        answers, changes = [*answers[1 - MIXED :], np.log(x / out)], [*changes[1 - MIXED :], np.log(x / out) - np.log(pi)]
-        change = np.abs(changes[-1]).max()
+        new = x / out
+        change = np.abs(np.log(new) - np.log(pi)).max()
+        pi = new
         if change < tolerance and inner <= tolerance * 1e-2:
-            return x / out, True
-        f = np.array(changes)
-        # far from the end the newest answer alone
-        pi = np.exp(mixture(f @ f.T) @ np.array(answers) if change < 1 else answers[-1])
-        inner = min(max(change * 1e-3, tolerance * 1e-2), 1e-3)
+            return pi, True
+        inner = max(min(inner * 0.1, change * 1e-2), tolerance * 1e-2)
     return pi, False
