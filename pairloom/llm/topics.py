@@ -36,7 +36,7 @@ import re
 import warnings
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -67,6 +67,8 @@ TOP_TERMS, LEAD = 60, 2.0
 SENTENCE_WORDS = 3
 #: Documents of a chunk, and characters after which it ends.
 CHUNK_DOCUMENTS, CHUNK_CHARS = 1000, 2_000_000
+#: Chunks that are written, and so read again, at a time, however many a file holds.
+GROUP_CHUNKS = 4
 #: Words whose sums travel as one row.
 BUCKET = 4096
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'»”)\]*_]*\s+|(?<=[。！？])|[\r\n]+|\\r\\n|\\n|\\r")
@@ -196,7 +198,34 @@ def _chunks(documents: DataFrame) -> DataFrame:
             yield _close(ids, per_doc, lengths, places, list(known), arrow_kind)
 
     schema = f"doc_ids array<{kind.simpleString()}>, sentences array<int>, lengths array<int>, places array<int>, owners array<int>, words array<string>, holders array<int>, uses array<int>"
-    return materialise(documents.select("doc_id", "text").mapInArrow(split, schema), "topic-chunks")
+    return _written(documents.select("doc_id", "text").mapInArrow(split, schema), "topic-chunks")
+
+
+def _written(chunks: DataFrame, label: str) -> DataFrame:
+    """Chunks in row groups of ``GROUP_CHUNKS``: a reader holds one group, whatever the size of the file."""
+    return materialise(chunks, label, options={"parquet.block.row.count.limit": GROUP_CHUNKS})
+
+
+def _files(chunks: DataFrame, columns: list[str], tasks: int | None = None) -> tuple[DataFrame, Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]]:
+    """A row for each file of the chunks, in at most so many tasks, and what turns such rows into the chunks themselves, a row group at a time.
+
+    Tasks read the files themselves: lists of numbers go a long way through rows, and Spark
+    would put all chunks of a file into one batch.
+    """
+    import pyarrow.parquet as pq
+
+    files = sorted(chunks.inputFiles())
+    schema = chunks.select(*columns).limit(0).toArrow().schema
+
+    def read(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows:
+            for k in row.column(0).to_pylist():
+                fs, path = arrow_fs(files[k])
+                with fs.open_input_file(path) as source:
+                    for batch in pq.ParquetFile(source).iter_batches(batch_size=GROUP_CHUNKS, columns=columns):
+                        yield batch.select(columns).cast(schema)
+
+    return chunks.sparkSession.range(0, len(files), 1, min(len(files), tasks or len(files)) or 1), read
 
 
 def prepare(documents: DataFrame, vocabulary: dict[str, int] | None = None, frequency: np.ndarray | None = None) -> Corpus:
@@ -216,15 +245,16 @@ def prepare(documents: DataFrame, vocabulary: dict[str, int] | None = None, freq
         frequency[len(vocabulary) + rare["at"].to_numpy(int)] = rare["uses"].to_numpy(float)
     shared = spark.sparkContext.broadcast(vocabulary)
     kept = ["doc_ids", "sentences", "lengths", "places", "owners", "uses"]
+    files, read = _files(chunks, [*kept, "words"])
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def number(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in read(rows):
             numbers = pa.array([_numbers(w, shared.value) for w in batch.column("words").to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], numbers], [*kept, "numbers"])
 
     ids = chunks.schema["doc_ids"].dataType.simpleString()
-    numbered = chunks.select(*kept, "words").mapInArrow(number, f"doc_ids {ids}, {', '.join(f'{c} array<int>' for c in kept[1:])}, numbers array<int>")
-    return Corpus(materialise(numbered, "topic-bags"), vocabulary, frequency)
+    numbered = files.mapInArrow(number, f"doc_ids {ids}, {', '.join(f'{c} array<int>' for c in kept[1:])}, numbers array<int>")
+    return Corpus(_written(numbered, "topic-bags"), vocabulary, frequency)
 
 
 def start_topics(vocabulary: dict[str, int], frequency: np.ndarray, weights: dict[str, dict[str, float]], subjects: list[str]) -> np.ndarray:
@@ -270,17 +300,6 @@ def _read(batch: pa.RecordBatch) -> Iterator[tuple]:
         yield batch.column("doc_ids")[row].values, *(batch.column(c)[row].values.to_numpy() for c in ("sentences", "lengths", "places", "owners", "uses", "numbers"))
 
 
-def _batches_of(files: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The chunks of the files that the rows name, a few at a time."""
-    import pyarrow.parquet as pq
-
-    for batch in files:
-        for uri in batch.column(0).to_pylist():
-            fs, path = arrow_fs(uri)
-            with fs.open_input_file(path) as source:
-                yield from pq.ParquetFile(source).iter_batches(batch_size=4)
-
-
 def _sentence_gains(topics: np.ndarray, lengths: np.ndarray, places: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     """Sum of the words' gains for each sentence (none for a sentence without words)."""
     out = np.zeros((len(lengths), topics.shape[1]), np.float32)
@@ -354,9 +373,7 @@ def fit(documents: DataFrame | Corpus, examples: list[tuple[str, str]], rounds:
     own = len(subjects)
     weights = example_weights(examples, vocabulary, frequency)
     counts = start_topics(vocabulary, frequency, weights, subjects)
-    # the rounds' tasks read the chunks' files themselves: lists of numbers go a long way through rows
-    files = corpus.chunks.inputFiles()
-    bags = spark.createDataFrame([(f,) for f in sorted(files)], "file string").repartition(min(len(files), 4 * spark.sparkContext.defaultParallelism) or 1)
+    bags, read = _files(corpus.chunks, corpus.chunks.columns, 4 * spark.sparkContext.defaultParallelism)
     before, turn, rests = -np.inf, 0, not vocabulary
     parts = default_parallelism(spark)
     kept = np.ones((len(frequency), own), dtype=bool)
@@ -368,10 +385,10 @@ def fit(documents: DataFrame | Corpus, examples: list[tuple[str, str]], rounds:
         sorting = turn <= SORTED_AFTER
         names = [*[f"k{k}" for k in range(topics.shape[1])], *([*[f"d{k}" for k in range(own)], "unsupported"] if sorting else [])]
 
-        def step(batches: Iterator[pa.RecordBatch], shared=shared, names=names, sorting=sorting) -> Iterator[pa.RecordBatch]:
+        def step(rows: Iterator[pa.RecordBatch], shared=shared, names=names, sorting=sorting) -> Iterator[pa.RecordBatch]:
             topics = shared.value
             held, likelihood = np.zeros((len(topics), len(names))), 0.0
-            for batch in _batches_of(batches):
+            for batch in read(rows):
                 for _, per_doc, lengths, places, owners, uses, numbers in _read(batch):
                     if not len(places):
                         continue
@@ -416,10 +433,12 @@ def assign(documents: DataFrame | Corpus, model: TopicModel, share: float = SHAR
     kind = corpus.chunks.schema["doc_ids"].dataType.elementType.simpleString()
     shared = corpus.chunks.sparkSession.sparkContext.broadcast((model.topics, [subjects.index(s) if s in subjects else len(subjects) for s in model.subject_of]))
 
-    def by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    files, read = _files(corpus.chunks, corpus.chunks.columns)
+
+    def by_chunk(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         topics, of = shared.value
         names = pa.array(subjects, pa.string())
-        for batch in batches:
+        for batch in read(rows):
             for ids, per_doc, lengths, places, _, _, numbers in _read(batch):
                 if not len(lengths):
                     continue
@@ -435,7 +454,7 @@ def assign(documents: DataFrame | Corpus, model: TopicModel, share: float = SHAR
                 d, s = np.nonzero((treated >= share * per_doc[full][:, None] - 1e-9) & (treated > 0))
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(full[d])), names.take(pa.array(s)), pa.array(per_doc[full][d].astype(np.int64)), pa.array(treated[d, s].astype(np.int64))], ["doc_id", "subject", "sentences", "treated"])
 
-    return corpus.chunks.mapInArrow(by_chunk, f"doc_id {kind}, subject string, sentences long, treated long")
+    return files.mapInArrow(by_chunk, f"doc_id {kind}, subject string, sentences long, treated long")
 
 
 def _examples(spark: SparkSession, sf: str) -> list[tuple[str, str]]:

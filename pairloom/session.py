@@ -62,12 +62,12 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{scratch_base(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def materialise(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage is cut
-    and an executor that is lost takes nothing with it."""
+def materialise(df: DataFrame, label: str, *partition_by: str, options: dict[str, int] | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder, with the writer's ``options``, and read it back:
+    the lineage is cut and an executor that is lost takes nothing with it."""
     spark = df.sparkSession
     path = scratch_dir(spark, label)
-    writer = df.write
+    writer = df.write.options(**options or {})
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -361,6 +362,36 @@ def test_subjects_of_planted_documents(spark):
     assert topics.assign(df.limit(0), model).count() == 0
 
 
+@pytest.mark.filterwarnings("ignore:the topics")
+def test_chunks_of_a_long_file_are_taken_up_a_few_at_a_time(spark, monkeypatch):
+    rows = [(k, f"{'striker' if k % 2 else 'verdict'} word{k % 7} came again. The notes of {k % 5} went out there.") for k in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    examples = [("sport", "striker"), ("law", "verdict")]
+    whole = topics.prepare(df)
+    start = topics.start_topics(whole.vocabulary, whole.frequency, topics.example_weights(examples, whole.vocabulary, whole.frequency), ["law", "sport"])
+    model = topics.TopicModel(whole.vocabulary, whole.frequency, topics.gains(start, whole.frequency), ["law", "sport"], [], 0)
+    expected = sorted(map(tuple, topics.assign(whole, model).collect()))
+    assert [(k, s) for k, s, *_ in expected] == [(k, "sport" if k % 2 else "law") for k in range(90)]
+    fitted, read = topics.fit(whole, examples, 2).topics, topics._read
+
+    def few(batch):
+        assert batch.num_rows <= 4, f"{batch.num_rows} chunks in one batch"
+        return read(batch)
+
+    monkeypatch.setattr(topics, "CHUNK_DOCUMENTS", 1)
+    monkeypatch.setattr(topics, "_read", few)
+    corpus = topics.prepare(df)
+    assert corpus.chunks.count() == 90 and corpus.vocabulary == whole.vocabulary
+    assert sorted(map(tuple, topics.assign(corpus, model).collect())) == expected
+    assert np.allclose(topics.fit(corpus, examples, 2).topics, fitted, atol=1e-3)
+    for uri in corpus.chunks.inputFiles():
+        groups = pq.ParquetFile(uri.removeprefix("file://")).metadata
+        assert max(groups.row_group(k).num_rows for k in range(groups.num_row_groups)) <= 4
+    # identifiers of any type come back as they were
+    stamped = df.withColumn("doc_id", F.timestamp_seconds("doc_id"))
+    assert sorted(r["doc_id"].timestamp() for r in topics.assign(stamped, model).collect()) == [k for k, *_ in expected]
+
+
 def test_sentences():
     assert len(topics.sentences("One two three. Four five six!\nSeven eight nine\n\n- ten")) == 3
     assert topics.sentences(None) == topics.sentences(" ") == []
