@@ -9,8 +9,9 @@ stationary distribution, with the strengths outside it held; the blocks'
 answers are then mixed over the whole axis (Anderson's acceleration: the
 combination of the last rounds' answers whose changes cancel best), until no
 strength changes.  A block that meets nothing outside is exact after its first
-round.  Between two rounds only strengths travel, one for each entity and block
-that meets it; the ends stay in the blocks' files.  An entity that meets more
+round.  Ends and strengths stay in the blocks' files, which the tasks read
+themselves; between two rounds one row for each block goes through Spark, with
+its changes' products.  An entity that meets more
 others than a block may hold is a hub: its pairs lie with the other entities'
 blocks, which send back sums for it, never its rows.
 
@@ -40,6 +41,9 @@ import warnings
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,16 +122,19 @@ def _part() -> F.Column:
     return F.concat_ws("_", F.col("axis").cast("string"), F.col("block").cast("string"))
 
 
-_SOLVED = ["part", "axis", "block", "no", "component", "gs", "fs", "weight", "moved", "exact", "up", "down"]
-_SCHEMA = "part string, axis long, block int, no long, component long, gs array<double>, fs array<double>, weight double, moved boolean, exact boolean, up double, down double"
+#: What a block's round leaves: one row, whose strengths are 8-byte numbers one after the other, in the order of ``nos``.
+_STATE = "part string, axis long, block int, nos binary, labels binary, gs binary, fs binary, gram array<double>, change double, moved boolean, exact boolean, hub long, label long, up double, down double, weight double"
+#: Strengths that a round starts from, or, of an axis that is done, ends with.
+_MIXED = "part string, axis long, block int, nos binary, labels binary, xs binary, done boolean"
+_NONE = np.empty(0)
 
 
-def _solve_block(ends: dict[str, np.ndarray], block: int, held: pd.DataFrame, tolerance: float, first: bool = True) -> tuple[dict | None, pd.DataFrame | None]:
+def _solve_block(ends: dict[str, np.ndarray], block: int, held: tuple[np.ndarray, np.ndarray, np.ndarray], tolerance: float, first: bool = True) -> tuple[dict | None, pd.DataFrame | None]:
     """New strengths and components of a block's nodes, and the sums of the hubs they met.
 
     ``held``: current (no, x, component) of the block's nodes and of all that they meet, by number.
     """
-    known, now, label = held["no"].to_numpy(), held["x"].to_numpy(float), held["component"].to_numpy()
+    known, now, label = held
     at = lambda numbers: np.searchsorted(known, numbers)
     # the ends are in the order of their nodes
     new = np.concatenate([[True], ends["no"][1:] != ends["no"][:-1]])
@@ -167,76 +174,125 @@ def _solve_block(ends: dict[str, np.ndarray], block: int, held: pd.DataFrame, to
     return nodes, sums
 
 
-def _round_of(ends_at: str, state_at: str | None, tolerance: float):
-    """The function of one block: reads its ends and its earlier answers from its files, and solves it to ``tolerance``."""
+def _files(at: str, part: str, columns: list[str]) -> pa.Table | None:
+    """These columns of a part's files; None where the folder has no such part."""
+    fs, root = arrow_fs(at)
+    found = fs.get_file_info(pafs.FileSelector(f"{root}/part={part}", allow_not_found=True))
+    tables = [pq.read_table(f.path, columns=columns, filesystem=fs, partitioning=None) for f in found if f.base_name.endswith(".parquet")]
+    return pa.concat_tables(tables) if tables else None
+
+
+def _row(at: str, part: str, columns: dict[str, type]) -> list[np.ndarray]:
+    """The arrays of a part's one row."""
+    table = _files(at, part, list(columns))
+    return [_NONE.astype(kind) if table is None or table[c][0].as_py() is None else np.frombuffer(table[c][0].as_buffer(), kind) for c, kind in columns.items()]
+
+
+def _held(mixed_at: str | None, axis: int, block: int, ends: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Current (no, x, component), by number, of a block's nodes and of all that they meet: one part's strengths are read after the other, and only those that are met are kept."""
+    met = np.concatenate([ends["no"], ends["other"]])
+    of = np.concatenate([np.full(len(ends["no"]), float(max(block, -1))), np.where(np.isnan(ends["other_block"]), -1.0, ends["other_block"])])  # hubs: -1
+    if mixed_at is None:  # all equal at first, each its own component
+        known = np.unique(met)
+        return known, np.zeros(len(known)), known
+    order = np.argsort(of, kind="stable")
+    cuts = np.flatnonzero(np.diff(of[order])) + 1
+    kept = []
+    for rows in np.split(order, cuts):
+        home = int(of[rows[0]])
+        nos, xs, labels = _row(mixed_at, f"{axis}_{'hubs' if home < 0 else home}", {"nos": np.int64, "xs": np.float64, "labels": np.int64})
+        use = np.zeros(len(nos), bool)
+        use[np.searchsorted(nos, met[rows])] = True
+        kept.append((nos[use], xs[use], labels[use]))
+    known, now, label = (np.concatenate(x) for x in zip(*kept))
+    order = np.argsort(known, kind="stable")
+    return known[order], now[order], label[order]
+
+
+def _answer(state_at: str | None, part: str, nodes: dict) -> dict:
+    """A part's row: its answers and changes of the last rounds, and the changes' products, which are summed over the axis."""
+    g = nodes["x"]
+    gs, fs = _row(state_at, part, {"gs": np.float64, "fs": np.float64}) if state_at is not None else (_NONE, _NONE)
+    gs = np.vstack([gs.reshape(-1, len(g))[1 - DEPTH :], g])
+    fs = np.vstack([fs.reshape(-1, len(g))[1 - DEPTH :], g - nodes["was"]])
+    return {
+        "part": part, "nos": nodes["no"].astype(np.int64).tobytes(), "labels": nodes["component"].astype(np.int64).tobytes(), "gs": gs.tobytes(), "fs": fs.tobytes(),
+        "gram": ((fs * nodes["weight"]) @ fs.T).ravel(), "change": float(np.abs(fs[-1]).max()), "moved": nodes["moved"], "exact": nodes["exact"],
+    }
+
+
+def _frame(rows: list[dict], schema: str) -> pd.DataFrame:
+    columns = [c.split()[0] for c in schema.split(", ")]
+    return pd.DataFrame([[row.get(c) for c in columns] for row in rows], columns=columns, dtype=object)
+
+
+def _round_of(ends_at: str, mixed_at: str | None, state_at: str | None, tolerance: float):
+    """The function of one round: each block's ends and strengths are read from their files, and it is solved to ``tolerance``."""
     read = ["no", "other", "won", "lost", "other_block"]
 
-    def solve(key: tuple, held: pd.DataFrame) -> pd.DataFrame:
-        import pyarrow.dataset as ds
-
-        axis, block = int(key[0]), int(key[1])
-        part = f"{axis}_{block}"
-        fs, root = arrow_fs(ends_at)
-        table = ds.dataset(f"{root}/part={part}", filesystem=fs, format="parquet").to_table(columns=read)
-        ends = {c: table[c].to_numpy() for c in read}
-        if (ends["no"][1:] < ends["no"][:-1]).any():  # in several files
-            order = np.argsort(ends["no"], kind="stable")
-            ends = {c: v[order] for c, v in ends.items()}
-        held = held.dropna(subset=["no"]).drop_duplicates("no").sort_values("no").astype({"no": "int64", "component": "int64"})
-        nodes, sums = _solve_block(ends, block, held, tolerance, state_at is None)
-        parts = []
-        if nodes is not None:
-            gs, changes = nodes["x"][:, None], (nodes["x"] - nodes["was"])[:, None]
-            if state_at is not None:
-                fs, root = arrow_fs(state_at)
-                old = ds.dataset(f"{root}/part={part}", filesystem=fs, format="parquet").to_table(columns=["no", "gs", "fs"])
-                order = np.argsort(old["no"].to_numpy())
-                shape = (len(order), -1)
-                gs = np.hstack([old["gs"].combine_chunks().flatten().to_numpy().reshape(shape)[order][:, 1 - DEPTH :], gs])
-                changes = np.hstack([old["fs"].combine_chunks().flatten().to_numpy().reshape(shape)[order][:, 1 - DEPTH :], changes])
-            parts.append(pd.DataFrame({"part": part, "axis": axis, "block": block, "no": nodes["no"], "component": nodes["component"], "gs": list(gs), "fs": list(changes), "weight": nodes["weight"], "moved": nodes["moved"], "exact": nodes["exact"], "up": np.nan, "down": np.nan}))
-        if sums is not None:
-            parts.append(sums.assign(part="hubs", axis=axis, block=block, gs=None, fs=None, moved=False, exact=False))
-        return pd.concat([x[_SOLVED] for x in parts], ignore_index=True) if parts else pd.DataFrame(columns=_SOLVED)
+    def solve(parts):
+        for given in parts:
+            for axis, block in zip(given["axis"].tolist(), given["block"].tolist()):
+                part = f"{axis}_{block}"
+                table = _files(ends_at, part, read)
+                ends = {c: table[c].to_numpy() for c in read}
+                ends["other_block"] = ends["other_block"].astype(float)
+                if (ends["no"][1:] < ends["no"][:-1]).any():  # in several files
+                    order = np.argsort(ends["no"], kind="stable")
+                    ends = {c: v[order] for c, v in ends.items()}
+                nodes, sums = _solve_block(ends, block, _held(mixed_at, axis, block, ends), tolerance, mixed_at is None)
+                # a block of hubs' own pairs has no strengths, but goes on to the next round too
+                yield _frame([{**(_answer(state_at, part, nodes) if nodes is not None else {"part": part}), "axis": axis, "block": block}], _STATE)
+                if sums is not None:
+                    yield _frame(sums.rename(columns={"no": "hub", "component": "label"}).assign(part="sums", axis=axis, block=block).to_dict("records"), _STATE)
 
     return solve
 
 
-def _mix(state: DataFrame, depth: int) -> tuple[DataFrame, dict]:
-    """(axis, mix, done): for each axis the weights of the last answers, and whether it has come to rest; and how many axes, done ones and the largest change."""
-    pairs = [(i, j) for i in range(depth) for j in range(i + 1)]
-    sums = state.groupBy("axis").agg(
-        *[F.expr(f"sum(fs[{i}] * fs[{j}] * weight) as p{i}_{j}") for i, j in pairs],
-        F.expr(f"max(abs(fs[{depth - 1}])) as change"),
-        F.expr("max(moved) as moved"),
-        F.expr("min(exact) as exact"),
-    )
+def _hubs_of(mixed_at: str | None, state_at: str | None):
+    """The function of an axis's hubs: their new answers from the blocks' sums, what a hub won, weighed by the others' strengths, over what it lost."""
+
+    def answer(key: tuple, sums: pd.DataFrame) -> pd.DataFrame:
+        part, sums = f"{key[0]}_hubs", sums.sort_values("hub")
+        nos = sums["hub"].to_numpy(np.int64)
+        was, before = (np.zeros(len(nos)), nos) if mixed_at is None else _row(mixed_at, part, {"xs": np.float64, "labels": np.int64})
+        label = np.minimum(np.minimum(before, nos), sums["label"].to_numpy(np.int64))
+        nodes = {"no": nos, "was": was, "x": np.log(sums["up"].to_numpy(float) / sums["down"].to_numpy(float)), "component": label, "weight": sums["weight"].to_numpy(float), "moved": bool((label != before).any()), "exact": False}
+        return _frame([{**_answer(state_at, part, nodes), "axis": int(key[0])}], _STATE)
+
+    return answer
+
+
+def _weigh(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+    """For each part of an axis, of which there are few, the weights of the last answers and whether the axis has come to rest; the axis itself is counted at its first part."""
+    answers = parts[parts["gram"].notna()]
+    gram = np.sum(answers["gram"].tolist(), axis=0)
+    change = answers["change"].max()
+    rests = bool(answers["exact"].all() or (change < TOLERANCE and not answers["moved"].any()))
+    depth = int(np.sqrt(len(gram)))
+    mix = mixture(gram.reshape(depth, depth))
+    return pd.DataFrame({"part": parts["part"], "axis": key[0], "block": parts["block"], "mix": [mix] * len(parts), "change": change, "done": rests, "first": np.arange(len(parts)) == 0})
+
+
+def _mixed_of(state_at: str, last: bool):
+    """The function that gives each part the strengths that the next round starts from; an axis that is done keeps its newest answers."""
 
-    def weigh(parts):
-        for part in parts:
-            mixes = []
-            for row in part[[f"p{i}_{j}" for i, j in pairs]].to_numpy(float):
-                gram = np.zeros((depth, depth))
-                for (i, j), v in zip(pairs, row):
-                    gram[i, j] = gram[j, i] = v
-                mixes.append(mixture(gram))
-            rests = part["exact"] | ((part["change"] < TOLERANCE) & ~part["moved"])
-            yield pd.DataFrame({"axis": part["axis"], "mix": mixes, "change": part["change"], "done": rests})
-
-    seen = Observation()
-    mixed = sums.mapInPandas(weigh, "axis long, mix array<double>, change double, done boolean")
-    mixed = mixed.observe(seen, F.count(F.lit(1)).alias("axes"), F.count_if("done").alias("done"), F.max("change").alias("change"))
-    return materialise(mixed, "ranking-mix"), seen.get
-
-
-def _hubs(solved: DataFrame, old: DataFrame, x: DataFrame) -> DataFrame:
-    """The hubs' new answers, from the blocks' sums: what a hub won, weighed by the others' strengths, over what it lost."""
-    sums = solved.filter("part = 'hubs'").groupBy("axis", "no").agg(F.sum("up").alias("up"), F.sum("down").alias("down"), F.sum("weight").alias("weight"), F.min("component").alias("least"))
-    both = sums.join(old, ["axis", "no"]).join(x.select("axis", "no", "x"), ["axis", "no"])
-    g = F.log(F.col("up") / F.col("down"))
-    tail = lambda c, new: F.slice(F.concat(F.col(c), F.array(new)), F.greatest(F.lit(1), F.size(c) + 2 - DEPTH), DEPTH)
-    label = F.least("component", "least")
-    return both.select("axis", "no", label.alias("component"), tail("gs", g).alias("gs"), tail("fs", g - F.col("x")).alias("fs"), "weight", (label != F.col("component")).alias("moved"), F.lit(False).alias("exact"))
+    def mixed(parts):
+        for given in parts:
+            for part, axis, block, mix, done in zip(given["part"], given["axis"].tolist(), given["block"], given["mix"], given["done"].tolist()):
+                nos, labels, gs = _row(state_at, part, {"nos": np.int64, "labels": np.int64, "gs": np.float64})
+                gs = gs.reshape(len(mix), -1)
+                xs = gs[-1] if done or last else np.asarray(mix) @ gs
+                yield _frame([{"part": part, "axis": axis, "block": None if pd.isna(block) else int(block), "nos": nos.tobytes(), "labels": labels.tobytes(), "xs": xs.tobytes(), "done": done}], _MIXED)
+
+    return mixed
+
+
+def _rows_of(parts):
+    """(axis, no, component, log_strength, converged) of parts' strengths."""
+    for given in parts:
+        for axis, nos, labels, xs, done in zip(given["axis"], given["nos"], given["labels"], given["xs"], given["done"]):
+            yield pd.DataFrame({"axis": axis, "no": np.frombuffer(nos, np.int64), "component": np.frombuffer(labels, np.int64), "log_strength": np.frombuffer(xs, np.float64), "converged": done})
 
 
 def luce_strengths(pairs: DataFrame, block_ends: int = BLOCK_ENDS, rounds: int = ROUNDS, report: list | None = None) -> DataFrame:
@@ -248,59 +304,52 @@ def luce_strengths(pairs: DataFrame, block_ends: int = BLOCK_ENDS, rounds: int =
     entities, ends = _blocks(pairs, block_ends)
     ends_at = scratch_dir(spark, "ranking-ends")
     ends.withColumn("part", _part()).repartition("part").sortWithinPartitions("part", "no").write.partitionBy("part").parquet(ends_at)
-    # all numbers, so that a shuffle between rounds stays small; split by the number they are looked up by
     written = spark.read.schema(ends.schema.add("part", "string")).parquet(ends_at)
-    outside = written.filter(~F.col("other_block").eqNullSafe(F.col("block"))).select("axis", "block", F.explode(F.when(F.col("block") < 0, F.array("other", "no")).otherwise(F.array("other"))).alias("no")).distinct()
-    outside = materialise(outside, "ranking-outside")
-    blocks = materialise(written.select("axis", "block").distinct(), "ranking-blocks")
-    hubs = entities.filter("block is null").select("axis", "no", F.col("no").alias("component"), F.array().cast("array<double>").alias("gs"), F.array().cast("array<double>").alias("fs"))
+    number = lambda at, kind: F.split_part("part", F.lit("_"), F.lit(at)).cast(kind)
+    blocks = materialise(written.select("part").distinct().select(number(1, "long").alias("axis"), number(2, "int").alias("block")), "ranking-blocks")
     with_hubs = entities.filter("block is null").limit(1).count() > 0
-    # in units of log-strength: all equal at first
-    x = entities.select("axis", "block", "no", F.lit(0.0).alias("x"), F.col("no").alias("component"))
-    spread = min(blocks.count(), default_parallelism(spark)) or 1
+    going = blocks.count()
     finished: list[DataFrame] = []
     tolerance = 1e-3
-    state_at = mix = None
+    state_at = mixed_at = None
     for turn in range(rounds):
-        marks = blocks.select("axis", "block", F.lit(None).cast("long").alias("no"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("long").alias("component"))
-        far = outside.join(x.drop("block"), ["axis", "no"]).select("axis", "block", "no", "x", "component")
-        held = x.filter("block is not null").unionByName(far).unionByName(marks)
-        path = scratch_dir(spark, "ranking-round")
         # as many tasks as there are blocks, however few bytes they get: their work is in their files
-        held = held.repartition(spread, "axis", "block")
-        held.groupBy("axis", "block").applyInPandas(_round_of(ends_at, state_at, tolerance), _SCHEMA).write.partitionBy("part").parquet(path)
-        solved = spark.read.schema(_SCHEMA).parquet(path)
-        state = solved.filter("part <> 'hubs'").select("axis", "block", "no", "component", "gs", "fs", "weight", "moved", "exact")
+        spread = min(going, default_parallelism(spark)) or 1
+        path = scratch_dir(spark, "ranking-round")
+        blocks.repartition(spread).mapInPandas(_round_of(ends_at, mixed_at, state_at, tolerance), _STATE).write.partitionBy("part").parquet(path)
+        state = spark.read.schema(_STATE).parquet(path)
         if with_hubs:
-            hubs_now = materialise(_hubs(solved, hubs, x), "ranking-hubs")
-            hubs = hubs_now.select("axis", "no", "component", "gs", "fs")
-            state = state.unionByName(hubs_now.withColumn("block", F.lit(None).cast("int")))
-        mix, seen = _mix(state, min(turn + 1, DEPTH))
+            sums = state.filter("part = 'sums'").groupBy("axis", "hub").agg(F.min("label").alias("label"), F.sum("up").alias("up"), F.sum("down").alias("down"), F.sum("weight").alias("weight"))
+            sums.groupBy("axis").applyInPandas(_hubs_of(mixed_at, state_at), _STATE).write.partitionBy("part").mode("append").parquet(path)
+            state = spark.read.schema(_STATE).parquet(path)
+        last = turn == rounds - 1
+        seen = Observation()
+        weighed = state.filter("part <> 'sums'").select("part", "axis", "block", "gram", "change", "moved", "exact").groupBy("axis").applyInPandas(_weigh, "part string, axis long, block int, mix array<double>, change double, done boolean, first boolean")
+        weighed = weighed.observe(seen, F.count_if("first").alias("axes"), F.count_if(F.col("first") & F.col("done")).alias("done"), F.count_if(~F.col("done")).alias("going"), F.max("change").alias("change"))
+        mixed_then, mixed_at = mixed_at, scratch_dir(spark, "ranking-mixed")
+        weighed.repartition(spread).mapInPandas(_mixed_of(path, last), _MIXED).write.partitionBy("part").parquet(mixed_at)
+        mixed, seen = spark.read.schema(_MIXED).parquet(mixed_at), seen.get
         if report is not None:
             report.append((turn + 1, seen["axes"] - seen["done"], seen["change"]))
-        last = turn == rounds - 1
         tolerance = max(TOLERANCE * 0.1, 1e-3 * (seen["change"] or 0.0))
         if seen["done"] or last or not seen["axes"]:
-            rested = hot_join(state.select("axis", "no", "component", F.element_at("gs", -1).alias("log_strength")), mix.filter(F.col("done") | F.lit(last)).select("axis", "done"), ["axis"], seen["axes"])
-            finished.append(materialise(rested.withColumnRenamed("done", "converged"), "ranking-strengths"))
-        if state_at is not None:
-            drop_path(spark, state_at)
-        state_at = path
+            rested = mixed.filter(F.col("done") | F.lit(last)).mapInPandas(_rows_of, "axis long, no long, component long, log_strength double, converged boolean")
+            finished.append(materialise(rested, "ranking-strengths"))
+        for old in (state_at, mixed_then):
+            if old is not None:
+                drop_path(spark, old)
+        state_at, going = path, seen["going"]
         if seen["done"] == seen["axes"]:
             break
-        going = mix.filter("not done").select("axis", "mix")
         if last:
             warnings.warn(f"{seen['axes'] - seen['done']} axes haven't come to rest after {rounds} rounds; largest change {seen['change']:g}", stacklevel=2)
             break
-        mixed = F.aggregate(F.zip_with("gs", "mix", lambda g, m: g * m), F.lit(0.0), lambda s, v: s + v)
-        x = hot_join(state.select("axis", "block", "no", "component", "gs"), going, ["axis"], seen["axes"]).select("axis", "block", "no", mixed.alias("x"), "component")
-        if seen["done"]:
-            blocks, outside = (materialise(hot_join(t, going.select("axis"), ["axis"]), "ranking-going") for t in (blocks, outside))
-            spread = min(blocks.count(), default_parallelism(spark)) or 1
+        blocks = mixed.filter(~F.col("done") & F.col("block").isNotNull()).select("axis", "block")
         if turn % 12 == 11:
             collect_garbage(spark)  # the shuffles of rounds gone by
-    if state_at is not None:
-        drop_path(spark, state_at)
+    for old in (state_at, mixed_at):
+        if old is not None:
+            drop_path(spark, old)
     drop_path(spark, ends_at)
     named = finished[0]
     for more in finished[1:]:

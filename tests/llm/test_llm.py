@@ -75,6 +75,28 @@ def test_strengths_are_the_maximum_likelihood(spark, use_ratio, block_ends):
     assert [got[e]["rank"] for e in order] == list(range(1, n + 1))
 
 
+def test_a_round_leaves_one_row_a_block_and_hubs_that_meet_are_right(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    n = 14
+    rows = [(a, b, bool(rng.random() < 0.5), 2.0) for a in (0, 1) for b in range(n) if a < b]  # 0 and 1 meet all, each other too
+    rows += [(k, k % (n - 2) + 2, True, 3.0) for k in range(2, n)]
+    df = spark.createDataFrame([("x", f"e{a:02d}", f"e{b:02d}", w, r) for a, b, w, r in rows], "axis_key string, a string, b string, a_won boolean, ratio double")
+    left, drop = [], ranking.drop_path
+
+    def dropped(spark, path):
+        if "ranking-round" in path:
+            kept = spark.read.parquet(path).filter("part not in ('sums', 'hubs')")
+            left.append((kept.count(), kept.select("part").distinct().count()))
+        drop(spark, path)
+
+    monkeypatch.setattr(ranking, "drop_path", dropped)
+    found = ranking.luce_strengths(ranking.pair_weights(df), block_ends=24)
+    assert left and all(a == b > 1 for a, b in left)
+    got = {r["entity_id"]: r["log_strength"] for r in ranking.rank_entities(found).collect()}
+    want = newton(n, weights_of(n, rows, True))
+    assert [got[f"e{k:02d}"] for k in range(n)] == pytest.approx(list(want), abs=2e-5)
+
+
 def test_rounds_that_run_out_are_told(spark):
     n, rows = tournament(3)
     df = spark.createDataFrame([("x", f"e{a:02d}", f"e{b:02d}", w, r) for a, b, w, r in rows], "axis_key string, a string, b string, a_won boolean, ratio double")
