@@ -9,8 +9,9 @@ more than its arithmetic.
 
 A group of up to ``DENSE`` entities is solved with a dense factor.  A larger one
 keeps its edges as lists: scores by conjugate gradients, variances and leverages
-from ``PROBES`` random probes (their run says ``estimated``), bridges by a walk of
-the graph.  A group must fit the memory of one task: about 200 bytes an edge.
+from ``PROBES`` random probes (their run says ``estimated``), some of them at a time,
+bridges by a walk of the graph.  A group must fit the memory of one task: about 400
+bytes an edge.
 The split of its cycles is made for up to ``CYCLES_UP_TO`` entities and null beyond.
 """
 
@@ -33,6 +34,8 @@ from pairloom.session import default_parallelism
 DENSE, CYCLES_UP_TO = 1500, 5000
 #: Random probes behind estimated variances and leverages: a relative error of about sqrt(2 / PROBES).
 PROBES = 128
+#: Numbers that the probes hold at once and rows that a batch of the answer has: neither grows with a group.
+PROBE_CELLS, BATCH_ROWS = 2_000_000, 50_000
 #: Entities up to which a singular system is solved through its eigenvalues.
 EXACT = 256
 
@@ -151,6 +154,22 @@ class _Sparse:
         return x, False
 
 
+def _probes(n: int, i: np.ndarray, j: np.ndarray, root: np.ndarray) -> Iterator[np.ndarray]:
+    """What ``PROBES`` random signs of the edges, times their weights' ``root``, load the nodes with: some columns at a time, by the size of the group."""
+    draw = np.random.default_rng(n)
+    # a bit for each sign: 16 bytes an edge
+    bits = [np.packbits(draw.choice([-1.0, 1.0], (min(10_000, len(i) - low), PROBES)) > 0, axis=1) for low in range(0, len(i), 10_000)]
+    bits = np.concatenate([np.zeros((0, PROBES // 8), np.uint8), *bits])
+    wide = max(1, min(PROBES, PROBE_CELLS // max(n, 2 * len(i))))
+    for low in range(0, PROBES, wide):
+        load = np.zeros((n, min(wide, PROBES - low)))
+        for k in range(load.shape[1]):
+            byte, bit = divmod(low + k, 8)
+            signed = np.where(bits[:, byte] >> (7 - bit) & 1, root, -root)
+            load[:, k] = np.bincount(i, signed, n) - np.bincount(j, signed, n)
+        yield load
+
+
 def bridges(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Of each edge whether its loss would cut its component, by one depth-first walk."""
     src = np.concatenate([i, j])
@@ -265,14 +284,15 @@ def solve_graph(n: int, i: np.ndarray, j: np.ndarray, mu: np.ndarray, lam: np.nd
     else:
         s, bad = solve(w)
         # the Laplacian is the product of its edges' roots: probes of the edges give differences, whose mean squares are resistances
-        signs = np.random.default_rng(n).choice([-1.0, 1.0], (len(i), PROBES)) * np.sqrt(w)[:, None]
-        load = np.zeros((n, PROBES))
-        for k in range(PROBES):
-            load[:, k] = np.bincount(i, signs[:, k], n) - np.bincount(j, signs[:, k], n)
-        probed, rests = sparse.solve(load, 1e-8)
-        bad |= not rests
-        variances[free] = (probed[free] ** 2).mean(1)
-        resistance = ((probed[i] - probed[j]) ** 2).mean(1)
+        squares, resistance = np.zeros(n), np.zeros(len(i))
+        for load in _probes(n, i, j, np.sqrt(w)):
+            probed, rests = sparse.solve(load, 1e-8)
+            bad |= not rests
+            squares += (probed**2).sum(1)
+            if edges or diagnostics:
+                resistance += ((probed[i] - probed[j]) ** 2).sum(1)
+        variances[free] = squares[free] / PROBES
+        resistance /= PROBES
     degraded |= bad
     residual = mu - (s[i] - s[j])
     if len(lam):
@@ -531,54 +551,63 @@ def _codes(column: pa.Array) -> np.ndarray:
     return column.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
 
 
-def _solve_groups(table: pa.Table, keys: list[str], starts: np.ndarray, config: SolverConfig, kinds: tuple[str, ...]) -> pa.RecordBatch:
-    """The rows of whole groups, which begin at ``starts`` of ``table``."""
+def _solve_groups(table: pa.Table, keys: list[str], starts: np.ndarray, config: SolverConfig, kinds: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """The rows of whole groups, which begin at ``starts`` of ``table``, in batches of about ``BATCH_ROWS``."""
     both = pa.chunked_array([*table.column("i").chunks, *table.column("j").chunks], pa.string()).combine_chunks().dictionary_encode()
     rank = np.empty(len(both.dictionary), np.int64)
     order = pc.sort_indices(both.dictionary)
     rank[order.to_numpy()] = np.arange(len(order))
     names = both.dictionary.take(order)
     code = rank[both.indices.to_numpy()]
+    del both, rank
     i_all, j_all = code[: len(table)], code[len(table) :]
     mu, lam = (table.column(c).to_numpy() for c in ("mu", "lam"))
     ends = [*starts[1:], len(table)]
-    columns: dict[str, list] = {c: [] for c in _ROW}
-    group: list[np.ndarray] = []
-    sizes: list[tuple[str, int]] = []
-
-    def add(kind: str, at: int, size: int, values: dict) -> None:
-        group.append(np.full(size, at))
-        sizes.append((kind, size))
-        for c in _ROW:
-            if c != "kind":
-                columns[c].append(values.get(c))
-
+    # (kind, where the group begins, rows, values) of what is to go out next
+    pieces: list[tuple[str, int, int, dict]] = []
+    rows = 0
     for low, high in zip(starts, ends):
         order = np.lexsort((j_all[low:high], i_all[low:high])) + low
         own, at = np.unique(np.concatenate([i_all[order], j_all[order]]), return_inverse=True)
         i, j = at[: len(order)], at[len(order) :]
         s = solve_graph(len(own), i, j, mu[order], lam[order], config, "edge" in kinds, "run" in kinds)
+        found = []
         if "node" in kinds:
-            add("node", low, len(own), {"i": own, "component": own[s.component], "score": s.scores, "variance": s.variances})
+            found.append(("node", low, len(own), {"i": own, "component": own[s.component], "score": s.scores, "variance": s.variances}))
         if "edge" in kinds:
-            add("edge", low, len(i), {"i": own[i], "j": own[j], "component": own[s.component[i]], "residual": s.residual, "mu": mu[order], "lam": lam[order], "lam_eff": s.lam_eff, "leverage": s.leverage, "loo_z": s.loo_z})
+            found.append(("edge", low, len(i), {"i": own[i], "j": own[j], "component": own[s.component[i]], "residual": s.residual, "mu": mu[order], "lam": lam[order], "lam_eff": s.lam_eff, "leverage": s.leverage, "loo_z": s.loo_z}))
         if "run" in kinds:
-            add("run", low, 1, {"status": "solved", **s.summary})
+            found.append(("run", low, 1, {"status": "solved", **s.summary}))
+        for kind, first, size, values in found:
+            for cut in range(0, size, BATCH_ROWS):
+                part = slice(cut, cut + BATCH_ROWS)
+                pieces.append((kind, first, min(BATCH_ROWS, size - cut), {c: v[part] if isinstance(v, np.ndarray) else v for c, v in values.items()}))
+                rows += pieces[-1][2]
+                if rows >= BATCH_ROWS:
+                    yield _batch(table, keys, names, pieces)
+                    pieces, rows = [], 0
+    if pieces:
+        yield _batch(table, keys, names, pieces)
+
+
+def _batch(table: pa.Table, keys: list[str], names: pa.Array, pieces: list[tuple[str, int, int, dict]]) -> pa.RecordBatch:
+    """Pieces of ``_solve_groups`` as rows."""
     arrays, fields = [], []
-    where = np.concatenate(group) if group else np.zeros(0, np.int64)
+    where = np.concatenate([np.full(n, at) for _, at, n, _ in pieces])
     for k in keys:
         arrays.append(table.column(k).take(pa.array(where)).combine_chunks())
         fields.append((k, arrays[-1].type))
     for c, kind in _ROW.items():
+        column = [(values.get(c), n) for _, _, n, values in pieces]
         if c == "kind":
-            parts = [pa.repeat(pa.scalar(k), n) for k, n in sizes]
+            parts = [pa.repeat(pa.scalar(k), n) for k, _, n, _ in pieces]
         elif c in ("i", "j", "component"):
-            parts = [pa.nulls(n, pa.string()) if v is None else names.take(pa.array(v)) for v, (_, n) in zip(columns[c], sizes)]
+            parts = [pa.nulls(n, pa.string()) if v is None else names.take(pa.array(v)) for v, n in column]
         elif c == "loo_z":
-            parts = [pa.nulls(n, pa.float64()) if v is None else pa.array(v, pa.float64(), from_pandas=True) for v, (_, n) in zip(columns[c], sizes)]
+            parts = [pa.nulls(n, pa.float64()) if v is None else pa.array(v, pa.float64(), from_pandas=True) for v, n in column]
         else:
-            parts = [pa.nulls(n, _ARROW[kind]) if v is None else pa.array(v if isinstance(v, np.ndarray) else [v], _ARROW[kind]) for v, (_, n) in zip(columns[c], sizes)]
-        arrays.append(pa.concat_arrays(parts) if parts else pa.nulls(0, _ARROW[kind]))
+            parts = [pa.nulls(n, _ARROW[kind]) if v is None else pa.array(v if isinstance(v, np.ndarray) else [v], _ARROW[kind]) for v, n in column]
+        arrays.append(pa.concat_arrays(parts))
         fields.append((c, _ARROW[kind]))
     return pa.RecordBatch.from_arrays(arrays, schema=pa.schema(fields))
 
@@ -608,13 +637,13 @@ def solve_edges(edges: DataFrame, keys: list[str], config: SolverConfig = Solver
             if at[0] > 0:
                 held.append(batch.slice(0, at[0]))
             if held:
-                yield _solve_groups(pa.Table.from_batches(held), keys, np.array([0]), config, kinds)
+                yield from _solve_groups(pa.Table.from_batches(held), keys, np.array([0]), config, kinds)
             if len(at) > 1:
                 whole = batch.slice(at[0], at[-1] - at[0])
-                yield _solve_groups(pa.Table.from_batches([whole]), keys, at[:-1] - at[0], config, kinds)
+                yield from _solve_groups(pa.Table.from_batches([whole]), keys, at[:-1] - at[0], config, kinds)
             held = [batch.slice(at[-1])]
         if held:
-            yield _solve_groups(pa.Table.from_batches(held), keys, np.array([0]), config, kinds)
+            yield from _solve_groups(pa.Table.from_batches(held), keys, np.array([0]), config, kinds)
 
     schema = ", ".join(f"`{k}` {t}" for k, t in {**types, **_ROW}.items())
     # a fixed number of tasks: by bytes, many small groups would be put into one

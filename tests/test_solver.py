@@ -4,8 +4,10 @@ import base64
 import itertools
 import math
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,6 +113,29 @@ def test_large_groups_are_solved_with_lists(spark):
     assert (run["status"], run["entities"], run["bridges"], run["curl"]) == ("solved", size + 1, size, None)
 
 
+def test_a_large_group_takes_no_more_memory_than_its_edges(spark, monkeypatch):
+    """Probes are worked on some at a time, with the same result, and the answer goes out in batches."""
+    size = 60_000
+    tracemalloc.start()
+    s = S.solve_graph(size + 1, np.zeros(size, int), np.arange(1, size + 1), np.arange(size) % 7.0, np.ones(size), edges=False, diagnostics=False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6 and np.allclose(np.diff(s.scores[1:8]), -1, atol=1e-6)
+    truth, n, i, j, mu, lam = graph(6, n=80, extra=200)
+    whole = S.solve_graph(n, i, j, mu, lam, dense=0)
+    monkeypatch.setattr(S, "PROBE_CELLS", 3 * 2 * len(i))
+    parts = S.solve_graph(n, i, j, mu, lam, dense=0)
+    assert np.allclose(whole.variances, parts.variances, rtol=1e-6) and np.allclose(whole.leverage, parts.leverage, rtol=1e-6)
+    monkeypatch.setattr(S, "BATCH_ROWS", 10)
+    names = [(f"e{a:02}", f"e{b:02}") for a, b in zip(i, j)]
+    table = pa.table({"g": ["g"] * len(i), "i": [a for a, _ in names], "j": [b for _, b in names], "mu": mu, "lam": lam})
+    batches = list(S._solve_groups(table, ["g"], np.array([0]), S.SolverConfig(), S.KINDS))
+    rows = pa.Table.from_batches(batches).to_pandas()
+    assert max(b.num_rows for b in batches) < 20 and rows["kind"].value_counts().to_dict() == {"edge": len(i), "node": n, "run": 1}
+    node = rows[rows["kind"] == "node"]
+    assert node["i"].tolist() == [f"e{k:02}" for k in range(n)] and np.allclose(node["score"], S.solve_graph(n, i, j, mu, lam).scores)
+
+
 def test_groups_keep_apart_in_any_order(spark):
     """Null keys, groups over several batches and single edges."""
     rows = [(k if k != 3 else None, "a", f"b{m}", float(k + m), 1.0) for k in range(40) for m in range(1 + k % 5)]
