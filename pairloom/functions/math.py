@@ -27,3 +27,8 @@ def erf_expr(x: Column) -> Column:
 def normal_cdf(x: Column) -> Column:
     """Phi(x)."""
     return F.lit(0.5) * (F.lit(1.0) + erf_expr(x / F.lit(math.sqrt(2.0))))
+
+
+def correlation(x: str, y: str) -> Column:
+    """Pearson's, of two columns of a group without nulls; null where one has no spread, where ``corr`` fails under ANSI."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

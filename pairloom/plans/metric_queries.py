@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pairloom.functions.math import correlation
 from pairloom.operators import metrics as M
 from pairloom.operators import planner as L
 from pairloom.plans.evidence_queries import obs, r6
@@ -135,8 +136,13 @@ def wilson_intervals(spark, sf):
     select count_if(r - q > 1e-12) as wins, count_if(r - q < -1e-12) as losses, count_if(abs(r - q) <= 1e-12) as ties, round(avg(r - q), 6) as mean_delta from x where r is not null and q is not null""",
 )
 def method_comparison(spark, sf):
-    """Correlation on scores against correlation on places, run by run."""
-    p = M.placed(truth(spark, sf), RUN).groupBy(*RUN).agg(F.count(F.lit(1)).alias("n"), F.corr("s", "t").alias("r"), F.corr("ps", "pt").alias("q")).filter("n >= 5 and r is not null and q is not null and not isnan(r) and not isnan(q)")
+    """Correlation on scores against correlation on places, run by run.
+
+    Scores without spread have no correlation, for which DuckDB gives NaN: not null, and more than any number, so the SQL counts
+    such a run as a win and its mean is NaN.
+    """
+    r = lambda x, y: F.coalesce(correlation(x, y), F.lit(float("nan")))
+    p = M.placed(truth(spark, sf), RUN).groupBy(*RUN).agg(F.count(F.lit(1)).alias("n"), r("s", "t").alias("r"), r("ps", "pt").alias("q")).filter("n >= 5")
     long = p.select(*RUN, F.explode(F.array(F.struct(F.lit("scores").alias("method"), F.col("r").alias("x")), F.struct(F.lit("places").alias("method"), F.col("q").alias("x")))).alias("y")).select(*RUN, "y.method", "y.x")
     return M.compare_methods(long, RUN, "method", "scores", "places", "x").withColumn("mean_delta", F.round("mean_delta", 6))
 
