@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.functions.math import normal_cdf
+from pairloom.functions.math import correlation, normal_cdf
 
 TINY, INF = 1e-18, float("inf")
 #: z for a tolerated error of at most so much.
@@ -153,4 +153,4 @@ def spearman(pairs: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
         out = out.withColumn(f"_a{c}", F.avg(f"_r{c}").over(Window.partitionBy(*keys, c)))
     n = F.count(F.lit(1))
     spread = (F.stddev_pop(f"_a{x}") > 1e-12) & (F.stddev_pop(f"_a{y}") > 1e-12)
-    return out.groupBy(*keys).agg(n.alias("n"), F.when((n >= 3) & spread, F.corr(f"_a{x}", f"_a{y}")).alias("rho"))
+    return out.groupBy(*keys).agg(n.alias("n"), F.when((n >= 3) & spread, correlation(f"_a{x}", f"_a{y}")).alias("rho"))

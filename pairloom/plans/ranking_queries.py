@@ -10,6 +10,7 @@ from pairloom.functions.keys import clean_key
 from pairloom.operators import ranking as R
 from pairloom.operators.ordered import medians
 from pairloom.plans.registry import query, table
+from pairloom.session import materialise
 
 r6 = lambda c: F.round(c, 6) + F.lit(0.0)
 RUN = ["run", "axis_key"]
@@ -208,14 +209,29 @@ def axis_correlation(spark, sf):
     select axis_key, run_a, run_b, count(*) as n, round(case when stddev_pop(ax) > 1e-12 and stddev_pop(ay) > 1e-12 then corr(ax, ay) end, 6) + 0.0 as rho from v group by 1, 2, 3""",
 )
 def spearman_runs(spark, sf):
-    """Agreement of two runs of an axis over the entities that both rank."""
+    """Agreement of two runs of an axis over the entities that both rank.
+
+    The axis's entities have one order, by the runs that rank them.  Where two runs share three, the rarest of those
+    is behind two others in either run.  So the pairs are found without each run's two commonest entities, such as
+    an anchor that nearly all runs share; those are looked up for the pairs that were found.
+    """
+    from pyspark.sql import Window
+
     n = nodes(spark, sf)
-    a = n.select("axis_key", "entity_id", F.col("run").alias("run_a"), F.col("s").alias("x"))
-    b = n.select("axis_key", "entity_id", F.col("run").alias("run_b"), F.col("s").alias("y"))
-    p = a.join(b, ["axis_key", "entity_id"]).filter("run_a < run_b")
-    keys = ["axis_key", "run_a", "run_b"]
-    big = p.groupBy(*keys).count().filter("count >= 3").drop("count")
-    return R.spearman(p.join(big, keys), keys, "x", "y").withColumn("rho", r6("rho"))
+    entity, keys = ["axis_key", "entity_id"], ["axis_key", "run_a", "run_b"]
+    n = n.join(n.groupBy(*entity).agg(F.count(F.lit(1)).alias("runs")), entity)
+    place = F.row_number().over(Window.partitionBy(*RUN).orderBy(F.desc("runs"), "entity_id"))
+    n = materialise(n.select(*entity, "run", "s", (place <= 2).alias("common")), "shared-entities")
+    a = lambda rows: rows.select(*entity, F.col("run").alias("run_a"), F.col("s").alias("x"))
+    b = lambda rows: rows.select(*entity, F.col("run").alias("run_b"), F.col("s").alias("y"))
+    common, rare = n.filter("common"), n.filter("not common")
+    found = a(rare).join(b(rare), entity).filter("run_a < run_b")
+    pairs = found.select(*keys).distinct()
+    of_a = pairs.join(a(common), ["axis_key", "run_a"]).join(b(n), [*entity, "run_b"])
+    of_b = pairs.join(b(common), ["axis_key", "run_b"]).join(a(rare), [*entity, "run_a"])
+    p = found.unionByName(of_a).unionByName(of_b)
+    p = p.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).filter("_n >= 3").drop("_n")
+    return R.spearman(p, keys, "x", "y").withColumn("rho", r6("rho"))
 
 
 @query(
